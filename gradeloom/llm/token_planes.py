@@ -45,7 +45,7 @@ def to_planes(ids: np.ndarray, mode: str) -> list[bytes]:
     else:
         rows = np.packbits(np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little").T, axis=1, bitorder="little")
     used = max((k + 1 for k in range(len(rows)) if rows[k].any()), default=0)
-    pack = zstandard.ZstdCompressor(level=3)
+    pack = zstandard.ZstdCompressor(level=1)
     return [pack.compress(np.ascontiguousarray(rows[k]).tobytes()) for k in range(used)]
 
 

@@ -30,22 +30,22 @@ class Encoder:
     "whole" - nowhere, each text is encoded in one go.
     At most `most` pieces are remembered, so that memory stays bounded."""
 
-    def __init__(self, path: str, style: str = "whole", most: int = 400_000):
+    def __init__(self, path: str, style: str = "whole", most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
         self.style, self.most = style, most
         self.first, self.later = _Pieces(self, ""), _Pieces(self, " " if style == "space" else "")
-        self.letters = _byte_letters()
+        self.letters = dict(enumerate(_byte_letters()))
 
     def plain(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def model(self, piece: str) -> bytes:
         """Ids of one pre-token, straight from the model."""
-        coded = piece if piece.isascii() and piece.isprintable() and " " not in piece else "".join(self.letters[b] for b in piece.encode())
-        return np.array([x.id for x in self.t.model.tokenize(coded)], dtype="<u4").tobytes()
+        coded = piece.encode().decode("latin-1").translate(self.letters)
+        return b"".join([x.id.to_bytes(4, "little") for x in self.t.model.tokenize(coded)])
 
     def ids(self, text: str) -> bytes:
         if not text:
