@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm import shared
-from gradeloom.llm.tokens import Encoder
+from gradeloom.llm.tokens import encoder
 
 PIECES = "doc_id long, row_no long, piece int, start long, length long, ids_crc32 long"
 
@@ -32,11 +32,11 @@ def _cut(path: str, style: str, end_id: int, capacity: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def pieces(batches):
-        encoder = Encoder(path, style)
+        ids_of = encoder(path, style).ids
         for batch in batches:
             out = []
             for doc_id, row_no, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_no", "text")), strict=True):
-                ids = encoder.ids(text) + end
+                ids = ids_of(text) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     out.append((doc_id, row_no, k, at // 4, len(own) // 4, zlib.crc32(own)))

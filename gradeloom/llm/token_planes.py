@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeloom.llm import shared
-from gradeloom.llm.tokens import Encoder
+from gradeloom.llm.tokens import encoder
 
 CHUNK = T.StructType([
     T.StructField("shard", T.LongType()), T.StructField("block", T.LongType()), T.StructField("from_id", T.LongType()),
@@ -86,7 +86,7 @@ def joined_crc(first: int, second: int, second_bytes: int) -> int:
 
 def _encode(path: str, style: str, end_id: int, block_ids: int, mode: str):
     def chunks(batches):
-        encoder, shard, held = Encoder(path, style), None, None
+        ids_of, shard, held = encoder(path, style).ids, None, None
 
         def put(ids: np.ndarray, docs: list) -> pa.RecordBatch:
             nonlocal block, past
@@ -105,7 +105,7 @@ def _encode(path: str, style: str, end_id: int, block_ids: int, mode: str):
                     if held:
                         yield put(np.frombuffer(b"".join(held), dtype="<u4"), docs)
                     shard, block, past, held, docs, room, number = part, 0, 0, [], [], block_ids, 0
-                ids, begun = encoder.ids(text) + end, 0
+                ids, begun = ids_of(text) + end, 0
                 while begun < len(ids) // 4:
                     n = min(room, len(ids) // 4 - begun)
                     held.append(ids[4 * begun : 4 * (begun + n)])

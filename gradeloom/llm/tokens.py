@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import string
 import unicodedata
 
@@ -58,6 +59,12 @@ class Encoder:
         return self.plain(text)
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, style: str) -> Encoder:
+    """A worker process keeps its encoder, and what it remembers, from task to task."""
+    return Encoder(path, style)
+
+
 class _Pieces(dict):
     def __init__(self, own: Encoder, before: str):
         super().__init__()
