@@ -15,7 +15,8 @@ def wilson(successes: Column, n: Column, z: float = Z95) -> tuple[Column, Column
     mid = (p + z2 / (2 * size)) / (1 + z2 / size)
     half = z * F.sqrt(p * (1 - p) / size + z2 / (4 * size * size)) / (1 + z2 / size)
     zero = F.lit(0.0)
-    return F.coalesce(F.greatest(zero, mid - half), zero), F.coalesce(F.least(F.lit(1.0), mid + half), zero)
+    # greatest() and least() pass over nulls, so the case without trials is told apart first.
+    return F.when(n > 0, F.greatest(zero, mid - half)).otherwise(zero), F.when(n > 0, F.least(F.lit(1.0), mid + half)).otherwise(zero)
 
 
 def mcnemar(b: Column, c: Column) -> Column:
