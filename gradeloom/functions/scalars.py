@@ -1,0 +1,103 @@
+"""Scalar functions on texts, reasons, money and globs, as column expressions."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Finish reasons and the empty reason that each stands for.
+STOP_REASONS = {
+    "max_tokens": "truncated",
+    "length": "truncated",
+    "content_length": "truncated",
+    "refusal": "refusal",
+    "content_filter": "content_filter",
+    "safety": "content_filter",
+    "tool_use": "tool_use_only",
+    "tool_calls": "tool_use_only",
+    "function_call": "tool_use_only",
+}
+#: Sort rank of a status, worst highest.
+STATUS_RANK = {"skip": 0, "xfail": 1, "pass": 2, "error": 3, "xpass": 4, "fail": 5}
+
+
+def slugify(s: Column) -> Column:
+    """Runs of ASCII letters and digits in lower case, joined by single dashes."""
+    return F.lower(F.btrim(F.regexp_replace(s, "[^A-Za-z0-9]+", "-"), F.lit("-")))
+
+
+def truncated(s: Column, n: int) -> Column:
+    """The first n code points."""
+    return F.substring(s, 1, n)
+
+
+def micro_usd(usd: Column) -> Column:
+    return F.round(usd * 1_000_000).cast("long")
+
+
+def is_blank(text: Column) -> Column:
+    """True for texts of white space alone; a null text is blank too."""
+    return F.coalesce(F.regexp_replace(text, r"(?U)\s+", "") == "", F.lit(True))
+
+
+def empty_reason(stop_reason: Column, text: Column) -> Column:
+    """What a finish reason says; for all others, `blank` if there is no text, else null."""
+    name = F.lower(F.trim(stop_reason))
+    known = F.create_map(*[F.lit(x) for pair in STOP_REASONS.items() for x in pair])
+    return F.coalesce(F.when(name.isin(*STOP_REASONS), known[name]), F.when(is_blank(text), "blank"))
+
+
+def status_rank(status: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in STATUS_RANK.items() for x in pair])[status]
+
+
+def is_infrastructure(error_class: Column) -> Column:
+    return F.coalesce(error_class.startswith("provider_") | error_class.startswith("cache_") | (error_class == "exec_failed"), F.lit(False))
+
+
+def glob_pattern(glob: str) -> str:
+    """Anchored pattern of a glob in which * also crosses slashes."""
+    out = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in glob)
+    return f"(?s)^{out}$"
+
+
+def matches_test(test_id: Column, tags: Column, *, any_tags: tuple[str, ...] = (), globs: tuple[str, ...] | None = None) -> Column:
+    """Any of the tags, and any of the globs; a null id fits no glob. Empty tags, and globs of None, ask nothing."""
+    by_tag = F.coalesce(F.arrays_overlap(tags, F.array(*[F.lit(t) for t in any_tags])), F.lit(False)) if any_tags else F.lit(True)
+    if globs is None:
+        return by_tag
+    by_id = F.lit(False)
+    for glob in globs:
+        by_id = by_id | F.coalesce(test_id.rlike(glob_pattern(glob)), F.lit(False))
+    return by_tag & by_id
+
+
+def family_rate(model: Column, exact: dict[str, int], families: dict[str, int]) -> Column:
+    """Rate of a model: by its name, then by its name without a date at the end, then by the longest prefix that fits."""
+    name = F.regexp_replace(F.trim(model), "@.*$", "")
+    dateless = F.regexp_replace(name, r"-(\d{8}|\d{4}-\d{2}-\d{2})$", "")
+    known = F.create_map(*[F.lit(x) for pair in exact.items() for x in pair]) if exact else None
+    of = [F.when(n.isin(*exact), known[n]) for n in (name, dateless)] if exact else []
+    return F.coalesce(*of, *[F.when(name.startswith(p), F.lit(families[p])) for p in sorted(families, key=len, reverse=True)], F.lit(None).cast("int"))
+
+
+def component_cost(tokens: Column, micro_per_mtok: Column) -> Column:
+    """Micro-dollars of a number of tokens, rounded up; null where there are tokens and no rate, 0 without tokens."""
+    product = tokens.cast("decimal(19,0)") * micro_per_mtok.cast("decimal(18,0)")
+    return F.when(F.coalesce(tokens, F.lit(0)) == 0, F.lit(0).cast("long")).otherwise(F.ceil(product / F.lit(1_000_000)).cast("long"))
+
+
+def what_moved(base: dict[str, Column], head: dict[str, Column], output_changed: Column, verdict_changed: Column) -> Column:
+    """Why a case changed. base and head hold the digests prompt, provider, asserts and grader; one that is null on a
+    side tells nothing, and then no drift is claimed."""
+    parts = ("prompt", "provider", "asserts", "grader")
+    out = None
+    for p in parts:
+        out = F.when(base[p] != head[p], f"{p}_changed") if out is None else out.when(base[p] != head[p], f"{p}_changed")
+    unknown = F.lit(False)
+    for p in parts:
+        unknown = unknown | base[p].isNull() | head[p].isNull()
+    out = out.when(unknown, "unknown").when(output_changed & verdict_changed, "model_drift")
+    return out.when(output_changed, "output_drift").when(verdict_changed, "unstable_grader").otherwise("stable")

@@ -1,0 +1,93 @@
+"""Suites, assertions, search and ingest: worked cases and agreement with DuckDB on the small tables."""
+
+import json
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from gradeloom import suite_queries as q
+from gradeloom.functions import assertions as a
+from gradeloom.functions import scalars as sc
+from gradeloom.operators import search as se
+from gradeloom.operators import suites as su
+from gradeloom.sources import ingest
+from gradeloom.streaming.ingest import ingest_runs
+
+SF = "/root/testdata/sf0.001"
+
+
+def one(spark, *columns):
+    return list(spark.range(1).select(*columns).first())
+
+
+@pytest.mark.parametrize("name", sorted(q.queries()))
+def test_query_equals_sql(spark, name):
+    db = duckdb.connect()
+    for t in ("lineitem", "orders", "events", "part", "nation", "documents"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    df = q.queries()[name](spark, SF)
+    cols = sorted(df.columns)
+    norm = lambda rows: sorted((tuple(round(float(x), 5) if isinstance(x, float) or type(x).__name__ == "Decimal" else x for x in r) for r in rows), key=repr)
+    got = norm(df.select(*cols).collect())
+    assert got and got == norm(db.execute(f"SELECT {', '.join(cols)} FROM ({q.oracle_sql()[name]})").fetchall())
+
+
+def test_scalars(spark):
+    assert one(spark, sc.slugify(F.lit("  Ab c--D!ü9 ")), sc.truncated(F.lit("é😀ab"), 2), sc.micro_usd(F.lit(0.0000025))) == ["ab-c-d-9", "é😀", 3]
+    reasons = [("max_tokens", "x"), (" Safety ", ""), ("end_turn", "  "), ("stop", "x"), (None, None)]
+    rows = spark.createDataFrame(reasons, "s string, t string").select(sc.empty_reason(F.col("s"), F.col("t")))
+    assert [r[0] for r in rows.collect()] == ["truncated", "content_filter", "blank", None, "blank"]
+    rate = lambda m: sc.family_rate(F.lit(m), {"lark-2": 7}, {"lark": 1, "lark-2-mini": 3})
+    assert one(spark, *[rate(m) for m in ("lark-2@v1", "lark-2-20251001", "lark-2-2024-11-20", "lark-2-mini-x", "lark-9", "wren")]) == [7, 7, 7, 3, 1, None]
+    assert one(spark, sc.component_cost(F.lit(1), F.lit(1)), sc.component_cost(F.lit(0), F.lit(None).cast("int")), sc.component_cost(F.lit(5), F.lit(None).cast("int"))) == [1, 0, None]
+    fits = lambda i, **k: sc.matches_test(F.lit(i).cast("string"), F.array(F.lit("a")), **k)
+    assert one(spark, fits("x/y", globs=("x*",)), fits(None, globs=("*",)), fits("x", any_tags=("b", "a")), fits("x", any_tags=("b",))) == [True, False, True, False]
+
+
+def test_assertions(spark):
+    blank, text = F.lit("  "), F.lit("Hello wörld 42")
+    passed = lambda o: o["passed"]
+    got = one(spark, passed(a.contains(text, "hello")), passed(a.icontains_any(text, "x", "WÖRLD")), passed(a.matches(text, r"w\w+ \d+")), a.matches(text, "(")["unevaluable"], a.matches(text, "(?=x)")["unevaluable"])
+    assert got == [False, True, True, True, True]
+    no = lambda t, **k: a.negated(a.contains(t, "sorry"), t, **k)["passed"]
+    assert one(spark, no(text), no(blank), no(blank, has_tool_calls=F.lit(True)), a.negated(a.matches(text, "("), text)["unevaluable"]) == [True, False, True, True]
+    assert one(spark, passed(a.at_most(F.lit(None).cast("int"), 3)), a.weighted_mean([]), a.similar(F.array(F.lit(1.0)), F.array(F.lit(-1.0)))["score"]) == [True, 1.0, 0.0]
+    yes, bad = (a.contains(text, "Hello"), 1.0), (a.contains(text, "no"), 1.0)
+    assert one(spark, a.case_status([yes, bad]), a.case_status([yes, bad], threshold=0.5), a.case_status([bad], expect_fail=F.lit(True)), a.case_status([yes], expect_fail=F.lit(True)), a.case_status([yes, (a.matches(text, "["), 1.0)])) == ["fail", "pass", "xfail", "xpass", "error"]
+
+
+def test_selection_and_grants(spark):
+    cases = spark.createDataFrame([("p::abc1", "t1"), ("p::abc2", "t2"), ("q::zz", "p::a")], "case_key string, test_id string")
+    names = lambda s: sorted((r["case_key"], r["tier"]) for r in su.select_cases(cases, s).collect())
+    assert names("p::abc1") == [("p::abc1", 1)] and names("p::a") == [("p::abc1", 2), ("p::abc2", 2)] and names("t2") == [("p::abc2", 3)] and names("ZZ") == [("q::zz", 4)] and names("none") == []
+    grants = spark.createDataFrame(q.GRANTS, "project string, suite string, user_id string, level string")
+    assert {(r[0], r[1]): r[2] for r in su.covering_grant(grants).collect()}[("2-HIGH", "ada")] == "manage"
+    with pytest.raises(ValueError):
+        su.sweep(cases, {"x": []})
+    assert [r[0] for r in su.missing_last(spark.createDataFrame([(1, None), (2, 5), (3, 4)], "k int, x int"), "x", "k", True).collect()] == [2, 3, 1]
+
+
+def test_search(spark):
+    docs = spark.createDataFrame([(1, "the zorblatt, gronkle"), (2, "Zorb zorb zorb"), (3, None)], "doc_id long, text string")
+    ids = lambda s: [r[0] for r in se.search(docs, s).orderBy(F.desc("score")).collect()]
+    assert ids("zor") == [2, 1] and ids("zor gron") == [1] and ids('" *') == [] and ids("absent") == []
+    assert docs.where("doc_id = 1").select(se.snippet(F.col("text"), "gron", 2)).first()[0] == "zorblatt gronkle"
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('id,tags,expect_fail,user_input,__assert\na,"x, y,",known,hi,"[{""contains"": 1}]"\n,,FALSE,,\n')
+    rows = ingest.read_tests_table(spark, f"file://{tmp_path}/t.csv").orderBy(F.col("test_id").desc_nulls_last()).collect()
+    assert [(r["test_id"], r["tags"], r["asserts"], r["expect_fail"], r["vars"]) for r in rows] == [("a", ["x", "y"], '[{"contains": 1}]', True, {"user_input": "hi"}), (None, [], None, False, {"user_input": ""})]
+    (tmp_path / "t.json").write_text(json.dumps({"tests": [{"id": "a"}, {"id": "b"}]}))
+    (tmp_path / "t.jsonl").write_text('{"id": "c"}\n\n{"id": "d"}\n')
+    assert sorted(r["id"] for r in ingest.read_tests_json(spark, f"file://{tmp_path}/t.json").union(ingest.read_tests_json(spark, f"file://{tmp_path}/t.jsonl", lines=True)).collect()) == ["a", "b", "c", "d"]
+
+
+def test_streaming_ingest_stores_each_run_once(spark, tmp_path):
+    source, table = tmp_path / "in", f"file://{tmp_path}/table"
+    source.mkdir()
+    for n, rows in enumerate([["a", "b"], ["b", "c"]]):
+        (source / f"{n}.json").write_text("".join(json.dumps({"run_id": r, "cases": len(r)}) + "\n" for r in rows))
+        ingest_runs(spark, f"file://{source}", "run_id string, cases long", table, f"file://{tmp_path}/at").awaitTermination()
+    assert sorted(r["run_id"] for r in spark.read.parquet(table).collect()) == ["a", "b", "c"]
