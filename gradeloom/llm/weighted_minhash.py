@@ -155,17 +155,25 @@ def _chunks(batches, most_words: int):
         yield rows, np.array([len(f) for f in found], np.int64), np.concatenate(found)
 
 
+LIKELY = "shingle long, excess long, rows long"
+
+
 def _likely(share: float, size: int):
     def likely(batches):
-        """Shingles that at least `share` of a chunk's documents hold; a shingle that frequent overall is so in some chunk."""
+        """Shingles that more than `share` of a chunk's documents hold, with what they have above int(share * rows) documents;
+        for each chunk also a row without shingle: int(share * rows), and its rows."""
         for rows, counts, h in _chunks(batches, 400_000):
             doc, x = hashed(counts, h, size)
             ordered = np.sort(x)
             # A shingle found `least` times has equals that many places apart in order.
-            least = int(share * len(rows)) + 1
-            keys = np.unique(ordered[least - 1 :][ordered[least - 1 :] == ordered[: len(ordered) - least + 1]])
-            keys = keys[_document_counts(doc, x, keys) >= least]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["shingle"])
+            most = int(share * len(rows))
+            keys = np.unique(ordered[most:][ordered[most:] == ordered[: max(0, len(ordered) - most)]])
+            df = _document_counts(doc, x, keys)
+            keys, df = keys[df > most], df[df > most]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None, *keys.view(np.int64).tolist()], pa.int64()), pa.array(np.r_[most, df - most].astype(np.int64)), pa.array(np.r_[len(rows), np.zeros(len(keys))].astype(np.int64))],
+                names=["shingle", "excess", "rows"],
+            )
 
     return likely
 
@@ -180,16 +188,33 @@ def _counted(keys: np.ndarray, size: int):
     return counted
 
 
-def idf_table(docs: DataFrame, *, size: int = 5, idf_floor: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def _all_counted(size: int):
+    def counted(batches):
+        for _, counts, h in _chunks(batches, 400_000):
+            x, df = np.unique(shingles(counts, h, size)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(df.astype(np.int64))], names=["shingle", "df"])
+
+    return counted
+
+
+def idf_table(docs: DataFrame, *, size: int = 5, idf_floor: float = 0.1, most_sent: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the shingles in more than idf_floor of docs, and their idf relative to that of all others. There
-    are at most (mean number of shingles) / idf_floor of them."""
+    are at most (mean number of shingles) / idf_floor of them. Shingles that may be among them stay in Spark; only up to
+    most_sent of them are sent to the tasks that count, more meet the counts of all shingles in a join."""
     texts = shared.texts_of(docs).select("text")
-    # In each chunk at most 1 / idf_floor times its mean number of shingles are likely.
-    keys = np.sort(np.array([r[0] for r in texts.mapInArrow(_likely(idf_floor, size), "shingle long").distinct().collect()], np.int64).view(np.uint64))
-    if not len(keys):
-        return keys, np.empty(0)
-    n = docs.count()
-    got = texts.mapInArrow(_counted(keys, size), "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") > idf_floor * n).collect()
+    # A chunk that doesn't tell a shingle holds it in at most int(idf_floor * rows) documents.
+    likely = shared.stored(texts.mapInArrow(_likely(idf_floor, size), LIKELY).groupBy("shingle").agg(F.sum("excess").alias("excess"), F.sum("rows").alias("rows")), "likely")
+    base, n = (likely.where("shingle is null").select("excess", "rows").first() or (0, 0))
+    keys = likely.where(F.col("shingle").isNotNull() & (F.col("excess") + F.lit(base) > idf_floor * n)).select("shingle")
+    n_keys = keys.count()
+    if not n_keys:
+        return np.empty(0, np.uint64), np.empty(0)
+    if n_keys <= most_sent:
+        sent = np.sort(np.array([r[0] for r in keys.collect()], np.int64).view(np.uint64))
+        parts = texts.mapInArrow(_counted(sent, size), "shingle long, df long")
+    else:
+        parts = texts.mapInArrow(_all_counted(size), "shingle long, df long").join(keys, "shingle", "left_semi")
+    got = parts.groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") > idf_floor * n).collect()
     got = sorted((np.int64(r["shingle"]).view(np.uint64), r["df"]) for r in got)
     most = 1 + math.log(1 / idf_floor)
     return np.array([g[0] for g in got], np.uint64), np.array([(1 + math.log(n / g[1])) / most for g in got])

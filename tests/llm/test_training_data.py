@@ -215,3 +215,13 @@ def test_weighted_sampling():
     zero = np.zeros(300, np.int64)
     same = (s.sketch(zero, x, w, 1) == s.sketch(zero, x, v, 1)).mean()
     assert abs(same - np.minimum(w, v).sum() / np.maximum(w, v).sum()) < 0.03
+
+
+def test_likely_shingles_stay_in_spark(spark, monkeypatch):
+    # Partitions of under ten rows, where every shingle is likely: few may be sent, and both ways of counting agree.
+    rows = spark.createDataFrame([(i, " ".join(["a b c d e f" if i % 2 else "g h i j k", *(f"w{i}x{k}" for k in range(30))])) for i in range(40)], "doc_id long, text string").repartition(10)
+    sent = []
+    monkeypatch.setattr(weighted_minhash, "_counted", lambda keys, size, f=weighted_minhash._counted: sent.append(len(keys)) or f(keys, size))
+    few, joined = weighted_minhash.idf_table(rows), weighted_minhash.idf_table(rows, most_sent=0)
+    assert len(few[0]) == 3 and sent == [3]
+    assert few[0].tolist() == joined[0].tolist() and np.allclose(few[1], joined[1])
