@@ -325,7 +325,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, *, similar: float = 0.8, size: int = 5, bands: int = 13, rows: int = 4, idf_floor: float = 0.1, group: int = 500, pivots: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, similar: float = 0.8, size: int = 5, bands: int = 16, rows: int = 4, idf_floor: float = 0.1, group: int = 500, pivots: int = 4) -> DataFrame:
     """doc_id, row_no (hash of id and text), class_id (the least doc_id of the document's class), n_links (verified links of its text's class), kept (true for
     one row of each class)."""
     spark = docs.sparkSession

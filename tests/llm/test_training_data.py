@@ -225,3 +225,10 @@ def test_likely_shingles_stay_in_spark(spark, monkeypatch):
     few, joined = weighted_minhash.idf_table(rows), weighted_minhash.idf_table(rows, most_sent=0)
     assert len(few[0]) == 3 and sent == [3]
     assert few[0].tolist() == joined[0].tolist() and np.allclose(few[1], joined[1])
+
+
+def test_threshold_pairs_rarely_miss_all_bands():
+    import inspect
+
+    p = {k: v.default for k, v in inspect.signature(weighted_minhash.near_duplicates).parameters.items()}
+    assert (1 - p["similar"] ** p["rows"]) ** p["bands"] < 3e-4
