@@ -6,10 +6,13 @@ shingles in more than that share of the documents weigh less than the rest; thes
 
 Equal word sequences form one class first, and one of each goes on. Improved consistent weighted sampling draws `bands` x
 `rows` samples, alike for two documents with the probability of their weighted Jaccard similarity. Documents that agree in
-all rows of a band share a bucket. A bucket never expands into pairs: its members meet one pivot, drawn by a hash, first the
-sketches, then (if these agree in enough samples) the whole texts, whose exact weighted Jaccard similarity decides. Members that
-are not in their pivot's class by then meet up to `pivots` others in the next round, drawn from the bucket's classes. Rounds go on
-until one links nothing; classes are the connected components of all links. A pivot's members are salted into groups of bounded size.
+all rows of a band share a bucket. First its members meet one pivot, drawn by a hash: the sketches, then (if these agree in
+enough samples) the whole texts, whose exact weighted Jaccard similarity decides. This makes one class of most groups of near
+copies. A pivot's members are salted into groups of bounded size. Buckets that still hold several classes are dealt into blocks,
+and every pair of blocks is one group of a task, in which all pairs of different classes meet: first the sketches of blocks of
+`block` members, then, of the members of pairs that agree, the texts of blocks of about `block_shingles` shingles, until a pair is
+in one class or its texts were compared. Pairs become no rows. A pair of several buckets meets in its first band alone. Classes are the
+connected components of all links, so every pair that shares a band and agrees is linked, connected or not similar.
 
 Null and empty texts, and texts of white space alone, are one class. Repeated rows are in one class by their equal texts; each returns a row.
 An empty table gives no rows. Other columns are ignored.
@@ -254,8 +257,8 @@ def _bands(bands: int, rows: int):
             x = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * C2, s.shape[:2])
             for k in range(rows):
                 x = mixed(x + s[:, :, k])
-            node = np.repeat(batch.column("node").to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(x.reshape(-1).view(np.int64)), pa.array(node)], names=["bucket", "node"])
+            node, band = np.repeat(batch.column("node").to_numpy(), bands), np.tile(np.arange(bands, dtype=np.int32), len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(x.reshape(-1).view(np.int64)), pa.array(band), pa.array(node)], names=["bucket", "band", "node"])
 
     return banded
 
@@ -305,6 +308,123 @@ def _verified(table, least: float, size: int):
     return verified
 
 
+BLOCKED = ("bucket", "lo", "hi")
+
+
+def _blocked(members: DataFrame) -> DataFrame:
+    """members (bucket, node, blocks and more), each in the groups (lo, hi) of its own block with every block of its bucket."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    met = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = met.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).withColumn("side", (F.col("own") > F.col("lo")).cast("int")).drop("own", "other", "blocks")
+    return dealt.repartition(*BLOCKED).sortWithinPartitions(*BLOCKED, "side", "node")
+
+
+def _groups(batches, most: int, weight=None):
+    """Columns of whole groups, in buffers of about `most` rows (or sums of the column weight) at least."""
+    held, size, names = [], 0, None
+    for batch in batches:
+        names = batch.schema.names
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows if weight is None else int(np.sum(batch.column(weight).to_numpy()))
+        if size < most:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        key = np.stack([table[c].to_numpy() for c in BLOCKED])
+        cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))
+        if not len(cut):
+            continue
+        cut = int(cut[-1]) + 1
+        yield table.slice(0, cut)
+        held = pa.Table.from_batches(table.slice(cut).to_batches()).to_batches()
+        size = sum(b.num_rows if weight is None else int(np.sum(b.column(weight).to_numpy())) for b in held)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _candidates(table, bands: int, least: float, at_once: int = 1_000_000):
+    """first, second, agreement: the pairs of a group's rows of different classes whose sketches agree in enough samples and
+    in this band first."""
+    key, side = np.stack([table[c].to_numpy() for c in BLOCKED]), table["side"].to_numpy()
+    roots, band, m = table["root"].to_numpy(), table["band"].to_numpy(), table.num_rows
+    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint32).reshape(m, -1)
+    starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+    ends = np.repeat(np.r_[starts[1:], m], np.diff(np.r_[starts, m]))
+    # In its own block a row meets those behind it; of two blocks, the first one's rows meet the second one's.
+    ahead = np.r_[0, np.cumsum(side == 0)]
+    second = np.repeat(starts + ahead[np.r_[starts[1:], m]] - ahead[starts], np.diff(np.r_[starts, m]))
+    within = key[1] == key[2]
+    begin = np.where(within, np.arange(m) + 1, second)
+    count = np.where(within | (side == 0), ends - begin, 0)
+    total, a = np.cumsum(count), 0
+    while a < m:
+        z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + at_once, side="right")))
+        i, j = np.repeat(np.arange(a, z), count[a:z]), shared.runs(begin[a:z], count[a:z])
+        other = roots[i] != roots[j]
+        i, j = i[other], j[other]
+        for k in range(0, len(i), 50_000):
+            x, y = i[k : k + 50_000], j[k : k + 50_000]
+            same = sketch[x] == sketch[y]
+            agreement = same.mean(axis=1)
+            x, y, same, agreement = (v[agreement >= least] for v in (x, y, same, agreement))
+            first = same.reshape(len(x), bands, sketch.shape[1] // bands).all(axis=2).argmax(axis=1) == band[x]
+            yield x[first], y[first], agreement[first]
+        a = z
+
+
+def _meeting(bands: int, least: float):
+    def meeting(batches):
+        """The members of pairs that agree, once for each group."""
+        for table in _groups(batches, 20_000):
+            found = [np.r_[x, y] for x, y, _ in _candidates(table, bands, least)]
+            if found:
+                got = table.select(["bucket", "band", "node", "root"]).take(pa.array(np.unique(np.concatenate(found)).astype(np.int64)))
+                yield from got.combine_chunks().to_batches()
+
+    return meeting
+
+
+def _linked(weights_of, bands: int, least: float, similar: float, size: int):
+    def linked(batches):
+        """Links that connect the classes of each group: pairs meet by falling agreement until one class holds both."""
+        weigh, memo = Weigher(weights_of), shared.WordHash()
+        for table in _groups(batches, 400_000, "n_shingles"):
+            found = list(_candidates(table, bands, least))
+            x, y, agreement = (np.concatenate([f[k] for f in found] or [np.empty(0)]) for k in range(3))
+            key = np.stack([table[c].to_numpy() for c in BLOCKED])
+            group = np.cumsum(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+            roots, nodes, texts, held, up = table["root"].to_numpy(), table["node"].to_numpy(), table["text"], {}, {}
+
+            def top(k, up=up):
+                while k in up:
+                    if up[k] in up:
+                        up[k] = up[up[k]]
+                    k = up[k]
+                return k
+
+            def weighted(k, held=held, texts=texts):
+                if k not in held:
+                    h = memo.all(shared.words(texts[k].as_py()))
+                    _, s, n = shingles(np.array([len(h)], np.int64), h, size)
+                    held[k] = s, weigh(s, n)
+                return held[k]
+
+            out, now = [], None
+            for k in np.lexsort((-agreement, group[x.astype(np.int64)])).tolist():
+                i, j = int(x[k]), int(y[k])
+                if group[i] != now:
+                    now = group[i]
+                    held.clear(), up.clear()
+                a, b = top(int(roots[i])), top(int(roots[j]))
+                if a != b and similarity(*weighted(i), *weighted(j)) >= similar:
+                    up[a] = b
+                    out.append((nodes[i], nodes[j]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["node", "pivot"])
+
+    return linked
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of each connected component of edges (node, pivot). Each round points the larger neighbours of
     a node to its least one, then the smaller ones; it ends when no edge changes."""
@@ -325,7 +445,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, *, similar: float = 0.8, size: int = 5, bands: int = 16, rows: int = 4, idf_floor: float = 0.1, group: int = 500, pivots: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, similar: float = 0.8, size: int = 5, bands: int = 16, rows: int = 4, idf_floor: float = 0.1, group: int = 500, block: int = 4_000, block_shingles: int = 400_000) -> DataFrame:
     """doc_id, row_no (hash of id and text), class_id (the least doc_id of the document's class), n_links (verified links of its text's class), kept (true for
     one row of each class)."""
     spark = docs.sparkSession
@@ -339,39 +459,37 @@ def near_duplicates(docs: DataFrame, *, similar: float = 0.8, size: int = 5, ban
         first.select(F.xxhash64("same_a", "same_b").alias("node"), "same_a", "same_b", "f.doc_id", "f.row_no", "f.n_shingles", "f.sketch"),
         "nodes",
     )
-    members = nodes.where("n_shingles > 0").select("node", "sketch").mapInArrow(_bands(bands, rows), "bucket long, node long")
+    members = nodes.where("n_shingles > 0").select("node", "sketch").mapInArrow(_bands(bands, rows), "bucket long, band int, node long")
     # Buckets of one member pair nobody.
     crowd = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = shared.stored(members.join(crowd, "bucket", "left_semi"), "buckets")
-    asked_at, links_at = shared.new_folder(spark, "asked"), shared.new_folder(spark, "links")
-    roots, turn = spark.createDataFrame([], "node long, root long"), 0
-    while True:
-        turn += 1
-        now = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")) if turn > 1 else members.withColumn("root", F.col("node"))
-        # First one order for all buckets, so that a group meets one pivot in most of them; then some for each bucket, in which
-        # its classes have equal chances.
-        orders = [F.xxhash64(F.lit(turn), "node")] if turn == 1 else [F.xxhash64(F.lit(turn), F.lit(k), "bucket", "root") for k in range(pivots)]
-        drawn = [F.min(F.struct(order.alias("h"), F.xxhash64(F.lit(turn), "node").alias("g"), "node", "root")) for order in orders]
-        pivot = now.groupBy("bucket").agg(F.array(*drawn).alias("p")).select("bucket", F.inline(F.array_distinct(F.transform("p", lambda x: F.struct(x["node"].alias("pivot"), x["root"].alias("pivot_root"))))))
-        pairs = now.join(pivot, "bucket").where("root <> pivot_root").select("node", "pivot").distinct()
-        if turn > 1:
-            pairs = pairs.join(spark.read.schema(PAIR).parquet(*[f"{asked_at}/{k}" for k in range(1, turn)]), ["node", "pivot"], "left_anti")
-        sketch = nodes.select("node", "sketch")
-        both = pairs.join(sketch, "node").join(sketch.select(F.col("node").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
-        asked = shared.stored(both.select("node", "pivot", "sketch", "pivot_sketch").mapInArrow(_agreeing(similar - 0.25), PAIR), "asked", f"{asked_at}/{turn}")
-        found = shared.stored(_verify(asked, nodes, texts, table, similar, size, group), "links", f"{links_at}/{turn}")
-        if found.isEmpty():
-            break
-        if turn == 1:
-            roots = components(found)
-        else:  # links between classes so far
-            of = roots.withColumnRenamed("root", "r")
-            ends = found.join(of, "node", "left").select(F.coalesce("r", "node").alias("node"), "pivot")
-            ends = ends.join(of.withColumnRenamed("node", "pivot"), "pivot", "left").select("node", F.coalesce("r", "pivot").alias("pivot"))
-            joined = components(ends)
-            to = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
-            roots = shared.stored(roots.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")).union(joined.select("node", "root")), "roots")
-    links = spark.read.schema(PAIR).parquet(*[f"{links_at}/{k}" for k in range(1, turn + 1)])
+    # One order for all buckets, so that a group meets one pivot in most of them.
+    pivot = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(1), "node").alias("h"), "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
+    pairs = members.join(pivot, "bucket").where("node <> pivot").select("node", "pivot").distinct()
+    sketch = nodes.select("node", "sketch")
+    both = pairs.join(sketch, "node").join(sketch.select(F.col("node").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
+    agree, links_at = similar - 0.25, shared.new_folder(spark, "links")
+    asked = shared.stored(both.select("node", "pivot", "sketch", "pivot_sketch").mapInArrow(_agreeing(agree), PAIR), "asked")
+    roots = components(shared.stored(_verify(asked, nodes, texts, table, similar, size, group), "links", f"{links_at}/1"))
+    # Then all pairs of a bucket's classes.
+    now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = _blocked(now.join(open_, "bucket").join(sketch, "node").select("bucket", "band", "node", "root", "sketch", "blocks"))
+    meeting = shared.stored(dealt.mapInArrow(_meeting(bands, agree), "bucket long, band int, node long, root long").distinct(), "meeting")
+    own = _texts_at(meeting.select("node").distinct(), nodes, texts).join(nodes.select("node", "sketch", "n_shingles"), "node")
+    own = shared.stored(own, "meeting-texts")
+    large = meeting.join(own.select("node", "n_shingles"), "node").groupBy("bucket").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("blocks"))
+    dealt = _blocked(meeting.join(large, "bucket").join(own, "node"))
+    found = shared.stored(dealt.mapInArrow(_linked(table, bands, agree, similar, size), PAIR), "links", f"{links_at}/2")
+    # Links between classes so far.
+    of = roots.withColumnRenamed("root", "r")
+    ends = found.join(of, "node", "left").select(F.coalesce("r", "node").alias("node"), "pivot")
+    ends = ends.join(of.withColumnRenamed("node", "pivot"), "pivot", "left").select("node", F.coalesce("r", "pivot").alias("pivot"))
+    joined = components(ends)
+    to = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    roots = roots.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")).union(joined.select("node", "root")).groupBy("node").agg(F.min("root").alias("root"))
+    roots = shared.stored(roots, "roots")
+    links = spark.read.schema(PAIR).parquet(f"{links_at}/1", f"{links_at}/2")
     degree = links.select("node").union(links.select(F.col("pivot").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     placed = nodes.select("node", "same_a", "same_b", "doc_id", "row_no").join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = placed.groupBy("root").agg(F.min(F.struct("doc_id", "row_no")).alias("h")).select("root", F.col("h.doc_id").alias("class_id"), F.col("h.row_no").alias("head"))
@@ -380,15 +498,19 @@ def near_duplicates(docs: DataFrame, *, similar: float = 0.8, size: int = 5, ban
     return out.select("doc_id", "row_no", "class_id", "n_links", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("row_no") == F.col("head"))).alias("kept"))
 
 
-def _verify(asked: DataFrame, nodes: DataFrame, texts: DataFrame, table, similar: float, size: int, group: int, most_sent: int = 200_000) -> DataFrame:
-    """The pairs of asked whose whole texts are similar. Up to most_sent keys of texts are broadcast."""
+def _texts_at(asked: DataFrame, nodes: DataFrame, texts: DataFrame, most_sent: int = 200_000) -> DataFrame:
+    """node, text of the nodes of asked. Up to most_sent keys of texts are broadcast."""
     place = nodes.select("node", F.col("doc_id").alias("d"), "row_no")
-    needed = shared.stored(asked.select("node").union(asked.select("pivot")).distinct().join(place, "node"), "needed")
+    needed = shared.stored(asked.join(place, "node"), "needed")
     if needed.count() <= most_sent:  # else the texts are shuffled
         needed = F.broadcast(needed)
     keyed = texts.select(F.col("doc_id").alias("doc"), F.xxhash64("doc_id", "text").alias("key"), "text")
-    own = keyed.join(needed, F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("row_no"))).select("node", "text").dropDuplicates(["node"])
-    own = shared.stored(own, "asked-texts")
+    return keyed.join(needed, F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("row_no"))).select("node", "text").dropDuplicates(["node"])
+
+
+def _verify(asked: DataFrame, nodes: DataFrame, texts: DataFrame, table, similar: float, size: int, group: int) -> DataFrame:
+    """The pairs of asked whose whole texts are similar."""
+    own = shared.stored(_texts_at(asked.select("node").union(asked.select("pivot")).distinct(), nodes, texts), "asked-texts")
     # Each pivot's pairs are dealt to salted groups of about `group`; its text goes to each of them.
     salts = asked.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("salts"))
     left = asked.join(salts, "pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"))

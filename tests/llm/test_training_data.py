@@ -232,3 +232,12 @@ def test_threshold_pairs_rarely_miss_all_bands():
 
     p = {k: v.default for k, v in inspect.signature(weighted_minhash.near_duplicates).parameters.items()}
     assert (1 - p["similar"] ** p["rows"]) ** p["bands"] < 3e-4
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block": 20, "block_shingles": 2_000}])
+def test_pairs_in_a_large_bucket_of_unlike_documents(spark, sizes):
+    # Documents on one template, unlike but for 30 planted pairs; most buckets hold nearly all of them.
+    template = [f"t{k}" for k in range(90)]
+    rows = [(2 * i + j, " ".join([*template, *(f"d{i}x{k}" for k in range(45)), *(f"e{i}x{j}" if j else f"d{i}x45",)])) for i in range(60) for j in range(2 if i % 2 else 1)]
+    got = weighted_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=32, rows=1, idf_floor=1.0, **sizes).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: i - i % 2 for i, _ in rows}
