@@ -7,8 +7,8 @@ smoothed count (c + 0.1) / (N_class + 0.1 * (V_class + 1)), where a word that tr
 document gets the log10 probability of its complete text and end; its state runs through all its windows, however long it is.
 
 Training is truncated backpropagation through windows of `steps` tokens with the state carried over. The weights are
-fitted on a share of the training documents (fit_share, but min_fit_tokens tokens where the corpus has them), which
-grows with the corpus; replicas train on disjoint documents and their weights are averaged after each round.
+fitted on all training documents at every size (with a fit_share below 1 on that share, but min_fit_tokens tokens where the
+corpus has them); replicas train on disjoint documents and their weights are averaged after each round.
 
 Counts of words outside the most_sent most frequent are not broadcast; they meet their documents in a join on the word's
 64-bit hash. A null or empty text is its end alone. Repeated rows are scored each for itself (and count as often in
@@ -444,7 +444,7 @@ def _scored(sent, texts_at_once: int = 2_000, tokens_at_once: int = 1_000_000):
     return scored
 
 
-def score(docs: DataFrame, training: DataFrame, *, n_head: int = 2_048, class_words: int = 64, n_tail: int = 32, hidden: int = 16, most_sent: int = 200_000, fit_share: float = 0.1, min_fit_tokens: int = 2_000_000, replica_tokens: int = 400_000, most_replicas: int = 64, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, *, n_head: int = 2_048, class_words: int = 64, n_tail: int = 32, hidden: int = 16, most_sent: int = 200_000, fit_share: float = 1.0, min_fit_tokens: int = 2_000_000, replica_tokens: int = 400_000, most_replicas: int = 64, rounds: int = 2) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score (smoothed counts), score (the network) of each document."""
     spark = docs.sparkSession
     training = shared.texts_of(training)

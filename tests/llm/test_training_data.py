@@ -241,3 +241,10 @@ def test_pairs_in_a_large_bucket_of_unlike_documents(spark, sizes):
     rows = [(2 * i + j, " ".join([*template, *(f"d{i}x{k}" for k in range(45)), *(f"e{i}x{j}" if j else f"d{i}x45",)])) for i in range(60) for j in range(2 if i % 2 else 1)]
     got = weighted_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=32, rows=1, idf_floor=1.0, **sizes).collect()
     assert {r["doc_id"]: r["class_id"] for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
+def test_weights_see_all_training_documents(spark, monkeypatch):
+    rows, seen = spark.createDataFrame([(i, f"a b c w{i}") for i in range(200)], "doc_id long, text string"), []
+    monkeypatch.setattr(shared, "stored", lambda df, tag, path=None, f=shared.stored: seen.append((tag, out := f(df, tag, path))) or out)
+    recurrent_lm.score(rows, rows, n_head=16, class_words=4, n_tail=4, min_fit_tokens=1)
+    assert dict(seen)["lm-ids"].count() == 200
