@@ -1,6 +1,7 @@
 """Language-model scoring: a gated recurrent network with a class-factored output, trained and run in numpy.
 
-Words are counted over all training documents (every word, every document). The n_head most frequent ones are head
+Words are counted over all training documents (every word, every document). The n_head most frequent ones (as many as
+head_words() gives, which grows with the corpus, in about as many classes as a class has words) are head
 words, in classes of class_words each; every other word belongs to one of n_tail tail classes by its last two bytes. The network
 predicts the next token's class, P(class | state), then the word: by a softmax over the class's words, or in a tail class by the
 smoothed count (c + 0.1) / (N_class + 0.1 * (V_class + 1)), where a word that training never saw has c = 0. So each
@@ -17,6 +18,7 @@ training). Empty tables give no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -53,6 +55,11 @@ class Vocabulary:
         return -(-self.n_head // self.class_words)
 
 
+def head_words(total: int) -> int:
+    """How many head words a corpus of so many tokens gets."""
+    return max(2_048, 8 * math.isqrt(total))
+
+
 def tail_class(word: bytes, n_tail: int) -> int:
     return (word[-1] * 31 + word[-2 if len(word) > 1 else -1]) % n_tail
 
@@ -239,7 +246,8 @@ def train_ids(weights: Weights, v: Vocabulary, docs: list[np.ndarray], lanes: in
         y /= y.sum(axis=1, keepdims=True)
         y[np.arange(len(ids)), _class_of(v.n_head, v.class_words, v.n_classes, ids)] -= 1
         y *= scale
-        grad = {"wc": s.T @ y, "bc": y.sum(axis=0), "ww": np.zeros_like(w["ww"]), "bw": np.zeros_like(w["bw"])}
+        grad = {"wc": s.T @ y, "bc": y.sum(axis=0)}
+        classes, gw, gb = [], [], []
         ds = y @ w["wc"].T
         for c, at in _by_class(ids, v):
             q = s[at] @ w["ww"][c] + w["bw"][c]
@@ -247,7 +255,9 @@ def train_ids(weights: Weights, v: Vocabulary, docs: list[np.ndarray], lanes: in
             q /= q.sum(axis=1, keepdims=True)
             q[np.arange(len(at)), ids[at] % v.class_words] -= 1
             q *= scale
-            grad["ww"][c], grad["bw"][c] = s[at].T @ q, q.sum(axis=0)
+            classes.append(c)
+            gw.append(s[at].T @ q)
+            gb.append(q.sum(axis=0))
             ds[at] += q @ w["ww"][c].T
         dstates = np.zeros_like(states)
         dstates[there] = ds
@@ -266,7 +276,9 @@ def train_ids(weights: Weights, v: Vocabulary, docs: list[np.ndarray], lanes: in
         cuts = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
         rows, sums = flat[order][cuts], np.add.reduceat(np.vstack(gx)[order], cuts, axis=0)
         grad["u"] = gu
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()) + float((sums * sums).sum()))
+        # Only rows and classes of this window change.
+        some = [("x", rows, sums)] + ([("ww", classes, np.stack(gw)), ("bw", classes, np.stack(gb))] if classes else [])
+        norm = np.sqrt(sum(float((g * g).sum()) for g in [*grad.values(), *(g for _, _, g in some)]))
         clip = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
         fade = np.float32(rate * (1 - 0.9 * k / max(1, n_windows)) * np.sqrt(1 - 0.99 ** (k + 1)) / (1 - 0.9 ** (k + 1)))
         for name, g in grad.items():
@@ -274,10 +286,11 @@ def train_ids(weights: Weights, v: Vocabulary, docs: list[np.ndarray], lanes: in
             first[name] += np.float32(0.1) * (g - first[name])
             second[name] += np.float32(0.01) * (g * g - second[name])
             w[name] -= fade * first[name] / (np.sqrt(second[name]) + np.float32(1e-6))
-        g = sums * clip
-        first["x"][rows] += np.float32(0.1) * (g - first["x"][rows])
-        second["x"][rows] += np.float32(0.01) * (g * g - second["x"][rows])
-        w["x"][rows] -= fade * first["x"][rows] / (np.sqrt(second["x"][rows]) + np.float32(1e-6))
+        for name, at, g in some:
+            g = g * clip
+            one = first[name][at] = first[name][at] + np.float32(0.1) * (g - first[name][at])
+            two = second[name][at] = second[name][at] + np.float32(0.01) * (g * g - second[name][at])
+            w[name][at] -= fade * one / (np.sqrt(two) + np.float32(1e-6))
         h = after
     return Weights(w)
 
@@ -318,14 +331,16 @@ def count_words(training: DataFrame, n_tail: int) -> DataFrame:
     return parts.groupBy("word").agg(F.max("tail").alias("tail"), F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame, *, n_head: int, class_words: int, n_tail: int, most_sent: int) -> Vocabulary:
+def vocabulary(counts: DataFrame, *, n_head: int | None, class_words: int | None, n_tail: int, most_sent: int) -> Vocabulary:
     total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     top = counts.orderBy(F.desc("n"), "word").limit(most_sent).toArrow()  # at most most_sent rows
     hashes, tails, n = top["word"].to_numpy().view(np.uint64), top["tail"].to_numpy(), top["n"].to_numpy()
     # The end of a text is always a head word.
+    n_head = head_words(int(total or 0)) if n_head is None else n_head
     rank = np.lexsort((hashes, -n, tails >= 0))[: max(1, n_head)] if len(n) else np.empty(0, np.int64)
     rank = rank[np.argsort(-n[rank], kind="stable")]
     n_head = max(1, len(rank))
+    class_words = math.isqrt(n_head - 1) + 1 if class_words is None else class_words
     head = np.full(len(n), -1, np.int64)
     head[rank] = np.arange(len(rank))
     by_tail = {r["tail"]: (r["n"], r["d"]) for r in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).collect()}
@@ -353,15 +368,29 @@ def _encoded(sent, end=END):
     return encoded
 
 
-def _trained(sent, chunk_tokens: int = 500_000):
-    """One row per replica. Its documents stream by in chunks of bounded size."""
+SLICES = "slice int, replica int, tokens long, weights binary"
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    """The token-weighted mean of one slice of the replicas' weights."""
+    rows = sorted(table.to_pylist(), key=lambda x: x["replica"])
+    total = sum(x["tokens"] for x in rows)
+    mean = sum(np.float32(x["tokens"] / total) * np.frombuffer(x["weights"], np.float32) for x in rows)
+    return pa.table({"slice": pa.array([rows[0]["slice"]], pa.int32()), "weights": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+
+
+def _trained(sent, chunk_tokens: int = 500_000, slice_bytes: int = 1 << 20):
+    """The slices of each replica's weights. Its documents stream by in chunks of bounded size."""
 
     def trained(batches):
         v, start = sent.value
         replica, weights, held, size, total = None, start, [], 0, 0
 
         def done():
-            return pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([weights.dump()], pa.binary())], names=["tokens", "weights"])
+            data = weights.dump()
+            parts = [data[k : k + slice_bytes] for k in range(0, len(data), slice_bytes)]
+            n = len(parts)
+            return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([replica] * n, pa.int32()), pa.array([total] * n, pa.int64()), pa.array(parts, pa.binary())], names=["slice", "replica", "tokens", "weights"])
 
         for batch in batches:
             for r, ids in zip(batch.column("replica").to_pylist(), batch.column("ids").to_pylist(), strict=True):
@@ -396,11 +425,10 @@ def train(training: DataFrame, v: Vocabulary, *, hidden: int, fit_share: float,
     for k in range(rounds):
         sent = spark.sparkContext.broadcast((v, weights))
         own = ids.where(F.col("round") == k).repartition(replicas, "replica").sortWithinPartitions("replica", "ids")
-        got = own.mapInArrow(_trained(sent), "tokens long, weights binary").collect()  # at most most_replicas rows
+        # The replicas' weights meet in Spark; one set of weights reaches the driver.
+        got = own.mapInArrow(_trained(sent), SLICES).groupBy("slice").applyInArrow(_mean, "slice int, weights binary").collect()
         if got:
-            total = sum(r["tokens"] for r in got)
-            parts = [(r["tokens"] / total, weights.like(r["weights"]).arrays) for r in got]
-            weights = Weights({name: sum(np.float32(p) * a[name] for p, a in parts) for name in weights.arrays})
+            weights = weights.like(b"".join(bytes(r["weights"]) for r in sorted(got, key=lambda r: r["slice"])))
     return weights
 
 
@@ -444,7 +472,7 @@ def _scored(sent, texts_at_once: int = 2_000, tokens_at_once: int = 1_000_000):
     return scored
 
 
-def score(docs: DataFrame, training: DataFrame, *, n_head: int = 2_048, class_words: int = 64, n_tail: int = 32, hidden: int = 16, most_sent: int = 200_000, fit_share: float = 1.0, min_fit_tokens: int = 2_000_000, replica_tokens: int = 400_000, most_replicas: int = 64, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, *, n_head: int | None = None, class_words: int | None = None, n_tail: int = 32, hidden: int = 16, most_sent: int = 200_000, fit_share: float = 1.0, min_fit_tokens: int = 2_000_000, replica_tokens: int = 400_000, most_replicas: int = 64, rounds: int = 2) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score (smoothed counts), score (the network) of each document."""
     spark = docs.sparkSession
     training = shared.texts_of(training)

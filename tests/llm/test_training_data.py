@@ -248,3 +248,10 @@ def test_weights_see_all_training_documents(spark, monkeypatch):
     monkeypatch.setattr(shared, "stored", lambda df, tag, path=None, f=shared.stored: seen.append((tag, out := f(df, tag, path))) or out)
     recurrent_lm.score(rows, rows, n_head=16, class_words=4, n_tail=4, min_fit_tokens=1)
     assert dict(seen)["lm-ids"].count() == 200
+
+
+def test_vocabulary_grows_with_the_corpus(spark):
+    counts = spark.range(6000).selectExpr("id as word", "cast(if(id = 0, -1, id % 4) as int) as tail", "cast(100 as long) as n")
+    v = recurrent_lm.vocabulary(counts, n_head=None, class_words=None, n_tail=4, most_sent=200_000)
+    assert v.n_head == 6000 and v.class_words == 78 and v.n_classes == 77
+    assert recurrent_lm.head_words(100_000_000) == 80_000 and recurrent_lm.head_words(0) == 2_048
