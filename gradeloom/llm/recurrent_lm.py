@@ -414,8 +414,10 @@ def train(training: DataFrame, v: Vocabulary, *, hidden: int, fit_share: float,
     """Rounds of local training on disjoint documents, then the token-weighted mean of the replicas' weights."""
     spark = training.sparkSession
     share = min(1.0, max(fit_share, min_fit_tokens / max(1, v.total)))
-    replicas = max(1, min(most_replicas, int(share * v.total) // (rounds * replica_tokens)))
     weights = Weights.start(v, hidden)
+    # A replica reads at least as many tokens a round as it has weights to send.
+    least = max(replica_tokens, sum(a.size for a in weights.arrays.values()))
+    replicas = max(1, min(most_replicas, int(share * v.total) // (rounds * least)))
     # The share is drawn by whole documents, anew from all training documents; a replica holds bounded ids, not texts.
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1_000_000))
     deal = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(replicas * rounds)).cast("int")
