@@ -7,7 +7,8 @@ lines), standardised over the fitting sample; and the table's n_chars. Labels, l
 
 It is fitted on a bounded sample of labelled rows: the most_rows rows of the training folds with the smallest hash of
 their id; their features, not their texts, reach the driver. Scoring is a map over all rows. A null or empty text is
-scored by its statistics alone; a null n_chars counts as the text's length. Repeated rows get equal scores. Without labels
+scored by its statistics alone; a null n_chars counts as the text's length. Repeated rows get equal scores; of labelled rows
+with one id and several texts one is learnt, always the same one, and of several labels of an id the highest. Without labels
 of both kinds the score is the share of label 1 (0.5 without labels). An empty table gives no rows.
 """
 
@@ -142,6 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", folds:
     )
     rows = shared.texts_of(docs, _n_chars(docs)).join(F.broadcast(chosen), "doc_id")  # at most most_rows ids
     got = rows.mapInPandas(_features(bits), "doc_id long, y double, buckets binary, x binary, stats array<double>").collect()
+    # Of repeated rows with one id, the one with the greatest features is learnt.
+    got = sorted(got, key=lambda r: (r["doc_id"], bytes(r["buckets"]), bytes(r["x"]), r["stats"]))
     got = sorted({r["doc_id"]: r for r in got}.values(), key=lambda r: r["doc_id"])
     features = [(np.frombuffer(r["buckets"], np.int64), np.frombuffer(r["x"], np.float32), np.array(r["stats"])) for r in got]
     return fit(features, np.array([r["y"] for r in got]), bits, rank)
@@ -174,8 +177,8 @@ def scores(docs: DataFrame, machine: Machine):
         memo, m = shared.WordHash(), sent.value
         for texts, n_chars in batches:
             parts = [np.empty(0)]
-            for k in range(0, len(texts), 512):
-                y = raw_scores(m, *featurise(texts[k : k + 512].tolist(), n_chars[k : k + 512].tolist(), m.bits, memo))
+            for k in range(0, len(texts), 256):
+                y = raw_scores(m, *featurise(texts[k : k + 256].tolist(), n_chars[k : k + 256].tolist(), m.bits, memo))
                 parts.append(1 / (1 + np.exp(-y.astype(np.float64).clip(-30, 30))))
             yield pd.Series(np.concatenate(parts))
 

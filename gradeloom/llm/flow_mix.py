@@ -8,8 +8,10 @@ pattern as many whole times as all can be taken, and the first ones of the order
 
 Sources stand in code point order, null last. They weigh 1, 2, 3, repeating, unless weights are given, and share the
 total size; a target above most_repeats times its source's size is cut to that, and the excess reshared by weight
-until none is above. Repeated rows are documents of their own; a document of size 0 is taken 0 times. An empty table
-gives no rows. Other columns are carried along.
+until none is above. A null source (or a null array of sources) is a source of its own; a document with an empty array
+belongs to none and is not taken. Repeated rows are documents of their own; rows equal in id and text stand at one place
+of the order and are taken alike. A document of size 0 is taken 0 times. An empty table gives no rows. Other columns are
+carried along; those with the name of a result column give way to it.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 import heapq
 import itertools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm import shared
@@ -93,20 +95,26 @@ def min_cost_flow(supply: dict, quotas: dict, most_repeats: int = 3) -> dict:
     return {(at[1], edges[e][0][1]): edges[e ^ 1][1] for at, own in out.items() if isinstance(at, tuple) and at[0] == "p" for e in own if isinstance(edges[e][0], tuple) and edges[e][0][0] == "s" and edges[e ^ 1][1] > 0}
 
 
-def mix(docs: DataFrame, *, sources: Column | None = None, weights: dict | None = None, seed: int = 17, most_repeats: int = 3, most_patterns: int = 100_000, buckets: int = 4_096) -> DataFrame:
+RESULTS = ("mix_size", "mix_copies", "mix_source_size", "mix_target")
+
+
+def mix(docs: DataFrame, *, sources: Column | None = None, weights: dict | None = None, seed: int = 17, most_repeats: int = 3, most_patterns: int = 100_000, bucket_rows: int = 20_000) -> DataFrame:
     """docs with mix_size, mix_copies (how often the mix takes the document) and, if each has one source, mix_source_size
-    and mix_target. sources: an array of each document's sources; the column source if not given."""
+    and mix_target. sources: an array of each document's sources; the column source if not given. The seeded order is cut
+    into buckets of about bucket_rows documents (at least 4,096 buckets), so that one task orders one bucket at most."""
     spark = docs.sparkSession
-    pattern = F.array_sort(F.array_distinct(sources)) if sources is not None else F.array(F.col("source"))
+    pattern = F.array_sort(F.array_distinct(F.coalesce(sources, F.array(F.lit(None).cast("string"))))) if sources is not None else F.array(F.col("source"))
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    rows = docs.drop("mix_size", "mix_copies", "mix_source_size", "mix_target").withColumns({"mix_size": n_words(F.col("text")), "_pattern": pattern, "_order": order})
-    rows = rows.withColumn("_bucket", F.shiftrightunsigned("_order", 64 - (buckets - 1).bit_length()))
+    bits = max(12, min(24, (docs.count() // bucket_rows).bit_length()))
+    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULTS])
+    rows = docs.select(carried.alias("row"), pattern.alias("pattern"), order.alias("place"), n_words(F.col("text")).alias("words"))
+    rows = rows.withColumn("bucket", F.shiftrightunsigned("place", 64 - bits))
     # Sizes by pattern and bucket of the seeded order: at most patterns x buckets rows, combined before the shuffle.
-    sums = shared.stored(rows.groupBy("_pattern", "_bucket").agg(F.sum("mix_size").alias("words")), "mix-sums")
-    found = sums.groupBy("_pattern").agg(F.sum("words").alias("words")).limit(most_patterns + 1).collect()
+    sums = shared.stored(rows.groupBy("pattern", "bucket").agg(F.sum("words").alias("words")), "mix-sums")
+    found = sums.groupBy("pattern").agg(F.sum("words").alias("words")).limit(most_patterns + 1).collect()
     if len(found) > most_patterns:
         raise ValueError(f"more than {most_patterns} membership patterns")
-    supply = {tuple(r["_pattern"]): r["words"] for r in found}
+    supply = {tuple(r["pattern"]): r["words"] for r in found}
     sizes: dict = {}
     for p, n in supply.items():
         for s in p:
@@ -120,30 +128,20 @@ def mix(docs: DataFrame, *, sources: Column | None = None, weights: dict | None
         whole, rest = divmod(min(taken.get(p, 0), most_repeats * n), n) if n else (0, 0)
         one = p[0] if len(p) == 1 else None
         plan.append((list(p), int(whole), int(rest), int(sizes[one]) if len(p) == 1 else None, float(targets[one]) if len(p) == 1 else None))
-    schema = "_p array<string>, _whole int, _rest long, mix_source_size long, mix_target double"
-    plan = spark.createDataFrame(plan, schema)
-    # Where each pattern's order crosses its rest: the bucket, and the words before it.
-    cut = sums.join(F.broadcast(plan.select("_p", "_rest")), F.col("_pattern").eqNullSafe(F.col("_p"))).groupBy("_pattern", "_rest").agg(F.array_sort(F.collect_list(F.struct("_bucket", "words"))).alias("b"))
-    run = F.aggregate(
-        "b",
-        F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("bucket"), F.lit(0).cast("long").alias("before")),
-        lambda s, x: F.struct(
-            (s["sum"] + x["words"]).alias("sum"),
-            F.when((s["bucket"] < 0) & (s["sum"] + x["words"] > F.col("_rest")), x["_bucket"].cast("long")).otherwise(s["bucket"]).alias("bucket"),
-            F.when((s["bucket"] < 0) & (s["sum"] + x["words"] > F.col("_rest")), s["sum"]).otherwise(s["before"]).alias("before"),
-        ),
-    )
-    cuts = spark.createDataFrame(cut.select("_pattern", run.alias("r")).select(F.col("_pattern").alias("_c"), "r.bucket", "r.before").collect(), "_c array<string>, _cut long, _before long")
-    plan = plan.join(cuts, F.col("_p").eqNullSafe(F.col("_c")), "left").drop("_c")
-    planned = rows.join(F.broadcast(plan), F.col("_pattern").eqNullSafe(F.col("_p"))).drop("_p")
-    # Only the bucket in which a pattern's rest is reached, one in `buckets`, is put in order.
-    inside = planned.where("_bucket = _cut").select("_pattern", "_order", "mix_size", "_before", "_rest")
-    by = inside.groupBy("_pattern", "_order").agg(F.sum("mix_size").alias("n"), F.first("_before").alias("_before"), F.first("_rest").alias("_rest"))
-    from pyspark.sql import Window
-
-    upto = F.col("_before") + F.sum("n").over(Window.partitionBy("_pattern").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0))
-    last = by.withColumn("_upto", upto).where("_upto <= _rest + n / 2").groupBy("_pattern").agg(F.max("_order").alias("_last"))
-    done = planned.join(F.broadcast(last.withColumnRenamed("_pattern", "_l")), F.col("_pattern").eqNullSafe(F.col("_l")), "left").drop("_l")
-    more = (F.col("_bucket") < F.col("_cut")) | ((F.col("_bucket") == F.col("_cut")) & F.coalesce(F.col("_order") <= F.col("_last"), F.lit(False)))
-    copies = F.when(F.col("mix_size") == 0, F.lit(0)).otherwise(F.col("_whole") + F.when(more & (F.col("_rest") > 0), F.lit(1)).otherwise(F.lit(0)))
-    return done.withColumn("mix_copies", copies).drop("_pattern", "_order", "_bucket", "_whole", "_rest", "_cut", "_before", "_last")
+    plan = spark.createDataFrame(plan, "of array<string>, whole int, rest long, source_size long, target double")
+    same = F.col("pattern").eqNullSafe(F.col("of"))
+    # The bucket in which each pattern's order crosses its rest, and the words before it.
+    upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    run = sums.withColumn("upto", upto).join(F.broadcast(plan.select("of", "rest")), same).where("upto > rest")
+    cut = run.groupBy("pattern").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")), "bucket").alias("cut"))
+    cut = spark.createDataFrame(cut.select("pattern", "cut.bucket", "cut.before").collect(), "cut_of array<string>, cut long, before long")  # one row a pattern
+    plan = plan.join(cut, F.col("of").eqNullSafe(F.col("cut_of")), "left").drop("cut_of")
+    planned = rows.join(F.broadcast(plan), same)
+    # Only that bucket is put in order.
+    inside = planned.where("bucket = cut").groupBy("pattern", "place").agg(F.sum("words").alias("n"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("pattern").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    last = inside.withColumn("upto", upto).where("upto <= rest + n / 2").groupBy("pattern").agg(F.max("place").alias("last"))
+    done = planned.join(F.broadcast(last.withColumnRenamed("pattern", "last_of")), F.col("pattern").eqNullSafe(F.col("last_of")), "left")
+    more = (F.col("bucket") < F.col("cut")) | ((F.col("bucket") == F.col("cut")) & F.coalesce(F.col("place") <= F.col("last"), F.lit(False)))
+    copies = F.when(F.col("words") == 0, F.lit(0)).otherwise(F.col("whole") + F.when(more & (F.col("rest") > 0), F.lit(1)).otherwise(F.lit(0)))
+    return done.select("row.*", F.col("words").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), copies.alias("mix_copies"))

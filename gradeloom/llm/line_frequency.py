@@ -29,9 +29,13 @@ def _words(text: Column) -> Column:
 
 
 def _repeat_words(w: Column) -> Column:
-    """Words that lie in a three-word window found twice or more. A window's key is 40 bits of its hash, then its place;
-    sorted keys put equal windows side by side, and neighbours are compared word by word."""
-    bits = (1 << 24) - 1
+    """Words that lie in a three-word window found twice or more. A window's key is part of its hash, then its place (24 bits, or
+    31 in texts of more words); sorted keys put equal windows side by side, and neighbours are compared word by word."""
+    return F.when(F.size(w) < 4, F.lit(0)).when(F.size(w) < 1 << 24, _in_repeats(w, 24)).otherwise(_in_repeats(w, 31))
+
+
+def _in_repeats(w: Column, place_bits: int) -> Column:
+    bits = (1 << place_bits) - 1
     windows = F.transform(
         F.sequence(F.lit(0), F.size(w) - 3),
         lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]).bitwiseAND(F.lit(~bits)).bitwiseOR(i.cast("long")),
@@ -52,8 +56,7 @@ def _repeat_words(w: Column) -> Column:
         )
 
     # A one-element transform() names an intermediate array, so that it is made once for each row.
-    counted = F.transform(F.array(keys), lambda k: F.transform(F.array(places(k)), covered)[0])[0]
-    return F.when(F.size(w) < 4, F.lit(0)).otherwise(counted)
+    return F.transform(F.array(keys), lambda k: F.transform(F.array(places(k)), covered)[0])[0]
 
 
 def _normal(line: Column) -> Column:

@@ -4,8 +4,8 @@ Documents are encoded and closed by an end id; one longer than a sequence is cut
 are dealt by a hash of document and piece into groups of about group_pieces, so one task holds one bounded group
 whatever the size of the table, and a group loses at most a part of its last sequence. In a group, best fit places
 pieces by falling length. Local search then takes the emptiest sequence and gives its pieces to fuller ones: by moving
-one, by exchanging one for one, or two for one. Every step moves tokens to the fuller side, so the sum of squared
-fills grows; when a sequence is empty it is gone. It ends when no sequence can be emptied or the lower bound
+one, by exchanging one for one, or two for one; every piece and every pair of pieces counts. Every step raises the sum of
+squared fills; when a sequence is empty it is gone. It ends when no underfull sequence has a step left or the lower bound
 (total length over capacity, rounded up) is met.
 
 A null or empty text is one end id. Repeated rows are packed each for itself. An empty table gives no rows. Other
@@ -35,7 +35,7 @@ def _cut(path: str, style: str, end_id: int, capacity: int):
         ids_of = encoder(path, style).ids
         for batch in batches:
             out = []
-            for doc_id, row_no, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_no", "text")), strict=True):
+            for doc_id, row_no, text in shared.rows_of(batch, "doc_id", "row_no", "text"):
                 ids = ids_of(text) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
@@ -77,57 +77,85 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, tries: int = 64) -> list[list[int]]:
-    """Empties bins into others by moves and exchanges that raise the sum of squared fills. Gives up on a bin when no
-    step is left, and as a whole after `tries` bins in a row could not be emptied."""
-    least = -(-int(lengths.sum()) // capacity)
-    fill = [int(lengths[b].sum()) for b in bins]
-    alive = {k for k in range(len(bins)) if fill[k] < capacity}
-    full = len(bins) - len(alive)
-    stuck, failed = set(), 0
-    while full + len(alive) > least and failed < tries and len(alive - stuck) and len(alive) > 1:
-        e = min(alive - stuck, key=lambda k: (fill[k], k))
-        others = sorted(alive - {e})
-        item = np.array([i for k in others for i in bins[k]], dtype=np.int64)
-        of = np.array([k for k in others for _ in bins[k]], dtype=np.int64)
-        while bins[e]:
-            size, gap, at = lengths[item], capacity - np.array([fill[k] for k in range(len(bins))])[of], None
-            best = 0
-            longest = sorted(bins[e], key=lambda i: -lengths[i])[:12]
-            groups = [(i,) for i in bins[e]] + [(i, j) for n, i in enumerate(longest) for j in longest[n + 1 :]]
-            for give in groups:
-                n = int(sum(lengths[i] for i in give))
-                if len(give) == 1:  # a move: nothing comes back
-                    k = int(np.argmax(np.where(gap >= n, capacity - gap, -1)))
-                    if gap[k] >= n and n * (capacity - gap[k] - fill[e] + n) > best:
-                        best, at = n * int(capacity - gap[k] - fill[e] + n), (give, None, int(of[k]))
-                d = n - size  # what an exchange for one item would carry over
-                gain = np.where((d > 0) & (d <= gap), d * (capacity - gap - fill[e] + d), -1)
-                k = int(np.argmax(gain))
-                if gain[k] > best:
-                    best, at = int(gain[k]), (give, k, int(of[k]))
-            if at is None:
-                break
-            give, back, b = at
-            for i in give:
-                bins[e].remove(i)
-                bins[b].append(i)
-            moved = int(sum(lengths[i] for i in give))
-            if back is not None:
-                i = int(item[back])
-                bins[b].remove(i)
-                bins[e].append(i)
-                moved -= int(lengths[i])
-                item, of = np.delete(item, back), np.delete(of, back)
-            item, of = np.append(item, give), np.append(of, [b] * len(give))
-            fill[b], fill[e] = fill[b] + moved, fill[e] - moved
-        if bins[e]:
-            stuck.add(e)
-            failed += 1
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Empties bins into others by moves and exchanges that raise the sum of squared fills. It goes on until the lower bound
+    is met or no underfull bin has a step left."""
+    bin_of, fill = np.zeros(len(lengths), np.int64), np.zeros(len(bins), np.int64)
+    for k, b in enumerate(bins):
+        bin_of[b], fill[k] = k, int(lengths[b].sum())
+    least, used, stuck = -(-int(lengths.sum()) // capacity), int((fill > 0).sum()), np.zeros(len(bins), bool)
+    # Full bins have neither room nor need.
+    items = np.flatnonzero(fill[bin_of] < capacity)
+    while used > least:
+        able = np.flatnonzero((fill > 0) & (fill < capacity) & ~stuck)
+        if not len(able):
+            break
+        e = int(able[np.argmin(fill[able])])
+        if _emptied(e, bin_of, fill, lengths, items, capacity):
+            used -= 1
+            stuck[:] = False
         else:
-            alive.discard(e)
-            stuck, failed = set(), 0
-    return [b for b in bins if b]
+            stuck[e] = True
+    order = np.argsort(bin_of, kind="stable")
+    return [own.tolist() for own in np.split(order, np.flatnonzero(np.diff(bin_of[order])) + 1) if len(own)]
+
+
+def _emptied(e: int, bin_of: np.ndarray, fill: np.ndarray, lengths: np.ndarray, items: np.ndarray, capacity: int) -> bool:
+    """Takes the best steps from bin e until it is empty (true) or has none left. A bin holds fewer than sqrt(2 capacity)
+    distinct lengths, so the sums that one or two of its items make are a small table, and the best gift for every
+    item of other bins is looked up at once."""
+    while fill[e]:
+        own = items[bin_of[items] == e]
+        others = items[(bin_of[items] != e) & (fill[bin_of[items]] < capacity)]
+        open_ = np.unique(bin_of[others])
+        if int((capacity - fill[open_]).sum()) < fill[e]:
+            return False
+        kinds, counts = np.unique(lengths[own], return_counts=True)
+        one, two = np.zeros(2 * capacity + 1, np.int64), np.zeros(2 * capacity + 1, np.int64)
+        one[kinds] = kinds
+        two[kinds] = kinds
+        pairs = (kinds[:, None] + kinds[None, :])[np.triu(np.ones((len(kinds),) * 2, bool), 1)]
+        two[pairs] = pairs
+        two[2 * kinds[counts > 1]] = 2 * kinds[counts > 1]
+        # The largest gift of at most x tokens.
+        one, two = np.maximum.accumulate(one), np.maximum.accumulate(two)
+        # More tokens to the same bin gain more, so only the largest that fits counts. Moves bring nothing back.
+        n = one[capacity - fill[open_]]
+        gain = np.where(n > 0, n * (fill[open_] - fill[e] + n), 0)
+        k = int(np.argmax(gain))
+        best, step = int(gain[k]), (int(n[k]), None, int(open_[k]))
+        room, size = capacity - fill[bin_of[others]], lengths[others]
+        n = two[room + size]
+        d = n - size
+        gain = np.where(d > 0, d * (fill[bin_of[others]] - fill[e] + d), 0)
+        k = int(np.argmax(gain))
+        if gain[k] > best:
+            best, step = int(gain[k]), (int(n[k]), int(others[k]), int(bin_of[others[k]]))
+        if best <= 0:
+            return False
+        n, back, b = step
+        for i in _making(n, own, lengths):
+            bin_of[i] = b
+        if back is not None:
+            bin_of[back] = e
+            n -= int(lengths[back])
+        fill[b] += n
+        fill[e] -= n
+    return True
+
+
+def _making(n: int, own: np.ndarray, lengths: np.ndarray) -> list[int]:
+    """One or two of the items whose lengths sum to n."""
+    at: dict[int, int] = {}
+    for i in own.tolist():
+        if int(lengths[i]) == n:
+            return [i]
+    for i in own.tolist():
+        other = at.get(n - int(lengths[i]))
+        if other is not None:
+            return [other, i]
+        at.setdefault(int(lengths[i]), i)
+    raise ValueError("no such items")
 
 
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"

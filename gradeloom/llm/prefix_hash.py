@@ -2,13 +2,18 @@
 
 A text's prefix array holds, for each position, the polynomial hash of everything before it, modulo the prime
 2^31 - 1 and for two bases. Two spans are equal if their hashes, taken from the arrays by one subtraction and one
-multiplication, are; the longest common extension of two positions is found by binary search over spans. A
-fingerprint is the text's length and its last pair of prefix hashes; equal texts have equal fingerprints.
-
-The likeness of two texts is the share of the longer one that their common beginning and common end cover, both found
-by binary search; 1 for equal texts (two empty ones too). Null texts count as empty. Rows follow each other by
-ascending doc_id (null ids first), repeated rows by text; the one after the last is the first. With a single row, it
-follows itself. An empty table gives no rows; other columns are ignored.
+multiplication, are; the longest common extension of two positions is found by binary search over spans.
+
+A fingerprint is the text's length, its last pair of prefix hashes and a sample of its first prefix array: the hashes at the
+multiples of a step, counted from the beginning and from the end (the step is the least power of two of which the length has at
+most CELLS). Equal texts have equal fingerprints. Fingerprints alone tell whether spans between sampled positions are equal,
+so their likeness needs no text: from the beginning, and again from the end, it jumps by the longest common extension
+(binary search over the sampled positions), steps over the cell that differs and goes on. The likeness is the share of
+the longer text that equal cells cover (at most what the shorter one has); 1 for equal texts (two empty ones too), 0 if
+only one is empty.
+
+Null texts count as empty. Rows follow each other by ascending doc_id (null ids first), repeated rows by text; the one
+after the last is the first. With a single row, it follows itself. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,17 +94,64 @@ class Prefixes:
             low, high = (mid, high) if self.equal(i - mid, other, j - mid, mid) else (low, mid - 1)
         return low
 
-    def likeness(self, other: Prefixes) -> float:
-        longer = max(self.n, other.n)
-        if not longer:
-            return 1.0
-        ahead = self.extension(0, other, 0)
-        if ahead == longer:
-            return 1.0
-        return min(1.0, (ahead + self.extension_back(self.n, other, other.n)) / longer)
-
     def fingerprint(self) -> str:
-        return f"{self.n:x}." + "".join(f"{int(a[self.n]):08x}" for a in self.arrays)
+        step = step_of(self.n)
+        places = np.concatenate([np.arange(0, self.n + 1, step), np.arange(self.n, -1, -step)])
+        return f"{self.n:x}." + "".join(f"{int(a[self.n]):08x}" for a in self.arrays) + "." + self.arrays[0][places].astype(">u4").tobytes().hex()
+
+
+#: Whole steps of a fingerprint's grid, at most.
+CELLS = 32
+
+
+def step_of(n: int) -> int:
+    """The least power of two of which n holds at most CELLS."""
+    step = 1
+    while n // step > CELLS:
+        step *= 2
+    return step
+
+
+def _sampled(fingerprint: str) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Length, step, and the prefix hashes at multiples of the step from the beginning and from the end."""
+    length, _, sample = fingerprint.split(".")
+    n, found = int(length, 16), np.frombuffer(bytes.fromhex(sample), ">u4").astype(np.uint64)
+    return n, step_of(n), found[: len(found) // 2], found[len(found) // 2 :]
+
+
+def equal_cells(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches (first, behind the last) of equal cells of two grids. a and b hold comparable prefix hashes, so the spans
+    from cell i up to j are equal if a - b is the same at both."""
+    m = min(len(a), len(b))
+    d, out, at = _mod(a[:m] + (P - b[:m])).tolist(), [], 0
+    while at < m - 1:
+        low, high = at, m - 1
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if d[mid] == d[at] else (low, mid - 1)
+        if low > at:
+            out.append((at, low))
+        at = low + 1
+    return out
+
+
+def likeness(fingerprint: str, other: str) -> float:
+    """The share of the longer text that cells cover which both texts have, from the two fingerprints alone."""
+    if fingerprint == other:
+        return 1.0
+    (n, own, ahead, back), (m, its, other_ahead, other_back) = _sampled(fingerprint), _sampled(other)
+    if not n or not m:
+        return 0.0
+    step, longer = max(own, its), max(n, m)
+    # A hash from the end of one text stands at another power of the base than the other's; this makes them alike.
+    lift, other_lift = (np.uint64(pow(BASES[0], k, int(P))) for k in (m, n))
+    found = [(i * step, j * step) for i, j in equal_cells(ahead[:: step // own], other_ahead[:: step // its])]
+    found += [(longer - j * step, longer - i * step) for i, j in equal_cells(_mod(back[:: step // own] * lift), _mod(other_back[:: step // its] * other_lift))]
+    covered = upto = 0
+    for begin, end in sorted(found):
+        covered += max(0, end - max(begin, upto))
+        upto = max(upto, end)
+    return min(covered, n, m) / longer
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -119,11 +171,12 @@ def _pairs(batches):
         m = min(n // 4, next_own.n) if n // 4 else 0
         edited = own.replaced_from(n - n // 4, next_own, m)
         sha = hashlib.sha256((text[: n - n // 4] + next_text[:m]).encode("utf-8", "surrogatepass")).hexdigest()
-        return doc_id, n, sha, own.fingerprint(), edited.fingerprint(), own.likeness(edited), own.likeness(next_own)
+        mine, its, nexts = own.fingerprint(), edited.fingerprint(), next_own.fingerprint()
+        return doc_id, n, sha, mine, its, likeness(mine, its), likeness(mine, nexts)
 
     for batch in batches:
         out = []
-        for p, copy, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "copy", "doc_id", "text")), strict=True):
+        for p, copy, doc_id, text in shared.rows_of(batch, "part", "copy", "doc_id", "text"):
             if p == part and done:
                 continue
             if p != part:

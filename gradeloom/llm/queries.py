@@ -28,7 +28,7 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    out = recurrent_lm.score(docs, docs.where(shared.in_folds("doc_id", 10) != 0))
+    out = recurrent_lm.score(docs, shared.in_folds("doc_id", 10) != 0)
     return out.select("doc_id", (shared.in_folds("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -1,30 +1,32 @@
 """Language-model scoring: a gated recurrent network with a class-factored output, trained and run in numpy.
 
 Words are counted over all training documents (every word, every document). The n_head most frequent ones (as many as
-head_words() gives, which grows with the corpus, in about as many classes as a class has words) are head
-words, in classes of class_words each; every other word belongs to one of n_tail tail classes by its last two bytes. The network
-predicts the next token's class, P(class | state), then the word: by a softmax over the class's words, or in a tail class by the
-smoothed count (c + 0.1) / (N_class + 0.1 * (V_class + 1)), where a word that training never saw has c = 0. So each
-document gets the log10 probability of its complete text and end; its state runs through all its windows, however long it is.
-
-Training is truncated backpropagation through windows of `steps` tokens with the state carried over. The weights are
-fitted on all training documents at every size (with a fit_share below 1 on that share, but min_fit_tokens tokens where the
-corpus has them); replicas train on disjoint documents and their weights are averaged after each round.
-
-Counts of words outside the most_sent most frequent are not broadcast; they meet their documents in a join on the word's
-64-bit hash. A null or empty text is its end alone. Repeated rows are scored each for itself (and count as often in
-training). Empty tables give no rows. Other columns are ignored.
+head_words() gives, which grows with the corpus) are head words, dealt by falling count into classes of equal sums of
+root counts, so that frequent words lie in small classes; every other word belongs to one of n_tail tail classes by its last
+two bytes. The network predicts the next token's class, P(class | state), then the word: by a softmax over the class's words, or
+in a tail class by the smoothed count (c + 0.1) / (N_class + 0.1 * (V_class + 1)), where a word that training never saw has
+c = 0; within a tail class the state decides nothing. So each document gets the log10 probability of its complete text and
+end; its state runs through all its windows, however long it is.
+
+Training is truncated backpropagation through windows of `steps` tokens with the state carried over. The weights are fitted
+on all training documents at every size: in each round, replicas train on disjoint documents, and their weights are averaged.
+Replicas follow the stored parts of the corpus, so their number grows with it.
+
+Texts are encoded once; training and scoring read the ids. Counts of words outside the most_sent most frequent are not
+broadcast; they meet their documents in a join on the word's 64-bit hash. A null or empty text is its end alone. Repeated rows
+are scored each for itself (and count as often in training). Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm import shared
@@ -40,19 +42,22 @@ class Vocabulary:
     counts: np.ndarray
     head: np.ndarray  # place among the head words, or -1
     tails: np.ndarray  # tail class (0 for the end, which is a head word)
-    n_head: int
-    class_words: int
+    starts: np.ndarray  # the first place of each class of head words, and behind the last one
     n_tail: int
     total: int
     distinct: int
     tail_total: np.ndarray  # N of each tail class
     tail_distinct: np.ndarray
-    class_counts: np.ndarray
     word_counts: np.ndarray  # of the head words, by place
 
+    def __post_init__(self):
+        self.n_head, self.n_classes = int(self.starts[-1]), len(self.starts) - 1
+        #: Class of each id: head words by place, then tail classes.
+        self.class_of = np.concatenate([np.repeat(np.arange(self.n_classes), np.diff(self.starts)), self.n_classes + np.arange(self.n_tail)])
+
     @property
-    def n_classes(self) -> int:
-        return -(-self.n_head // self.class_words)
+    def class_counts(self) -> np.ndarray:
+        return np.concatenate([np.add.reduceat(self.word_counts, self.starts[:-1]), self.tail_total])
 
 
 def head_words(total: int) -> int:
@@ -60,6 +65,14 @@ def head_words(total: int) -> int:
     return max(2_048, 8 * math.isqrt(total))
 
 
+def class_starts(word_counts: np.ndarray, n_classes: int | None = None) -> np.ndarray:
+    """Cuts words of falling counts into classes of about equal sums of root counts."""
+    n_classes = n_classes or max(1, round(0.6 * math.sqrt(len(word_counts))))
+    mass = np.cumsum(np.sqrt(word_counts))
+    which = np.minimum(((mass - np.sqrt(word_counts) / 2) / mass[-1] * n_classes).astype(np.int64), n_classes - 1)
+    return np.r_[np.flatnonzero(np.r_[True, which[1:] != which[:-1]]), len(word_counts)]
+
+
 def tail_class(word: bytes, n_tail: int) -> int:
     return (word[-1] * 31 + word[-2 if len(word) > 1 else -1]) % n_tail
 
@@ -68,7 +81,7 @@ class Lookup(dict):
     """word -> its row in ids, base and tail: that of a sent word, or behind those one for each tail class (base and
     tail nan: its count isn't known here). At most `most` words are held."""
 
-    def __init__(self, v: Vocabulary, most: int = 400_000):
+    def __init__(self, v: Vocabulary, most: int = 300_000):
         super().__init__()
         import xxhash
 
@@ -76,7 +89,7 @@ class Lookup(dict):
         self.sent, self.n_sent = dict(zip(v.hashes.tolist(), range(len(v.hashes)), strict=True)), len(v.hashes)
         classes = np.arange(v.n_tail)
         log_c, unknown = np.log10(v.counts + 0.1), np.full(v.n_tail, np.nan)
-        self.ids = np.concatenate([np.where(v.head >= 0, v.head, v.n_head + v.tails), v.n_head + classes])
+        self.ids = np.concatenate([np.where(v.head >= 0, v.head, v.n_head + v.tails), v.n_head + classes]).astype(np.int32)
         self.base = np.concatenate([log_c - np.log10(v.total + 0.1 * (v.distinct + 1)), unknown])
         within = log_c - np.log10(v.tail_total + 0.1 * (v.tail_distinct + 1))[v.tails]
         self.tail = np.concatenate([np.where(v.head >= 0, 0.0, within), unknown])
@@ -92,28 +105,24 @@ class Lookup(dict):
         return np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))
 
 
-@dataclass
 class Weights:
-    """Input projections x (one row per head word and tail class, and one for the start), recurrent u, class and word outputs."""
+    """Input projections x (one row per head word and tail class, and one for the start), recurrent u, class outputs wc and word
+    outputs ww. The last column of wc and ww is the bias."""
 
-    arrays: dict[str, np.ndarray] = field(default_factory=dict)
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.arrays = arrays
 
     @staticmethod
     def start(v: Vocabulary, hidden: int, seed: int = 11) -> Weights:
         rng = np.random.default_rng(seed)
-        c, s = v.n_classes, v.class_words
-        words = np.zeros(c * s)
-        words[: v.n_head] = v.word_counts
-        by_class = words.reshape(c, s) + 0.1
-        bias = np.where(np.arange(c * s).reshape(c, s) < v.n_head, np.log(by_class / by_class.sum(axis=1, keepdims=True)), -30.0)
+        counts = v.word_counts + 0.1
+        within = np.log(counts / np.add.reduceat(counts, v.starts[:-1])[v.class_of[: v.n_head]])
         p = (v.class_counts + 0.5) / (v.class_counts + 0.5).sum()
         a = {
             "x": rng.normal(size=(v.n_head + v.n_tail + 1, 3 * hidden)) * 0.1,
             "u": rng.normal(size=(hidden, 3 * hidden)) * (0.5 / np.sqrt(hidden)),
-            "wc": rng.normal(size=(hidden, c + v.n_tail)) * 0.02,
-            "bc": np.log(p),
-            "ww": rng.normal(size=(c, hidden, s)) * 0.02,
-            "bw": bias,
+            "wc": np.c_[rng.normal(size=(len(p), hidden)) * 0.02, np.log(p)],
+            "ww": np.c_[rng.normal(size=(v.n_head, hidden)) * 0.02, within],
         }
         return Weights({k: x.astype(np.float32) for k, x in a.items()})
 
@@ -128,171 +137,212 @@ class Weights:
         return Weights(out)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def lanes_of(docs: list[np.ndarray], n_lanes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents' input ids dealt to lanes, longest first to the shortest lane, each document in one lane.
-    targets[t, lane] (-1: none) and place[t, lane]: the token's place in the joined documents."""
-    n_lanes = max(1, min(n_lanes, len(docs)))
-    load, lane_docs = [(0, k) for k in range(n_lanes)], [[] for _ in range(n_lanes)]
-    import heapq
-
-    begun = np.cumsum([0, *(len(d) for d in docs)])
-    for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
-        n, k = heapq.heappop(load)
-        lane_docs[k].append(i)
-        heapq.heappush(load, (n + len(docs[i]), k))
-    length = max(n for n, _ in load)
-    place = np.full((n_lanes, length), -1, dtype=np.int64)
-    for k, own in enumerate(lane_docs):
-        at = 0
-        for i in own:
-            place[k, at : at + len(docs[i])] = np.arange(begun[i], begun[i + 1])
-            at += len(docs[i])
-    place = np.ascontiguousarray(place.T)
-    joined = np.concatenate(docs)
-    return np.where(place >= 0, joined[place], -1), place
-
-
-def _inputs(targets: np.ndarray, place: np.ndarray, first: np.ndarray, start_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """The token before each target, and 0 where a document begins (its state starts anew), else 1."""
-    before = np.vstack([np.full((1, targets.shape[1]), start_id), targets[:-1]])
-    begins = np.isin(place, first) | (place < 0)
-    return np.where(begins, start_id, before), np.where(begins, 0, 1).astype(np.float32)
-
-
-def _window(w: dict, h: np.ndarray, inputs: np.ndarray, keep: np.ndarray):
-    """States after each step, and what the way back needs."""
-    hidden, steps = h.shape[1], len(inputs)
-    u, x = w["u"], w["x"]
-    states = np.empty((steps, *h.shape), np.float32)
-    saved = []
+class Lanes:
+    """Documents dealt to lanes, longest first to the shortest lane, each document in one lane; longer lanes come first.
+    targets[t, lane] (-1: none), inputs (the token before, or the start), keep (0 where a document begins), place[t, lane]:
+    the token's place in the joined documents."""
+
+    def __init__(self, docs: list[np.ndarray], n_lanes: int, start_id: int):
+        n_lanes = max(1, min(n_lanes, len(docs)))
+        load, own = [(0, k) for k in range(n_lanes)], [[] for _ in range(n_lanes)]
+        self.begun = np.cumsum([0, *(len(d) for d in docs)])
+        for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+            n, k = heapq.heappop(load)
+            own[k].append(i)
+            heapq.heappush(load, (n + len(docs[i]), k))
+        order = [k for _, k in sorted(load, reverse=True)]
+        self.lengths = np.array([n for n, _ in sorted(load, reverse=True)])
+        place = np.full((n_lanes, int(self.lengths[0])), -1, dtype=np.int32)
+        for lane, k in enumerate(order):
+            at = 0
+            for i in own[k]:
+                place[lane, at : at + len(docs[i])] = np.arange(self.begun[i], self.begun[i + 1])
+                at += len(docs[i])
+        self.place = np.ascontiguousarray(place.T)
+        first = np.zeros(int(self.begun[-1]) + 1, bool)
+        first[self.begun[:-1]] = True
+        first[-1] = True  # where place is -1
+        self.targets = np.where(self.place >= 0, np.concatenate(docs)[self.place], -1)
+        before = np.vstack([np.full((1, n_lanes), start_id, self.targets.dtype), self.targets[:-1]])
+        begins = first[self.place]
+        self.inputs, self.keep = np.where(begins, start_id, before), np.where(begins, np.float32(0), np.float32(1))
+
+    def windows(self, steps: int, least: int = 4_096):
+        """Slices of `steps` steps, and how many lanes have tokens in each. Where few lanes are left, windows are longer (up to 16
+        times), so that they hold about `least` tokens."""
+        t, n = 0, len(self.targets)
+        while t < n:
+            active = int((self.lengths > t).sum())
+            size = max(steps, min(16 * steps, least // active))
+            yield slice(t, t + size), active
+            t += size
+
+
+def _states(w: dict, h: np.ndarray, inputs: np.ndarray, keep: np.ndarray):
+    """States after each step with a last column of ones, and what the way back needs."""
+    steps, lanes = inputs.shape
+    hidden = h.shape[1]
+    u = w["u"]
+    g = w["x"].take(inputs.reshape(-1), axis=0).reshape(steps, lanes, 3 * hidden)
+    out = np.ones((steps, lanes, hidden + 1), np.float32)
+    before, gates, hn, new = (np.empty((steps, lanes, k * hidden), np.float32) for k in (1, 2, 1, 1))
+    half = np.float32(0.5)
     for t in range(steps):
-        h = h * keep[t][:, None]
-        g, hu = x[inputs[t]], h @ u
-        zr = _sigmoid(g[:, : 2 * hidden] + hu[:, : 2 * hidden])
-        z, r, hn = zr[:, :hidden], zr[:, hidden:], hu[:, 2 * hidden :]
-        n = np.tanh(g[:, 2 * hidden :] + r * hn)
-        saved.append((h, z, r, hn, n))
-        h = n + z * (h - n)
-        states[t] = h
-    return h, states, saved
-
-
-def _class_of(v_n_head: int, class_words: int, n_classes: int, ids: np.ndarray) -> np.ndarray:
-    return np.where(ids < v_n_head, ids // class_words, n_classes + ids - v_n_head)
-
-
-def _by_class(ids: np.ndarray, v: Vocabulary):
-    """(class, the tokens of it) of the head words among ids."""
-    order = np.argsort(np.where(ids < v.n_head, ids // v.class_words, 1 << 30), kind="stable")
-    order = order[: int((ids < v.n_head).sum())]
-    if not len(order):
-        return
-    cls = ids[order] // v.class_words
-    cuts = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
-    for a, z in zip(cuts, [*cuts[1:], len(order)], strict=True):
-        yield int(cls[a]), order[a:z]
+        hp, zr, n = before[t], gates[t], new[t]
+        np.multiply(h, keep[t][:, None], out=hp)
+        hu = hp @ u
+        # The sigmoid of y is half of tanh(y / 2), and half.
+        np.add(g[t, :, : 2 * hidden], hu[:, : 2 * hidden], out=zr)
+        zr *= half
+        np.tanh(zr, out=zr)
+        zr *= half
+        zr += half
+        hn[t] = hu[:, 2 * hidden :]
+        np.multiply(zr[:, hidden:], hn[t], out=n)
+        n += g[t, :, 2 * hidden :]
+        np.tanh(n, out=n)
+        h = hp - n
+        h *= zr[:, :hidden]
+        h += n
+        out[t, :, :hidden] = h
+    return h, out, (before, gates, hn, new)
+
+
+def _in_classes(ids: np.ndarray, v: Vocabulary):
+    """The order of ids by class, and for each class of several head words: its begin and end in that order, its first word and
+    the one behind its last."""
+    cls = v.class_of[ids]
+    order = np.argsort(cls.astype(np.int16) if len(v.class_of) and v.class_of[-1] < 32_000 else cls, kind="stable")
+    cuts = np.searchsorted(cls[order], np.arange(v.n_classes + 1))
+    some = np.flatnonzero((np.diff(cuts) > 0) & (np.diff(v.starts) > 1))
+    return order, [(int(cuts[c]), int(cuts[c + 1]), int(v.starts[c]), int(v.starts[c + 1])) for c in some]
+
+
+def _exp(s: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """exp of all scores s @ w.T, each row up to a common factor."""
+    y = s @ w.T
+    if len(y) and np.abs(w).sum(axis=1).max() > 60:  # states lie between -1 and 1, so smaller ones can't overflow
+        y -= y.max(axis=1, keepdims=True)
+    return np.exp(y, out=y)
 
 
 def log_probabilities(w: dict, v: Vocabulary, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Natural log of P(class) and, for head words, of P(word | class)."""
-    y = states @ w["wc"] + w["bc"]
-    y -= y.max(axis=1, keepdims=True)
-    cls = _class_of(v.n_head, v.class_words, v.n_classes, ids)
-    out = y[np.arange(len(ids)), cls] - np.log(np.exp(y).sum(axis=1))
-    for c, at in _by_class(ids, v):
-        q = states[at] @ w["ww"][c] + w["bw"][c]
-        q -= q.max(axis=1, keepdims=True)
-        out[at] += q[np.arange(len(at)), ids[at] % v.class_words] - np.log(np.exp(q).sum(axis=1))
+    """Natural log of P(class) and, for head words, of P(word | class). states have a last column of ones."""
+    y = _exp(states, w["wc"])
+    out = np.log(y[np.arange(len(ids)), v.class_of[ids]] / (y @ np.ones(y.shape[1], np.float32)))
+    order, classes = _in_classes(ids, v)
+    sorted_states, sorted_ids = states[order], ids[order]
+    for a, z, first, end in classes:
+        q = _exp(sorted_states[a:z], w["ww"][first:end])
+        out[order[a:z]] += np.log(q[np.arange(z - a), sorted_ids[a:z] - first] / (q @ np.ones(end - first, np.float32)))
     return out
 
 
-def score_ids(weights: Weights, v: Vocabulary, docs: list[np.ndarray], lanes: int = 256, steps: int = 32) -> np.ndarray:
+def score_ids(weights: Weights, v: Vocabulary, docs: list[np.ndarray], lanes: int = 512, steps: int = 32) -> np.ndarray:
     """Log10 probability of each document's ids; within-tail terms come on top."""
     w, hidden = weights.arrays, len(weights.arrays["u"])
-    begun = np.cumsum([0, *(len(d) for d in docs)])
-    each = np.zeros(int(begun[-1]), np.float64)
-    targets, place = lanes_of(docs, lanes)
-    inputs, keep = _inputs(targets, place, begun[:-1], v.n_head + v.n_tail)
-    h = np.zeros((targets.shape[1], hidden), np.float32)
-    for t in range(0, len(targets), steps):
-        h, states, _ = _window(w, h, inputs[t : t + steps], keep[t : t + steps])
-        own = place[t : t + steps]
-        there = own >= 0
-        each[own[there]] = log_probabilities(w, v, states[there], targets[t : t + steps][there])
-    return np.add.reduceat(each, begun[:-1]) / np.log(10)
-
-
-def train_ids(weights: Weights, v: Vocabulary, docs: list[np.ndarray], lanes: int = 64, steps: int = 32, rate: float = 0.01) -> Weights:
-    """One pass of Adam over docs with backpropagation truncated to windows."""
-    w = {k: a.copy() for k, a in weights.arrays.items()}
-    hidden = len(w["u"])
-    begun = np.cumsum([0, *(len(d) for d in docs)])
-    targets, place = lanes_of(docs, lanes)
-    inputs, keep = _inputs(targets, place, begun[:-1], v.n_head + v.n_tail)
-    first, second = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
-    h, n_windows = np.zeros((targets.shape[1], hidden), np.float32), -(-len(targets) // steps)
-    for k in range(n_windows):
-        own = slice(k * steps, (k + 1) * steps)
-        there = place[own] >= 0
-        after, states, saved = _window(w, h, inputs[own], keep[own])
-        s, ids = states[there], targets[own][there]
-        scale = np.float32(1 / max(1, len(ids)))
-        y = s @ w["wc"] + w["bc"]
-        y = np.exp(y - y.max(axis=1, keepdims=True))
-        y /= y.sum(axis=1, keepdims=True)
-        y[np.arange(len(ids)), _class_of(v.n_head, v.class_words, v.n_classes, ids)] -= 1
-        y *= scale
-        grad = {"wc": s.T @ y, "bc": y.sum(axis=0)}
-        classes, gw, gb = [], [], []
-        ds = y @ w["wc"].T
-        for c, at in _by_class(ids, v):
-            q = s[at] @ w["ww"][c] + w["bw"][c]
-            q = np.exp(q - q.max(axis=1, keepdims=True))
-            q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(len(at)), ids[at] % v.class_words] -= 1
-            q *= scale
-            classes.append(c)
-            gw.append(s[at].T @ q)
-            gb.append(q.sum(axis=0))
-            ds[at] += q @ w["ww"][c].T
-        dstates = np.zeros_like(states)
-        dstates[there] = ds
-        gx, gu, dh = [], np.zeros_like(w["u"]), np.zeros_like(h)
-        for t in range(len(states) - 1, -1, -1):
-            hp, z, r, hn, n = saved[t]
-            dh = dh + dstates[t]
-            dz, dn = dh * (hp - n) * z * (1 - z), dh * (1 - z) * (1 - n * n)
-            dr = dn * hn * r * (1 - r)
-            du = np.hstack([dz, dr, dn * r])
-            gu += hp.T @ du
-            gx.append(np.hstack([dz, dr, dn]))
-            dh = (dh * z + du @ w["u"].T) * keep[own][t][:, None]
-        flat = inputs[own][::-1].reshape(-1)
-        order = np.argsort(flat, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
-        rows, sums = flat[order][cuts], np.add.reduceat(np.vstack(gx)[order], cuts, axis=0)
-        grad["u"] = gu
-        # Only rows and classes of this window change.
-        some = [("x", rows, sums)] + ([("ww", classes, np.stack(gw)), ("bw", classes, np.stack(gb))] if classes else [])
-        norm = np.sqrt(sum(float((g * g).sum()) for g in [*grad.values(), *(g for _, _, g in some)]))
-        clip = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-        fade = np.float32(rate * (1 - 0.9 * k / max(1, n_windows)) * np.sqrt(1 - 0.99 ** (k + 1)) / (1 - 0.9 ** (k + 1)))
-        for name, g in grad.items():
-            g = g * clip
-            first[name] += np.float32(0.1) * (g - first[name])
-            second[name] += np.float32(0.01) * (g * g - second[name])
-            w[name] -= fade * first[name] / (np.sqrt(second[name]) + np.float32(1e-6))
-        for name, at, g in some:
-            g = g * clip
-            one = first[name][at] = first[name][at] + np.float32(0.1) * (g - first[name][at])
-            two = second[name][at] = second[name][at] + np.float32(0.01) * (g * g - second[name][at])
-            w[name][at] -= fade * one / (np.sqrt(two) + np.float32(1e-6))
-        h = after
-    return Weights(w)
+    dealt = Lanes(docs, lanes, v.n_head + v.n_tail)
+    each = np.zeros(int(dealt.begun[-1]), np.float64)
+    h = np.zeros((dealt.targets.shape[1], hidden), np.float32)
+    for own, active in dealt.windows(steps):
+        h, states, _ = _states(w, h[:active], dealt.inputs[own, :active], dealt.keep[own, :active])
+        place = dealt.place[own, :active]
+        there = place >= 0
+        each[place[there]] = log_probabilities(w, v, states[there], dealt.targets[own, :active][there])
+    return np.add.reduceat(each, dealt.begun[:-1]) / np.log(10)
+
+
+class Trainer:
+    """Adagrad over windows of backpropagation; a row of x, wc and ww has one rate."""
+
+    def __init__(self, weights: Weights, v: Vocabulary, rate: float = 0.3):
+        self.w, self.v, self.rate = {k: a.copy() for k, a in weights.arrays.items()}, v, np.float32(rate)
+        self.seen = {k: np.full(len(a), 1e-7, np.float32) for k, a in self.w.items()}
+
+    def _step(self, name: str, rows, g: np.ndarray) -> None:
+        seen = self.seen[name]
+        seen[rows] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+        self.w[name][rows] -= g * (self.rate / np.sqrt(seen[rows]))[:, None]
+
+    def gradients(self, states: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+        """Mean loss's gradients: of wc, of the states, and of slices of ww; and the tokens' losses. States are scaled in place of
+        the much wider rows of probabilities; all is in the order of the ids' classes but what is returned."""
+        w, v, scale = self.w, self.v, np.float32(1 / max(1, len(ids)))
+        order, classes = _in_classes(ids, v)
+        s, own = states[order], ids[order]
+        cls = v.class_of[own]
+        y = _exp(s, w["wc"])
+        sums = y @ np.ones(y.shape[1], np.float32)
+        loss = np.log(sums / y[np.arange(len(own)), cls])
+        part = (scale / sums)[:, None]
+        gc = y.T @ (s * part)
+        cuts = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
+        gc[cls[cuts]] -= scale * np.add.reduceat(s, cuts, axis=0)
+        wc = w["wc"][:, :-1]
+        ds, gw = (y @ wc) * part - scale * wc[cls], []
+        for a, z, first, end in classes:
+            x, ww = s[a:z], w["ww"][first:end]
+            q = _exp(x, ww)
+            sums = q @ np.ones(end - first, np.float32)
+            at = own[a:z] - first
+            loss[a:z] += np.log(sums / q[np.arange(z - a), at])
+            part = (scale / sums)[:, None]
+            g = q.T @ (x * part)
+            np.subtract.at(g, at, scale * x)
+            gw.append((slice(first, end), g))
+            ds[a:z] += (q @ ww[:, :-1]) * part - scale * ww[at, :-1]
+        back = np.empty_like(ds)
+        back[order] = ds
+        return gc, back, gw, loss
+
+    def back(self, dstates: np.ndarray, keep: np.ndarray, saved) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of u and of the gathered rows of x."""
+        before, gates, hn, new = saved
+        steps, lanes, hidden = before.shape
+        dx, back_u = np.empty((steps, lanes, 3 * hidden), np.float32), np.ascontiguousarray(self.w["u"].T)
+        du = np.empty_like(dx)
+        dh = np.zeros((lanes, hidden), np.float32)
+        for t in range(steps - 1, -1, -1):
+            z, r, n = gates[t, :, :hidden], gates[t, :, hidden:], new[t]
+            dh += dstates[t]
+            dz = dh * (before[t] - n) * z * (1 - z)
+            dn = dh * (1 - z) * (1 - n * n)
+            dx[t, :, :hidden] = dz
+            dx[t, :, hidden : 2 * hidden] = dn * hn[t] * r * (1 - r)
+            dx[t, :, 2 * hidden :] = dn
+            du[t, :, : 2 * hidden] = dx[t, :, : 2 * hidden]
+            du[t, :, 2 * hidden :] = dn * r
+            dh = (dh * z + du[t] @ back_u) * keep[t][:, None]
+        return before.reshape(-1, hidden).T @ du.reshape(-1, 3 * hidden), dx
+
+    def fit(self, docs: list[np.ndarray], lanes: int | None = None, steps: int = 32) -> float:
+        """One pass over docs; the mean loss of their tokens as they came by. Without a number of lanes there are up to 512, so many
+        that each has about 64 windows."""
+        lanes = lanes or min(512, max(16, sum(map(len, docs)) // (64 * steps)))
+        w, v, hidden = self.w, self.v, len(self.w["u"])
+        dealt, total = Lanes(docs, lanes, v.n_head + v.n_tail), 0.0
+        h = np.zeros((dealt.targets.shape[1], hidden), np.float32)
+        for own, active in dealt.windows(steps):
+            inputs, keep = dealt.inputs[own, :active], dealt.keep[own, :active]
+            h, states, saved = _states(w, h[:active], inputs, keep)
+            there = dealt.place[own, :active] >= 0
+            gc, ds, gw, loss = self.gradients(states[there], dealt.targets[own, :active][there])
+            total += float(loss.sum())
+            dstates = np.zeros((*there.shape, hidden), np.float32)
+            dstates[there] = ds
+            gu, dx = self.back(dstates, keep, saved)
+            flat = inputs.reshape(-1)
+            order = np.argsort(flat, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
+            self._step("x", flat[order][cuts], np.add.reduceat(dx.reshape(len(flat), -1)[order], cuts, axis=0))
+            self._step("u", slice(None), gu)
+            self._step("wc", slice(None), gc)
+            for rows, g in gw:
+                self._step("ww", rows, g)
+        return total / max(1, int(dealt.begun[-1]))
+
+    def weights(self) -> Weights:
+        return Weights(self.w)
 
 
 def _counts(n_tail: int, most: int = 400_000):
@@ -314,7 +364,7 @@ def _counts(n_tail: int, most: int = 400_000):
             found.clear()
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for (text,) in shared.rows_of(batch, "text"):
                 found.update(text.encode("utf-8", "surrogatepass").lower().split())
                 found[END] += 1
                 if len(found) > most:
@@ -331,16 +381,14 @@ def count_words(training: DataFrame, n_tail: int) -> DataFrame:
     return parts.groupBy("word").agg(F.max("tail").alias("tail"), F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame, *, n_head: int | None, class_words: int | None, n_tail: int, most_sent: int) -> Vocabulary:
+def vocabulary(counts: DataFrame, *, n_head: int | None = None, n_classes: int | None = None, n_tail: int = 32, most_sent: int = 200_000) -> Vocabulary:
     total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     top = counts.orderBy(F.desc("n"), "word").limit(most_sent).toArrow()  # at most most_sent rows
     hashes, tails, n = top["word"].to_numpy().view(np.uint64), top["tail"].to_numpy(), top["n"].to_numpy()
-    # The end of a text is always a head word.
     n_head = head_words(int(total or 0)) if n_head is None else n_head
+    # The end of a text is always a head word.
     rank = np.lexsort((hashes, -n, tails >= 0))[: max(1, n_head)] if len(n) else np.empty(0, np.int64)
     rank = rank[np.argsort(-n[rank], kind="stable")]
-    n_head = max(1, len(rank))
-    class_words = math.isqrt(n_head - 1) + 1 if class_words is None else class_words
     head = np.full(len(n), -1, np.int64)
     head[rank] = np.arange(len(rank))
     by_tail = {r["tail"]: (r["n"], r["d"]) for r in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).collect()}
@@ -348,143 +396,146 @@ def vocabulary(counts: DataFrame, *, n_head: int | None, class_words: int | None
     np.subtract.at(tail_n, tails[rank][tails[rank] >= 0], n[rank][tails[rank] >= 0])
     np.subtract.at(tail_d, tails[rank][tails[rank] >= 0], 1)
     word_counts = n[rank].astype(np.float64) if len(rank) else np.ones(1)
-    c = -(-n_head // class_words)
-    class_counts = np.concatenate([np.add.reduceat(word_counts, np.arange(0, n_head, class_words)), tail_n])
-    assert len(class_counts) == c + n_tail
     order = np.argsort(hashes, kind="stable")
-    return Vocabulary(hashes[order], n[order], head[order], np.maximum(tails, 0)[order].astype(np.int64), n_head, class_words, n_tail, int(total or 0), int(distinct or 0), tail_n, tail_d, class_counts, word_counts)
+    return Vocabulary(hashes[order], n[order], head[order], np.maximum(tails, 0)[order].astype(np.int64), class_starts(word_counts, n_classes), n_tail, int(total or 0), int(distinct or 0), tail_n, tail_d, word_counts)
+
+
+ENCODED = "doc_id long, row_no long, round int, n_tokens long, n_known long, base_score double, tail_score double, ids binary, rest array<struct<word: long, tail: int, n: long>>"
 
 
-def _encoded(sent, end=END):
+def _encoded(sent):
+    """Each document's ids, the base score of its sent words, the within-tail terms of those, and the words that weren't sent."""
+    rest_kind = pa.list_(pa.struct([("word", pa.int64()), ("tail", pa.int32()), ("n", pa.int64())]))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), rest_kind)
+    names = ["doc_id", "row_no", "round", "n_tokens", "n_known", "base_score", "tail_score", "ids", "rest"]
+
     def encoded(batches):
-        look = Lookup(sent.value)
+        v = sent.value
+        look = Lookup(v)
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
-                found = text.encode("utf-8", "surrogatepass").lower().split()
-                out.append(look.ids[look.rows([*found, end])].astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("replica"), batch.column("round"), pa.array(out, pa.binary())], names=["replica", "round", "ids"])
+            for doc_id, row_no, k, text in shared.rows_of(batch, "doc_id", "row_no", "round", "text"):
+                found = [*text.encode("utf-8", "surrogatepass").lower().split(), END]
+                seen = look.rows(found)
+                unknown = seen >= look.n_sent
+                known, rest = seen[~unknown], []
+                if len(known) < len(seen):
+                    for x, n in Counter(found[i] for i in np.flatnonzero(unknown).tolist()).items():
+                        h = look.digest(x)
+                        rest.append({"word": h - (1 << 64) if h >> 63 else h, "tail": tail_class(x, v.n_tail), "n": n})
+                out.append((doc_id, row_no, k, len(seen), len(known), float(look.base[known].sum()), float(look.tail[known].sum()), look.ids[seen].tobytes(), rest))
+            columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return encoded
 
 
-SLICES = "slice int, replica int, tokens long, weights binary"
+def encode(docs: DataFrame, learn: Column, v: Vocabulary, rounds: int, seed: int = 23) -> DataFrame:
+    """ENCODED of all docs; round: in which round a document is learnt from, -1 for none."""
+    rows = shared.texts_of(docs, learn.alias("learn")).withColumn("row_no", F.monotonically_increasing_id())
+    deal = F.when(F.col("learn"), F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(rounds)).cast("int")).otherwise(-1)
+    made = rows.select("doc_id", "row_no", deal.alias("round"), "text").mapInArrow(_encoded(docs.sparkSession.sparkContext.broadcast(v)), ENCODED)
+    return shared.stored(made, "lm-ids")
+
+
+SLICES = "slice int, first long, tokens long, weights binary"
 
 
 def _mean(table: pa.Table) -> pa.Table:
     """The token-weighted mean of one slice of the replicas' weights."""
-    rows = sorted(table.to_pylist(), key=lambda x: x["replica"])
+    rows = sorted(table.to_pylist(), key=lambda x: (x["first"], x["tokens"]))
     total = sum(x["tokens"] for x in rows)
     mean = sum(np.float32(x["tokens"] / total) * np.frombuffer(x["weights"], np.float32) for x in rows)
     return pa.table({"slice": pa.array([rows[0]["slice"]], pa.int32()), "weights": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
 
 
-def _trained(sent, chunk_tokens: int = 500_000, slice_bytes: int = 1 << 20):
-    """The slices of each replica's weights. Its documents stream by in chunks of bounded size."""
+def _chunks(batches, columns: tuple[str, ...], most_tokens: int, long: int = 4_096):
+    """Rows (ids last) in chunks of bounded size. Documents of over `long` tokens are held back for chunks of their own, so that
+    many of them share their steps."""
+    held, size = ([], []), [0, 0]
+    for batch in batches:
+        for row in shared.rows_of(batch, *columns, "ids"):
+            ids = np.frombuffer(row[-1], np.int32)
+            k = int(len(ids) > long)
+            held[k].append((*row[:-1], ids))
+            size[k] += len(ids)
+            if size[k] >= most_tokens:
+                yield held[k][:]
+                held[k].clear()
+                size[k] = 0
+    for rows in held:
+        if rows:
+            yield rows
+
+
+def _trained(sent, rate: float, chunk_tokens: int = 1_000_000, slice_bytes: int = 1 << 20):
+    """The slices of the weights of the replica that learns from this part. Its documents stream by in chunks of bounded size."""
 
     def trained(batches):
-        v, start = sent.value
-        replica, weights, held, size, total = None, start, [], 0, 0
-
-        def done():
-            data = weights.dump()
+        trainer, total, first = None, 0, None
+        for held in _chunks(batches, ("row_no",), chunk_tokens):
+            if trainer is None:
+                v, start = sent.value
+                trainer, first = Trainer(start, v, rate), held[0][0]
+            trainer.fit([x[-1] for x in held])
+            total += sum(len(x[-1]) for x in held)
+        if trainer is not None:
+            data = trainer.weights().dump()
             parts = [data[k : k + slice_bytes] for k in range(0, len(data), slice_bytes)]
             n = len(parts)
-            return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([replica] * n, pa.int32()), pa.array([total] * n, pa.int64()), pa.array(parts, pa.binary())], names=["slice", "replica", "tokens", "weights"])
-
-        for batch in batches:
-            for r, ids in zip(batch.column("replica").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if held and (r != replica or size >= chunk_tokens):
-                    weights, total, held, size = train_ids(weights, v, held), total + size, [], 0
-                if r != replica:
-                    if replica is not None:
-                        yield done()
-                    replica, weights, total = r, start, 0
-                held.append(np.frombuffer(ids, np.int32).astype(np.int64))
-                size += len(held[-1])
-        if held:
-            weights, total = train_ids(weights, v, held), total + size
-        if replica is not None:
-            yield done()
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([first] * n, pa.int64()), pa.array([total] * n, pa.int64()), pa.array(parts, pa.binary())], names=["slice", "first", "tokens", "weights"])
 
     return trained
 
 
-def train(training: DataFrame, v: Vocabulary, *, hidden: int, fit_share: float, min_fit_tokens: int, replica_tokens: int, most_replicas: int, rounds: int, seed: int = 23) -> Weights:
-    """Rounds of local training on disjoint documents, then the token-weighted mean of the replicas' weights."""
-    spark = training.sparkSession
-    share = min(1.0, max(fit_share, min_fit_tokens / max(1, v.total)))
+def train(encoded: DataFrame, v: Vocabulary, *, hidden: int, replica_tokens: int, rounds: int, rate: float) -> Weights:
+    """Rounds of local training on disjoint documents, then the token-weighted mean of the replicas' weights. A replica reads
+    at least replica_tokens tokens and as many as it has weights to send, where the corpus has them."""
+    spark = encoded.sparkSession
     weights = Weights.start(v, hidden)
-    # A replica reads at least as many tokens a round as it has weights to send.
     least = max(replica_tokens, sum(a.size for a in weights.arrays.values()))
-    replicas = max(1, min(most_replicas, int(share * v.total) // (rounds * least)))
-    # The share is drawn by whole documents, anew from all training documents; a replica holds bounded ids, not texts.
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1_000_000))
-    deal = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(replicas * rounds)).cast("int")
-    picked = training.select("text", draw.alias("draw"), deal.alias("deal")).where(F.col("draw") < int(share * 1_000_000))
-    picked = picked.select("text", F.floor(F.col("deal") / rounds).cast("int").alias("replica"), (F.col("deal") % rounds).alias("round"))
-    ids = shared.stored(picked.mapInArrow(_encoded(spark.sparkContext.broadcast(v)), "replica int, round int, ids binary"), "lm-ids")
+    replicas = max(1, v.total // (rounds * least))
     for k in range(rounds):
         sent = spark.sparkContext.broadcast((v, weights))
-        own = ids.where(F.col("round") == k).repartition(replicas, "replica").sortWithinPartitions("replica", "ids")
+        own = encoded.where(F.col("round") == k).select("row_no", "ids").coalesce(replicas)
         # The replicas' weights meet in Spark; one set of weights reaches the driver.
-        got = own.mapInArrow(_trained(sent), SLICES).groupBy("slice").applyInArrow(_mean, "slice int, weights binary").collect()
+        got = own.mapInArrow(_trained(sent, rate), SLICES).groupBy("slice").applyInArrow(_mean, "slice int, weights binary").collect()
         if got:
             weights = weights.like(b"".join(bytes(r["weights"]) for r in sorted(got, key=lambda r: r["slice"])))
+        sent.unpersist()
     return weights
 
 
-SCORED = "doc_id long, row_no long, n_tokens long, n_known long, base_score double, score double, rest array<struct<word: long, tail: int, n: long>>"
+SCORED = "doc_id long, row_no long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scored(sent, texts_at_once: int = 2_000, tokens_at_once: int = 1_000_000):
+def _scored(sent, chunk_tokens: int = 1_000_000):
+    names = ("doc_id", "row_no", "n_tokens", "n_known", "base_score", "tail_score")
+
     def scored(batches):
         v, weights = sent.value
-        look = Lookup(v)
-
-        def put(rows):
-            docs, out = [], []
-            for doc_id, row_no, text in rows:
-                found = [*text.encode("utf-8", "surrogatepass").lower().split(), END]
-                seen = look.rows(found)
-                docs.append(look.ids[seen])
-                unknown = seen >= look.n_sent
-                known = seen[~unknown]
-                rest = []
-                for x, n in Counter(found[k] for k in np.flatnonzero(unknown).tolist()).items():
-                    h = look.digest(x)
-                    rest.append({"word": h - (1 << 64) if h >> 63 else h, "tail": tail_class(x, v.n_tail), "n": n})
-                out.append((doc_id, row_no, len(seen), len(known), float(look.base[known].sum()), float(look.tail[known].sum()), rest))
-            scores = score_ids(weights, v, docs) + np.array([o[5] for o in out])
-            columns = list(zip(*[(*o[:5], s, o[6]) for o, s in zip(out, scores, strict=True)], strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.int64()), ("tail", pa.int32()), ("n", pa.int64())])))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "row_no", "n_tokens", "n_known", "base_score", "score", "rest"])
-
-        held, size = [], 0
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_no", "text")), strict=True):
-                held.append(row)
-                size += len(row[2]) // 6
-                if len(held) >= texts_at_once or size >= tokens_at_once:
-                    yield put(held)
-                    held, size = [], 0
-        if held:
-            yield put(held)
+        for held in _chunks(batches, names, chunk_tokens):
+            *own, tail, ids = list(zip(*held, strict=True))
+            score = score_ids(weights, v, list(ids)) + np.array(tail)
+            kinds = (*[pa.int64()] * 4, pa.float64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(own, kinds, strict=True)), pa.array(score)], names=[*names[:-1], "score"])
 
     return scored
 
 
-def score(docs: DataFrame, training: DataFrame, *, n_head: int | None = None, class_words: int | None = None, n_tail: int = 32, hidden: int = 16, most_sent: int = 200_000, fit_share: float = 1.0, min_fit_tokens: int = 2_000_000, replica_tokens: int = 400_000, most_replicas: int = 64, rounds: int = 2) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score (smoothed counts), score (the network) of each document."""
+def score(docs: DataFrame, learn: Column | None = None, *, n_head: int | None = None, n_classes: int | None = None, n_tail: int = 32, hidden: int = 16, most_sent: int = 200_000, replica_tokens: int = 1_000_000, rounds: int = 2, rate: float = 0.3) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score (smoothed counts), score (the network) of each document. learn says
+    which rows are learnt from (null: not); all of them if not given."""
     spark = docs.sparkSession
-    training = shared.texts_of(training)
-    counts = shared.stored(count_words(training, n_tail), "lm-counts")
-    v = vocabulary(counts, n_head=n_head, class_words=class_words, n_tail=n_tail, most_sent=most_sent)
-    weights = train(training, v, hidden=hidden, fit_share=fit_share, min_fit_tokens=min_fit_tokens, replica_tokens=replica_tokens, most_replicas=most_replicas, rounds=rounds)
-    rows = shared.texts_of(docs, F.monotonically_increasing_id().alias("row_no"))
-    first = shared.stored(rows.mapInArrow(_scored(spark.sparkContext.broadcast((v, weights))), SCORED), "lm-scores")
+    learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    counts = shared.stored(count_words(shared.texts_of(docs.where(learn)), n_tail), "lm-counts")
+    v = vocabulary(counts, n_head=n_head, n_classes=n_classes, n_tail=n_tail, most_sent=most_sent)
+    encoded = encode(docs, learn, v, rounds)
+    weights = train(encoded, v, hidden=hidden, replica_tokens=replica_tokens, rounds=rounds, rate=rate)
+    columns = ("doc_id", "row_no", "n_tokens", "n_known", "base_score", "tail_score", "ids")
+    first = encoded.select(*columns).mapInArrow(_scored(spark.sparkContext.broadcast((v, weights))), SCORED)
     # Words that were not sent meet their counts here; a frequent word is always sent, so no key is hot.
-    rest = first.where(F.size("rest") > 0).select("row_no", F.explode("rest").alias("r")).select("row_no", "r.word", "r.tail", F.col("r.n").alias("times"))
+    rest = encoded.where(F.size("rest") > 0).select("row_no", F.explode("rest").alias("r")).select("row_no", "r.word", "r.tail", F.col("r.n").alias("times"))
     log_c = F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(0.1))
     base = float(np.log10(v.total + 0.1 * (v.distinct + 1)))
     in_tail = F.element_at(F.array(*[F.lit(float(x)) for x in np.log10(v.tail_total + 0.1 * (v.tail_distinct + 1))]), F.col("tail") + 1)
@@ -493,7 +544,7 @@ def score(docs: DataFrame, training: DataFrame, *, n_head: int | None = None, cl
         F.sum(F.col("times") * F.col("n").isNotNull().cast("long")).alias("k"), F.sum(F.col("times") * (log_c - base)).alias("b"), F.sum(F.col("times") * (log_c - in_tail)).alias("s")
     )
     zero = F.lit(0.0)
-    return first.drop("rest").join(sums, "row_no", "left").select(
+    return first.join(sums, "row_no", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),

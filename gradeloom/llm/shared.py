@@ -49,6 +49,39 @@ def dropped(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Tables that only later steps of one operator read. drop() deletes those that were written so far, so it comes when
+    all that is read later has been written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, tag: str) -> DataFrame:
+        self.paths.append(path := new_folder(self.spark, tag))
+        return stored(df, tag, path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            dropped(self.spark, path)
+        self.paths = []
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """name, or with more underscores, so that no column of df (in any case) has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def rows_of(batch: pa.RecordBatch, *columns: str, at_once: int = 512):
+    """Rows of a batch as tuples; only at_once of them are Python objects at a time."""
+    names = columns or batch.schema.names
+    for k in range(0, batch.num_rows, at_once):
+        part = batch.slice(k, at_once)
+        yield from zip(*(part.column(c).to_pylist() for c in names), strict=True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -68,13 +101,13 @@ def in_folds(column: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def part_bounds(docs: DataFrame, rows_per_part: int, most: int = 20_000) -> list[int]:
+def part_bounds(docs: DataFrame, rows_per_part: int, most: int = 100_000) -> list[int]:
     """Ids that cut docs into parts of about rows_per_part rows in ascending doc_id; at most `most` parts."""
     rows = docs.count()
     parts = max(1, min(most, -(-rows // rows_per_part)))
     if parts == 1:
         return []
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 200_000)).first()[0] or []
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], max(200_000, 10 * parts))).first()[0] or []
     return sorted({int(x) for x in cuts})
 
 
@@ -119,7 +152,7 @@ def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """64-bit hash of a word's bytes, remembered; at most `most` words are held."""
 
-    def __init__(self, most: int = 400_000, seed: int = 0):
+    def __init__(self, most: int = 100_000, seed: int = 0):
         super().__init__()
         import xxhash
 

@@ -100,7 +100,7 @@ def _encode(path: str, style: str, end_id: int, block_ids: int, mode: str):
 
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for part, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "text")), strict=True):
+            for part, doc_id, text in shared.rows_of(batch, "part", "doc_id", "text"):
                 if part != shard:
                     if held:
                         yield put(np.frombuffer(b"".join(held), dtype="<u4"), docs)
@@ -128,7 +128,7 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str, *, style: str = "wh
     rows = shared.in_order(shared.texts_of(docs, shared.part_of(bounds).alias("part")), "doc_id", "text")
     rows.mapInArrow(_encode(tokenizer, style, end_id, block_ids, mode), CHUNK).write.option("compression", "none").parquet(f"{path}/chunks")
     parts = spark.read.schema(CHUNK).parquet(f"{path}/chunks").select("shard", "block", "from_id", "n_ids", F.transform("planes", F.octet_length).alias("plane_bytes"), "crc32")
-    # One row per part, of which part_bounds() makes 20,000 at most.
+    # One row per part, of which part_bounds() makes 100,000 at most.
     begun, starts = 0, []
     for shard, n in parts.groupBy("shard").agg(F.sum("n_ids")).orderBy("shard").collect():
         starts.append((shard, begun))
@@ -181,7 +181,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the chunks. Only a document's piece
     checksums (one per block that it touches) are gathered, never its ids."""
     chunks = spark.read.schema(CHUNK).parquet(f"{path}/chunks")
-    # One row per part, of which there are 20,000 at most.
+    # One row per part, of which there are 100,000 at most.
     starts = read_index(spark, path).groupBy("shard").agg(F.min("start").alias("shard_start"))
     pieces = chunks.mapInArrow(_pieces, PIECE).join(F.broadcast(starts), "shard")
     by_doc = pieces.groupBy("shard", "doc_no", "doc_id").agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import string
 import unicodedata
 
@@ -29,13 +30,17 @@ class Encoder:
     "space" - before each blank (byte-level pre-tokenizers that keep the blank with its word);
     "bare" - at white space, which is dropped (word vocabularies);
     "whole" - nowhere, each text is encoded in one go.
+    A text that holds the string of an added token (in any case) is encoded in one go too, by the library's own rules.
     At most `most` pieces are remembered, so that memory stays bounded."""
 
     def __init__(self, path: str, style: str = "whole", most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
+        contents = [x.content for x in self.t.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, contents)), re.IGNORECASE) if contents else None
+        # A character without case that all of them hold tells most texts apart at once.
+        self.mark = next((c for c in contents[0] if c.lower() == c.upper() and all(c in x for x in contents)), "") if contents else ""
         self.style, self.most = style, most
         self.first, self.later = _Pieces(self, ""), _Pieces(self, " " if style == "space" else "")
         self.letters = dict(enumerate(_byte_letters()))
@@ -51,6 +56,8 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.added and self.mark in text and self.added.search(text):
+            return self.plain(text)
         if self.style == "space" and "  " not in text:
             head, *rest = text.split(" ")
             return self.first[head] + b"".join(map(self.later.__getitem__, rest))

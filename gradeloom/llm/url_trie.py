@@ -8,8 +8,9 @@ Host: what follows the first "://" up to "/", "?", "#" or the end, A-Z lower-cas
 the end. A null url, or one without "://", has an empty host and path. Repeated rows are judged one by one, other columns
 are carried along (one with the name of a result column gives way to it), an empty table stays empty.
 
-Up to most_rules rules travel as one broadcast trie. Beyond that, the rules stay a table: the urls' host suffixes are
-joined with the rules' hosts, and the best match is taken by url; both ways give the same rows.
+Up to most_rules rules travel as one broadcast trie. Beyond that, the rules stay a table: each distinct pair of host and path
+meets them in a join on host suffix and path folder (the path up to one of its slashes), so that the rules of a large
+domain are spread over its folders, and the best match is taken by pair; both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.llm import shared
+
 RULES = "verdict string, host string, path string"
 
 
@@ -99,11 +102,15 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame,
             found = [own.find(h, p) for h, p in zip(host, path, strict=True)]
             yield pd.DataFrame({"url_host": host, "url_path": path, "url_rule": [r and r[0] for r in found], "url_verdict": [r[1] if r else default for r in found]})
 
-    return pages.withColumn("_judged", judge("url")).select(*_carried(pages), "_judged.*")
+    judged = shared.fresh_name(pages, "judged")
+    return pages.withColumn(judged, judge("url")).select(*_carried(pages), f"{judged}.*")
+
+
+RESULTS = ("url_host", "url_path", "url_rule", "url_verdict")
 
 
 def _carried(pages: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in pages.columns if c not in ("url_host", "url_path", "url_rule", "url_verdict")]
+    return [F.col(f"`{c}`") for c in pages.columns if c.lower() not in RESULTS]
 
 
 def host_and_path(url):
@@ -113,21 +120,25 @@ def host_and_path(url):
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.regexp_extract(there, r"(?s)\A.*?://([^/?#]*)([^?#]*)", 2)
 
 
+def _folders(path):
+    """Beginnings of a path up to each of its slashes, and the empty one."""
+    places = F.filter(F.sequence(F.lit(0), F.length(path)), lambda k: (k == 0) | (F.substring(path, k, F.lit(1)) == "/"))
+    return F.transform(places, lambda k: F.substring(path, F.lit(1), k))
+
+
 def _judge_by_join(pages: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     host, path = host_and_path(F.col("url"))
-    keyed = pages.withColumn("_row", F.monotonically_increasing_id()).withColumns({"url_host": host, "url_path": path})
+    rows = pages.select(F.struct(*_carried(pages)).alias("row"), host.alias("url_host"), path.alias("url_path"))
     labels = F.split("url_host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    # Rules of one host are one row, and urls meet it once for each of their host's suffixes.
-    by_host = rules.groupBy(F.col("host").alias("_suffix")).agg(F.collect_set(F.struct("path", "verdict")).alias("_rules"))
-    met = keyed.select("_row", "url_host", "url_path", F.explode(suffixes).alias("_suffix")).where("url_host <> ''").join(by_host, "_suffix")
-    best = met.select("_row", "_suffix", F.filter("_rules", lambda r: F.col("url_path").startswith(r["path"])).alias("_fit"), F.length("_suffix").alias("_n")).select(
-        "_row",
-        F.array_max(
-            F.transform("_fit", lambda r: F.struct((F.length(r["path"]) + F.col("_n")).alias("a"), F.col("_n").alias("b"), (r["verdict"] == "block").alias("c"), F.concat("_suffix", r["path"]).alias("rule"), r["verdict"].alias("verdict")))
-        ).alias("_best"),
-    )
-    best = best.groupBy("_row").agg(F.max("_best").alias("_best"))
-    return keyed.join(best, "_row", "left").select(
-        *_carried(pages), "url_host", "url_path", F.col("_best.rule").alias("url_rule"), F.coalesce("_best.verdict", F.lit(default)).alias("url_verdict")
-    )
+    pairs = rows.select("url_host", "url_path").where("url_host <> ''").distinct()
+    asked = pairs.withColumn("suffix", F.explode(suffixes)).withColumn("folder", F.explode(_folders(F.col("url_path"))))
+    # Of equal rules, block stays; those of one host and folder are one row.
+    own = rules.groupBy(F.col("host").alias("suffix"), "path").agg(F.max(F.col("verdict") == "block").alias("shut"))
+    own = own.withColumn("folder", F.regexp_extract("path", r"(?s)\A(.*/)?", 0))
+    own = own.groupBy("suffix", "folder").agg(F.collect_list(F.struct("path", "shut")).alias("rules"))
+    met = asked.join(own, ["suffix", "folder"]).select("url_host", "url_path", "suffix", F.explode(F.filter("rules", lambda r: F.col("url_path").startswith(r["path"]))).alias("r"))
+    rule = F.struct((F.length("suffix") + F.length("r.path")).alias("a"), F.length("suffix").alias("b"), F.concat("suffix", "r.path").alias("rule"), F.col("r.shut").alias("shut"))
+    best = met.groupBy("url_host", "url_path").agg(F.max(rule).alias("best"))
+    verdict = F.when(F.col("best").isNull(), F.lit(default)).otherwise(F.when(F.col("best.shut"), "block").otherwise("allow"))
+    return rows.join(best, ["url_host", "url_path"], "left").select("row.*", "url_host", "url_path", F.col("best.rule").alias("url_rule"), verdict.alias("url_verdict"))

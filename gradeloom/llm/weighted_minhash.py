@@ -1,18 +1,20 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is a weighted set: each run of five words (a shorter text is one shingle), weighted by its count times its
-idf, 1 + ln(N / df), where df is the number of documents that hold the shingle, taken as at least idf_floor of all. So only
-shingles in more than that share of the documents weigh less than the rest; these few are counted exactly.
+idf, 1 + ln(N / df), where df is the number of texts that hold the shingle, taken as at least idf_floor of all N. Texts that
+more than copies_share of all rows have count once together (each row for its part), so that copies weigh nothing down; rarer
+ones count by row. So only shingles in more than the share idf_floor weigh less than the rest; these few are counted exactly.
 
 Equal word sequences form one class first, and one of each goes on. Improved consistent weighted sampling draws `bands` x
 `rows` samples, alike for two documents with the probability of their weighted Jaccard similarity. Documents that agree in
-all rows of a band share a bucket. First its members meet one pivot, drawn by a hash: the sketches, then (if these agree in
-enough samples) the whole texts, whose exact weighted Jaccard similarity decides. This makes one class of most groups of near
-copies. A pivot's members are salted into groups of bounded size. Buckets that still hold several classes are dealt into blocks,
-and every pair of blocks is one group of a task, in which all pairs of different classes meet: first the sketches of blocks of
-`block` members, then, of the members of pairs that agree, the texts of blocks of about `block_shingles` shingles, until a pair is
-in one class or its texts were compared. Pairs become no rows. A pair of several buckets meets in its first band alone. Classes are the
-connected components of all links, so every pair that shares a band and agrees is linked, connected or not similar.
+all rows of a band share a bucket. First its members meet one pivot, the member whose bands lie in the most crowded buckets
+(the middle of a group of near copies): the sketches, then (if these agree in enough samples) the whole texts, whose exact
+weighted Jaccard similarity decides. This makes one class of most groups of near copies. A pivot's members are salted into
+groups of bounded size. Buckets that still hold several classes are dealt into blocks, and every pair of blocks is one group of
+a task, in which all pairs of different classes meet: first the sketches of blocks of `block` members, then, of the
+members of pairs that agree, the texts of blocks of about `block_shingles` shingles, until a pair is in one class or its texts
+were compared. Pairs become no rows. A pair of several buckets meets in its first band alone. Classes are the connected
+components of all links, so every pair that shares a band and agrees is linked, connected or not similar.
 
 Null and empty texts, and texts of white space alone, are one class. Repeated rows are in one class by their equal texts; each returns a row.
 An empty table gives no rows. Other columns are ignored.
@@ -78,14 +80,14 @@ def _distinct(doc: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return doc[cut], x[cut], np.diff(np.r_[cut, len(x)]) if len(x) else cut
 
 
-def _document_counts(doc: np.ndarray, x: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """How many documents hold each of the sorted keys."""
+def _document_counts(doc: np.ndarray, x: np.ndarray, keys: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Sums of the parts of the documents that hold each of the sorted keys."""
     if not len(keys) or not len(x):
-        return np.zeros(len(keys), np.int64)
+        return np.zeros(len(keys))
     at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
     hit = keys[at] == x
     pair = np.unique(at[hit] * (int(doc[-1]) + 1) + doc[hit])
-    return np.bincount(pair // (int(doc[-1]) + 1), minlength=len(keys))
+    return np.bincount(pair // (int(doc[-1]) + 1), part[pair % (int(doc[-1]) + 1)], minlength=len(keys))
 
 
 class Weigher:
@@ -141,12 +143,11 @@ class Sampler:
 
 def _chunks(batches, most_words: int):
     """Rows (without their text), their word counts and joined word hashes, in bounded chunks."""
-    memo = shared.WordHash(200_000)
+    memo = shared.WordHash()
     rows, found = [], []
     n = 0
     for batch in batches:
-        names = batch.schema.names
-        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+        for row in shared.rows_of(batch):
             own = shared.words(row[-1])
             rows.append(row[:-1])
             found.append(memo.all(own))
@@ -158,24 +159,24 @@ def _chunks(batches, most_words: int):
         yield rows, np.array([len(f) for f in found], np.int64), np.concatenate(found)
 
 
-LIKELY = "shingle long, excess long, rows long"
+LIKELY = "shingle long, excess double, rows double"
 
 
 def _likely(share: float, size: int):
     def likely(batches):
-        """Shingles that more than `share` of a chunk's documents hold, with what they have above int(share * rows) documents;
-        for each chunk also a row without shingle: int(share * rows), and its rows."""
-        for rows, counts, h in _chunks(batches, 400_000):
+        """Shingles that more than `share` of a chunk's documents hold, with what they have above that share; for each chunk also a
+        row without shingle: its documents. A document counts for its part of all copies."""
+        for rows, counts, h in _chunks(batches, 200_000):
+            part = np.array([r[0] for r in rows])
             doc, x = hashed(counts, h, size)
-            ordered = np.sort(x)
-            # A shingle found `least` times has equals that many places apart in order.
-            most = int(share * len(rows))
-            keys = np.unique(ordered[most:][ordered[most:] == ordered[: max(0, len(ordered) - most)]])
-            df = _document_counts(doc, x, keys)
+            most = share * part.sum()
+            keys, repeats = np.unique(x, return_counts=True)
+            # No part is above 1, so fewer places than `most` can't be enough.
+            keys = keys[repeats > most]
+            df = _document_counts(doc, x, keys, part)
             keys, df = keys[df > most], df[df > most]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([None, *keys.view(np.int64).tolist()], pa.int64()), pa.array(np.r_[most, df - most].astype(np.int64)), pa.array(np.r_[len(rows), np.zeros(len(keys))].astype(np.int64))],
-                names=["shingle", "excess", "rows"],
+                [pa.array([None, *keys.view(np.int64).tolist()], pa.int64()), pa.array(np.r_[0.0, df - most]), pa.array(np.r_[part.sum(), np.zeros(len(keys))])], names=["shingle", "excess", "rows"]
             )
 
     return likely
@@ -183,9 +184,9 @@ def _likely(share: float, size: int):
 
 def _counted(keys: np.ndarray, size: int):
     def counted(batches):
-        total = np.zeros(len(keys), np.int64)
-        for _, counts, h in _chunks(batches, 400_000):
-            total += _document_counts(*hashed(counts, h, size), keys)
+        total = np.zeros(len(keys))
+        for rows, counts, h in _chunks(batches, 200_000):
+            total += _document_counts(*hashed(counts, h, size), keys, np.array([r[0] for r in rows]))
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(total)], names=["shingle", "df"])
 
     return counted
@@ -193,34 +194,41 @@ def _counted(keys: np.ndarray, size: int):
 
 def _all_counted(size: int):
     def counted(batches):
-        for _, counts, h in _chunks(batches, 400_000):
-            x, df = np.unique(shingles(counts, h, size)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(df.astype(np.int64))], names=["shingle", "df"])
+        for rows, counts, h in _chunks(batches, 200_000):
+            doc, x, _ = shingles(counts, h, size)
+            keys, at = np.unique(x, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at, np.array([r[0] for r in rows])[doc], len(keys)))], names=["shingle", "df"])
 
     return counted
 
 
-def idf_table(docs: DataFrame, *, size: int = 5, idf_floor: float = 0.1, most_sent: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+def idf_table(docs: DataFrame, *, size: int = 5, idf_floor: float = 0.02, copies_share: float = 0.001, most_sent: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the shingles in more than idf_floor of docs, and their idf relative to that of all others. There
     are at most (mean number of shingles) / idf_floor of them. Shingles that may be among them stay in Spark; only up to
     most_sent of them are sent to the tasks that count, more meet the counts of all shingles in a join."""
-    texts = shared.texts_of(docs).select("text")
-    # A chunk that doesn't tell a shingle holds it in at most int(idf_floor * rows) documents.
-    likely = shared.stored(texts.mapInArrow(_likely(idf_floor, size), LIKELY).groupBy("shingle").agg(F.sum("excess").alias("excess"), F.sum("rows").alias("rows")), "likely")
-    base, n = (likely.where("shingle is null").select("excess", "rows").first() or (0, 0))
-    keys = likely.where(F.col("shingle").isNotNull() & (F.col("excess") + F.lit(base) > idf_floor * n)).select("shingle")
+    texts = shared.texts_of(docs)
+    key = F.xxhash64("text")
+    # At most 1 / copies_share texts are that frequent.
+    counts = texts.groupBy(key.alias("copy")).agg(F.count(F.lit(1)).alias("copies"))
+    copied = counts.where(F.col("copies") > F.greatest(F.lit(1.0), F.lit(copies_share * docs.count())))
+    texts = texts.withColumn("copy", key).join(F.broadcast(copied), "copy", "left").select((1 / F.coalesce("copies", F.lit(1))).alias("part"), "text")
+    # A chunk that doesn't tell a shingle holds it in at most half of idf_floor of its documents.
+    likely = shared.stored(texts.mapInArrow(_likely(idf_floor / 2, size), LIKELY).groupBy("shingle").agg(F.sum("excess").alias("excess"), F.sum("rows").alias("rows")), "likely")
+    n = (likely.where("shingle is null").select("rows").first() or (0,))[0]
+    keys = likely.where(F.col("shingle").isNotNull() & (F.col("excess") > idf_floor / 2 * n)).select("shingle")
     n_keys = keys.count()
     if not n_keys:
         return np.empty(0, np.uint64), np.empty(0)
     if n_keys <= most_sent:
         sent = np.sort(np.array([r[0] for r in keys.collect()], np.int64).view(np.uint64))
-        parts = texts.mapInArrow(_counted(sent, size), "shingle long, df long")
+        parts = texts.mapInArrow(_counted(sent, size), "shingle long, df double")
     else:
-        parts = texts.mapInArrow(_all_counted(size), "shingle long, df long").join(keys, "shingle", "left_semi")
+        parts = texts.mapInArrow(_all_counted(size), "shingle long, df double").join(keys, "shingle", "left_semi")
     got = parts.groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") > idf_floor * n).collect()
     got = sorted((np.int64(r["shingle"]).view(np.uint64), r["df"]) for r in got)
     most = 1 + math.log(1 / idf_floor)
-    return np.array([g[0] for g in got], np.uint64), np.array([(1 + math.log(n / g[1])) / most for g in got])
+    # Rounded, as sums of parts depend on their order in the last digits.
+    return np.array([g[0] for g in got], np.uint64), np.array([round((1 + math.log(max(1.0, n / g[1]))) / most, 9) for g in got])
 
 
 PAIR = "node long, pivot long"
@@ -298,7 +306,7 @@ def _verified(table, least: float, size: int):
         pivot = own = None
         for batch in batches:
             out = []
-            for node, p, text, pivot_text in zip(*(batch.column(c).to_pylist() for c in ("node", "pivot", "text", "pivot_text")), strict=True):
+            for node, p, text, pivot_text in shared.rows_of(batch, "node", "pivot", "text", "pivot_text", at_once=128):
                 if p != pivot:
                     pivot, own = p, weighted(pivot_text)
                 if similarity(*weighted(text), *own) >= least:
@@ -316,7 +324,7 @@ def _blocked(members: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     met = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = met.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).withColumn("side", (F.col("own") > F.col("lo")).cast("int")).drop("own", "other", "blocks")
-    return dealt.repartition(*BLOCKED).sortWithinPartitions(*BLOCKED, "side", "node")
+    return dealt.repartition(*BLOCKED).sortWithinPartitions(*BLOCKED, "side", "root", "node")
 
 
 def _groups(batches, most: int, weight=None):
@@ -343,40 +351,52 @@ def _groups(batches, most: int, weight=None):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _candidates(table, bands: int, least: float, at_once: int = 1_000_000):
+def _candidates(table, bands: int, least: float, at_once: int = 400_000):
     """first, second, agreement: the pairs of a group's rows of different classes whose sketches agree in enough samples and
-    in this band first."""
+    in this band first. Rows come by group, side and class."""
     key, side = np.stack([table[c].to_numpy() for c in BLOCKED]), table["side"].to_numpy()
     roots, band, m = table["root"].to_numpy(), table["band"].to_numpy(), table.num_rows
+    if not m:
+        return
     sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint32).reshape(m, -1)
+    samples = np.ascontiguousarray(sketch.T)
+    enough = math.ceil(least * len(samples) - 1e-9)
     starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
-    ends = np.repeat(np.r_[starts[1:], m], np.diff(np.r_[starts, m]))
-    # In its own block a row meets those behind it; of two blocks, the first one's rows meet the second one's.
-    ahead = np.r_[0, np.cumsum(side == 0)]
-    second = np.repeat(starts + ahead[np.r_[starts[1:], m]] - ahead[starts], np.diff(np.r_[starts, m]))
-    within = key[1] == key[2]
-    begin = np.where(within, np.arange(m) + 1, second)
-    count = np.where(within | (side == 0), ends - begin, 0)
-    total, a = np.cumsum(count), 0
-    while a < m:
-        z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + at_once, side="right")))
-        i, j = np.repeat(np.arange(a, z), count[a:z]), shared.runs(begin[a:z], count[a:z])
-        other = roots[i] != roots[j]
-        i, j = i[other], j[other]
-        for k in range(0, len(i), 50_000):
-            x, y = i[k : k + 50_000], j[k : k + 50_000]
-            same = sketch[x] == sketch[y]
-            agreement = same.mean(axis=1)
-            x, y, same, agreement = (v[agreement >= least] for v in (x, y, same, agreement))
-            first = same.reshape(len(x), bands, sketch.shape[1] // bands).all(axis=2).argmax(axis=1) == band[x]
-            yield x[first], y[first], agreement[first]
-        a = z
+    class_ends = np.r_[np.flatnonzero((roots[1:] != roots[:-1]) | (side[1:] != side[:-1])) + 1, m]
+    for a, z in zip(starts.tolist(), np.r_[starts[1:], m].tolist(), strict=True):
+        within = key[1, a] == key[2, a]
+        # In its own block a row meets those of the classes behind it; of two blocks, the first one's rows meet the second one's.
+        middle = z if within else a + int(np.searchsorted(side[a:z], 1))
+        i = a
+        while i < middle:
+            end = min(int(class_ends[np.searchsorted(class_ends, i, side="right")]), middle)
+            if z == (end if within else middle):
+                break  # nothing of another class follows
+            if not within:
+                begin, stop = middle, min(middle, i + max(1, at_once // (z - middle)))
+            elif end - i >= 64:  # rows of a large class meet what is behind it
+                begin, stop = end, min(end, i + max(1, at_once // (z - end)))
+            else:
+                begin, stop = i + 1, min(middle, i + max(1, at_once // (z - i)))
+            equal = np.zeros((stop - i, z - begin), np.uint16 if len(samples) > 255 else np.uint8)
+            for s in samples:
+                equal += s[i:stop, None] == s[None, begin:z]
+            x, y = np.nonzero(equal >= enough)
+            agreement = equal[x, y] / len(samples)
+            x, y = x + i, y + begin
+            keep = (roots[x] != roots[y]) & (y > x)
+            x, y, agreement = x[keep], y[keep], agreement[keep]
+            if len(x):
+                same = (sketch[x] == sketch[y]).reshape(len(x), bands, -1).all(axis=2)
+                mine = same.argmax(axis=1) == band[x]
+                yield x[mine], y[mine], agreement[mine]
+            i = stop
 
 
 def _meeting(bands: int, least: float):
     def meeting(batches):
         """The members of pairs that agree, once for each group."""
-        for table in _groups(batches, 20_000):
+        for table in _groups(batches, 10_000):
             found = [np.r_[x, y] for x, y, _ in _candidates(table, bands, least)]
             if found:
                 got = table.select(["bucket", "band", "node", "root"]).take(pa.array(np.unique(np.concatenate(found)).astype(np.int64)))
@@ -425,7 +445,7 @@ def _linked(weights_of, bands: int, least: float, similar: float, size: int):
     return linked
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: shared.Scratch) -> DataFrame:
     """node, root: the least node of each connected component of edges (node, pivot). Each round points the larger neighbours of
     a node to its least one, then the smaller ones; it ends when no edge changes."""
     sides = edges.where("node <> pivot").select(F.greatest("node", "pivot").alias("v"), F.least("node", "pivot").alias("u")).distinct()
@@ -438,17 +458,18 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(small_least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").union(small_least.select("v", F.col("m").alias("u")))
         seen = Observation()
         changed = small.where("v <> u").distinct()
-        sides = shared.stored(changed.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("sum")), "edges")
+        sides = scratch.stored(changed.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("sum")), "edges")
         now = (seen.get["n"], seen.get["sum"])
         if now == before:
             return sides.select(F.col("v").alias("node"), F.col("u").alias("root"))
         before = now
 
 
-def near_duplicates(docs: DataFrame, *, similar: float = 0.8, size: int = 5, bands: int = 16, rows: int = 4, idf_floor: float = 0.1, group: int = 500, block: int = 4_000, block_shingles: int = 400_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, similar: float = 0.8, size: int = 5, bands: int = 16, rows: int = 4, idf_floor: float = 0.02, group: int = 500, block: int = 16_000, block_shingles: int = 400_000) -> DataFrame:
     """doc_id, row_no (hash of id and text), class_id (the least doc_id of the document's class), n_links (verified links of its text's class), kept (true for
     one row of each class)."""
     spark = docs.sparkSession
+    scratch = shared.Scratch(spark)
     table = idf_table(docs, size=size, idf_floor=idf_floor)
     texts = shared.texts_of(docs)
     key = F.xxhash64("doc_id", "text")
@@ -461,23 +482,25 @@ def near_duplicates(docs: DataFrame, *, similar: float = 0.8, size: int = 5, ban
     )
     members = nodes.where("n_shingles > 0").select("node", "sketch").mapInArrow(_bands(bands, rows), "bucket long, band int, node long")
     # Buckets of one member pair nobody.
-    crowd = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = shared.stored(members.join(crowd, "bucket", "left_semi"), "buckets")
-    # One order for all buckets, so that a group meets one pivot in most of them.
-    pivot = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(1), "node").alias("h"), "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
+    crowd = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = scratch.stored(members.join(crowd, "bucket"), "buckets")
+    # The same member is the pivot of most buckets of a group, as its bands lie in the most crowded ones.
+    central = members.groupBy("node").agg(F.round(F.sum(F.log("n")), 6).alias("crowd"))
+    ranked = members.join(central, "node").select("bucket", "node", F.struct("crowd", F.xxhash64(F.lit(1), "node"), "node").alias("rank"))
+    pivot = ranked.groupBy("bucket").agg(F.max("rank").alias("p")).select("bucket", F.col("p.node").alias("pivot"))
     pairs = members.join(pivot, "bucket").where("node <> pivot").select("node", "pivot").distinct()
     sketch = nodes.select("node", "sketch")
     both = pairs.join(sketch, "node").join(sketch.select(F.col("node").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
     agree, links_at = similar - 0.25, shared.new_folder(spark, "links")
-    asked = shared.stored(both.select("node", "pivot", "sketch", "pivot_sketch").mapInArrow(_agreeing(agree), PAIR), "asked")
-    roots = components(shared.stored(_verify(asked, nodes, texts, table, similar, size, group), "links", f"{links_at}/1"))
+    asked = scratch.stored(both.select("node", "pivot", "sketch", "pivot_sketch").mapInArrow(_agreeing(agree), PAIR), "asked")
+    roots = components(shared.stored(_verify(asked, nodes, texts, table, similar, size, group, scratch), "links", f"{links_at}/1"), scratch)
     # Then all pairs of a bucket's classes.
     now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = _blocked(now.join(open_, "bucket").join(sketch, "node").select("bucket", "band", "node", "root", "sketch", "blocks"))
-    meeting = shared.stored(dealt.mapInArrow(_meeting(bands, agree), "bucket long, band int, node long, root long").distinct(), "meeting")
-    own = _texts_at(meeting.select("node").distinct(), nodes, texts).join(nodes.select("node", "sketch", "n_shingles"), "node")
-    own = shared.stored(own, "meeting-texts")
+    open_ = now.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("a <> z").select("bucket", "blocks")
+    dealt = _blocked(now.drop("n").join(open_, "bucket").join(sketch, "node").select("bucket", "band", "node", "root", "sketch", "blocks"))
+    meeting = scratch.stored(dealt.mapInArrow(_meeting(bands, agree), "bucket long, band int, node long, root long").distinct(), "meeting")
+    own = _texts_at(meeting.select("node").distinct(), nodes, texts, scratch).join(nodes.select("node", "sketch", "n_shingles"), "node")
+    own = scratch.stored(own, "meeting-texts")
     large = meeting.join(own.select("node", "n_shingles"), "node").groupBy("bucket").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("blocks"))
     dealt = _blocked(meeting.join(large, "bucket").join(own, "node"))
     found = shared.stored(dealt.mapInArrow(_linked(table, bands, agree, similar, size), PAIR), "links", f"{links_at}/2")
@@ -485,32 +508,33 @@ def near_duplicates(docs: DataFrame, *, similar: float = 0.8, size: int = 5, ban
     of = roots.withColumnRenamed("root", "r")
     ends = found.join(of, "node", "left").select(F.coalesce("r", "node").alias("node"), "pivot")
     ends = ends.join(of.withColumnRenamed("node", "pivot"), "pivot", "left").select("node", F.coalesce("r", "pivot").alias("pivot"))
-    joined = components(ends)
+    joined = components(ends, scratch)
     to = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
     roots = roots.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")).union(joined.select("node", "root")).groupBy("node").agg(F.min("root").alias("root"))
-    roots = shared.stored(roots, "roots")
     links = spark.read.schema(PAIR).parquet(f"{links_at}/1", f"{links_at}/2")
     degree = links.select("node").union(links.select(F.col("pivot").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     placed = nodes.select("node", "same_a", "same_b", "doc_id", "row_no").join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = shared.stored(placed, "placed")
+    scratch.drop()
     heads = placed.groupBy("root").agg(F.min(F.struct("doc_id", "row_no")).alias("h")).select("root", F.col("h.doc_id").alias("class_id"), F.col("h.row_no").alias("head"))
     classes = placed.join(heads, "root").select("same_a", "same_b", "class_id", "head", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = sketched.select("doc_id", "row_no", "same_a", "same_b").join(classes, ["same_a", "same_b"])
     return out.select("doc_id", "row_no", "class_id", "n_links", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("row_no") == F.col("head"))).alias("kept"))
 
 
-def _texts_at(asked: DataFrame, nodes: DataFrame, texts: DataFrame, most_sent: int = 200_000) -> DataFrame:
+def _texts_at(asked: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: shared.Scratch, most_sent: int = 200_000) -> DataFrame:
     """node, text of the nodes of asked. Up to most_sent keys of texts are broadcast."""
     place = nodes.select("node", F.col("doc_id").alias("d"), "row_no")
-    needed = shared.stored(asked.join(place, "node"), "needed")
+    needed = scratch.stored(asked.join(place, "node"), "needed")
     if needed.count() <= most_sent:  # else the texts are shuffled
         needed = F.broadcast(needed)
     keyed = texts.select(F.col("doc_id").alias("doc"), F.xxhash64("doc_id", "text").alias("key"), "text")
     return keyed.join(needed, F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("row_no"))).select("node", "text").dropDuplicates(["node"])
 
 
-def _verify(asked: DataFrame, nodes: DataFrame, texts: DataFrame, table, similar: float, size: int, group: int) -> DataFrame:
+def _verify(asked: DataFrame, nodes: DataFrame, texts: DataFrame, table, similar: float, size: int, group: int, scratch: shared.Scratch) -> DataFrame:
     """The pairs of asked whose whole texts are similar."""
-    own = shared.stored(_texts_at(asked.select("node").union(asked.select("pivot")).distinct(), nodes, texts), "asked-texts")
+    own = scratch.stored(_texts_at(asked.select("node").union(asked.select("pivot")).distinct(), nodes, texts, scratch), "asked-texts")
     # Each pivot's pairs are dealt to salted groups of about `group`; its text goes to each of them.
     salts = asked.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("salts"))
     left = asked.join(salts, "pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"))

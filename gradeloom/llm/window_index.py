@@ -4,10 +4,12 @@ A window is `window` consecutive words of one document. A word goes if a window
 anywhere else too. Of each window's `gram`-word spans the one with the smallest hash (the leftmost of equals) is its anchor;
 equal windows have equal anchors at equal places, so a window whose anchor occurs once in all documents is unique.
 
-The index keeps anchors' fingerprints with their counts, in immutable runs sorted by fingerprint. A batch of documents is
-reduced to a sorted run of its own, merge-joined with the runs so far (which tells what history already holds), and added;
-when there are more than most_runs runs, they are compacted to one. So later batches need no earlier texts to be
-indexed. Removal then takes three steps, each exact for what the one before leaves open:
+The index keeps anchors' fingerprints with their counts, in immutable runs. A run is bucketed by fingerprint and sorted within its
+buckets, alike for all runs of an index, so that runs meet in merge joins that neither shuffle nor sort them. A batch of
+documents is reduced to a run of its own, merge-joined with the runs so far (which tells what history already holds), and
+added; when `fanout` runs of one level stand, they are merged into one of the next, again without a shuffle. A manifest names the
+runs; a later session opens the folder by it and goes on, and earlier texts are not needed. Removal then takes three
+steps, each exact for what the one before leaves open, but for chance collisions of two 64-bit hashes (words are not compared):
 
 1. Consecutive windows with one anchor make a stretch. Stretches whose anchor the index holds twice or more are
    candidates, all others are unique.
@@ -19,13 +21,16 @@ Occurrences that one batch of rows shares are packed into one row per fingerprin
 passage in a third of all documents is a few rows per task. A text is shuffled once to meet its marks, and once
 more only if step 3 concerns it.
 
-A null or empty text has no words. Repeated rows repeat each other's windows, and each keeps its own result. An empty table gives no
-rows. Other columns are ignored.
+A null or empty text has no words. Repeated rows repeat each other's windows, and each keeps its own result; rows equal in id
+and text share their marks, which are gathered once. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import json
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -93,94 +98,159 @@ def stretches(counts: np.ndarray, h: np.ndarray, window: int, gram: int):
     return doc[cut], at[cut] - begun[doc[cut]], at[last] - begun[doc[cut]], grams[place[cut]], whole ^ (at[last] - at[cut]).astype(np.uint64)
 
 
-def _batches(batches, most_words: int = 1_500_000):
-    """(ids, lists of words, joined hashes) of bounded size."""
+def _batches(batches, most_words: int = 300_000):
+    """(rows without their text, word counts, joined word hashes) of bounded size."""
     memo = shared.WordHash()
-    ids, found, n = [], [], 0
+    rows, found, n = [], [], 0
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
-            own = shared.words(row[-1])
-            ids.append(row[:-1])
+        for row in shared.rows_of(batch):
+            own = memo.all(shared.words(row[-1]))
+            rows.append(row[:-1])
             found.append(own)
             n += len(own)
             if n >= most_words:
-                yield ids, found, memo.all([w for x in found for w in x])
-                ids, found, n = [], [], 0
-    if ids:
-        yield ids, found, memo.all([w for x in found for w in x])
+                yield rows, np.array([len(x) for x in found], np.int64), np.concatenate(found)
+                rows, found, n = [], [], 0
+    if rows:
+        yield rows, np.array([len(x) for x in found], np.int64), np.concatenate(found)
 
 
 def _anchors(window: int, gram: int):
     def anchors(batches):
-        for _, found, h in _batches(batches):
-            fp = stretches(np.array([len(x) for x in found], np.int64), h, window, gram)[3]
-            fp, n = np.unique(fp, return_counts=True)
+        for _, counts, h in _batches(batches):
+            fp, n = np.unique(stretches(counts, h, window, gram)[3], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(n.astype(np.int64))], names=["fp", "n"])
 
     return anchors
 
 
-class WindowIndex:
-    """Sorted immutable runs of (fp, n) in one folder. A run is never changed."""
+RUN = "fp BIGINT, n BIGINT"
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, *, window: int = 35, gram: int = 8, most_runs: int = 1):
-        self.spark, self.folder, self.window, self.gram, self.most_runs = spark, folder or shared.new_folder(spark, "window-index"), window, gram, most_runs
-        self.runs: list[str] = []
-        self.again: list[DataFrame] = []
-        self.written = 0
 
-    def read(self, runs: list[str] | None = None) -> DataFrame:
-        runs = self.runs if runs is None else runs
-        frame = self.spark.read.schema("fp long, n long")
-        return frame.parquet(*runs) if runs else self.spark.createDataFrame([], "fp long, n long")
+class WindowIndex:
+    """Immutable runs of (fp, n), bucketed and sorted by fp, and the fp that each batch found repeated, in one folder. An index
+    whose folder has a manifest goes on with its runs, window, gram and buckets."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, *, window: int = 35, gram: int = 8, fanout: int = 2, buckets: int | None = None):
+        self.spark, self.folder, self.fanout = spark, folder or shared.new_folder(spark, "window-index"), fanout
+        state = {"window": window, "gram": gram, "buckets": buckets or shared.partitions(spark), "written": 0, "runs": [], "again": []}
+        self.state = self._manifest() or state
+        self.window, self.gram = self.state["window"], self.state["gram"]
+        self.tables: dict[str, str] = {}
+
+    def _path(self, name: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _manifest(self) -> dict | None:
+        """The newest manifest; an add() that didn't end leaves the one before it."""
+        files, at = self._path("manifests")
+        if not files.exists(at):
+            return None
+        newest = max((str(x.getPath()) for x in files.listStatus(at) if not x.getPath().getName().startswith(".")), default=None)
+        return json.loads(self.spark.read.text(newest, wholetext=True).first()[0]) if newest else None
+
+    def _commit(self) -> None:
+        files, at = self._path(f"manifests/.{self.state['written']:06d}")
+        out = files.create(at, True)
+        out.write(bytearray(json.dumps(self.state).encode()))
+        out.close()
+        files.rename(at, self._path(f"manifests/{self.state['written']:06d}")[1])
+
+    @property
+    def runs(self) -> list[str]:
+        return [r["name"] for r in self.state["runs"]]
+
+    def run(self, name: str) -> DataFrame:
+        """A run as a bucketed table of the session."""
+        if name not in self.tables:
+            self.tables[name] = f"window_run_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {self.tables[name]} ({RUN}) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.state['buckets']} BUCKETS LOCATION '{self.folder}/{name}'")
+        return self.spark.table(self.tables[name])
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        """Sums over runs, whose buckets meet each other without a shuffle."""
+        out = self.run(names[0])
+        for name in names[1:]:
+            more = self.run(name).withColumnRenamed("n", "more")
+            out = out.hint("merge").join(more, "fp", "full").select("fp", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
+        return out
 
     def _write(self, df: DataFrame) -> str:
-        path = f"{self.folder}/run-{self.written:06d}"
-        self.written += 1
-        df.sortWithinPartitions("fp").write.parquet(path)
-        return path
+        """df, one row for each fp, as a new run. One file for each bucket, so that files are sorted as a whole."""
+        name = f"run-{self.state['written']:06d}-{uuid.uuid4().hex[:8]}"
+        self.state["written"] += 1
+        self.tables[name] = f"window_run_{uuid.uuid4().hex}"
+        df.write.bucketBy(self.state["buckets"], "fp").sortBy("fp").format("parquet").option("path", f"{self.folder}/{name}").saveAsTable(self.tables[name])
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
+        shared.dropped(self.spark, f"{self.folder}/{name}")
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Indexes a batch of documents (doc_id, text). Returns the fp that are repeated now: those that the batch holds
         twice or more, and those that the merge join finds in the runs before it."""
-        found = shared.texts_of(docs).select("text").mapInArrow(_anchors(self.window, self.gram), "fp long, n long")
-        run = self._write(found.groupBy("fp").agg(F.sum("n").alias("n")))
-        own, history = self.read([run]), self.read().groupBy("fp").agg(F.count(F.lit(1)).alias("before"))
-        met = own.hint("merge").join(history, "fp", "left") if self.runs else own.withColumn("before", F.lit(None).cast("long"))
-        again = shared.stored(met.where((F.col("n") > 1) | F.col("before").isNotNull()).select("fp"), "again")
-        self.runs.append(run)
-        self.again.append(again)
-        if len(self.runs) > self.most_runs:
-            self.compact()
+        with self._sorted_scans():
+            found = shared.texts_of(docs).select("text").mapInArrow(_anchors(self.window, self.gram), "fp long, n long")
+            counted = found.groupBy("fp").agg(F.sum("n").alias("n"))
+            if self.state["buckets"] != shared.partitions(self.spark):
+                counted = counted.repartition(self.state["buckets"], "fp")
+            before = self.runs
+            run = self._write(counted)
+            own = self.run(run)
+            met = own.hint("merge").join(self._merged(before).select("fp", F.lit(True).alias("known")), "fp", "left") if before else own.withColumn("known", F.lit(None).cast("boolean"))
+            name = f"again-{self.state['written']:06d}-{uuid.uuid4().hex[:8]}"
+            again = shared.stored(met.where((F.col("n") > 1) | F.col("known")).select("fp"), "again", f"{self.folder}/{name}")
+            self.state["runs"].append({"name": run, "level": 0})
+            self.state["again"].append(name)
+            old = self._compact()
+            self._commit()
+            for gone in old:
+                self._drop(gone)
         return again
 
-    def compact(self) -> None:
-        """Merges all runs into one sorted run; the old ones go when it is complete."""
-        old = self.runs
-        self.runs = [self._write(self.read().groupBy("fp").agg(F.sum("n").alias("n")))]
-        for path in old:
-            shared.dropped(self.spark, path)
+    def _compact(self) -> list[str]:
+        """Merges the runs of each level that has `fanout` of them; returns the ones that are not needed any more."""
+        old = []
+        for level in range(64):
+            own = [r for r in self.state["runs"] if r["level"] == level]
+            if len(own) < self.fanout:
+                continue
+            merged = self._write(self._merged([r["name"] for r in own]))
+            self.state["runs"] = [r for r in self.state["runs"] if r["level"] != level] + [{"name": merged, "level": level + 1}]
+            old += [r["name"] for r in own]
+        return old
+
+    @contextlib.contextmanager
+    def _sorted_scans(self):
+        """Lets bucketed scans tell that their files are sorted."""
+        key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+        was = self.spark.conf.get(key, "false")
+        self.spark.conf.set(key, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(key, was)
 
     def repeated(self) -> DataFrame:
         """fp of the anchors that occur twice or more in all that was added."""
-        out = self.again[0]
-        for more in self.again[1:]:
-            out = out.union(more)
-        return out.distinct()
+        paths = [f"{self.folder}/{name}" for name in self.state["again"]]
+        return self.spark.read.schema("fp long").parquet(*paths).distinct() if paths else self.spark.createDataFrame([], "fp long")
 
 
 STRETCH = "fp long, whole long, n int, rows binary"
-_ROW = np.dtype([("row_no", "<i8"), ("text_key", "<i4"), ("a", "<i4"), ("b", "<i4")])
+_ROW = np.dtype([("row_no", "<i8"), ("text_key", "<i8"), ("a", "<i4"), ("b", "<i4")])
 
 
 def _stretches(window: int, gram: int):
     def out(batches):
-        for ids, found, h in _batches(batches):
-            doc, a, b, fp, whole = stretches(np.array([len(x) for x in found], np.int64), h, window, gram)
+        for ids, counts, h in _batches(batches):
+            doc, a, b, fp, whole = stretches(counts, h, window, gram)
             order = np.lexsort((whole, fp))
             doc, a, b, fp, whole = (x[order] for x in (doc, a, b, fp, whole))
             rows = np.empty(len(doc), _ROW)
-            rows["row_no"], rows["text_key"] = np.array([i[0] for i in ids], np.int64)[doc], np.array([i[1] for i in ids], np.int32)[doc]
+            rows["row_no"], rows["text_key"] = np.array([i[0] for i in ids], np.int64)[doc], np.array([i[1] for i in ids], np.int64)[doc]
             rows["a"], rows["b"] = a, b
             cut = np.flatnonzero(np.r_[True, (fp[1:] != fp[:-1]) | (whole[1:] != whole[:-1])]) if len(doc) else np.empty(0, np.int64)
             ends = np.r_[cut[1:], len(doc)] if len(doc) else cut
@@ -193,7 +263,7 @@ def _stretches(window: int, gram: int):
     return out
 
 
-MARKS = "row_no long, text_key int, a int, b int, open boolean"
+MARKS = "row_no long, text_key long, a int, b int, open boolean"
 
 
 def _unpacked(batches):
@@ -213,7 +283,7 @@ def _unpacked(batches):
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
-CHECKED = f"row_no long, text_key int, {RESULT}, text string, gone binary, windows binary"
+CHECKED = f"row_no long, text_key long, {RESULT}, text string, gone binary, windows binary"
 _WIN = np.dtype([("x", "<i8"), ("y", "<i8"), ("at", "<i4")])
 
 
@@ -238,7 +308,7 @@ def _marked(window: int, keep_text: bool):
         memo = shared.WordHash()
         for batch in batches:
             rows = []
-            for row_no, key, doc_id, text, marks in zip(*(batch.column(c).to_pylist() for c in ("row_no", "text_key", "doc_id", "text", "marks")), strict=True):
+            for row_no, key, doc_id, text, marks in shared.rows_of(batch, "row_no", "text_key", "doc_id", "text", "marks"):
                 found = shared.words(text)
                 marks = marks or []
                 done = [(m["a"], m["b"]) for m in marks if not m["open"]]
@@ -256,7 +326,7 @@ def _marked(window: int, keep_text: bool):
                     wins[name] = Rolling(h, base).spans(at, at + window).view(np.int64)
                 wins["at"] = at
                 rows.append((row_no, key, doc_id, len(found), None, None, None, text, np.packbits(gone).tobytes(), wins.tobytes()))
-            kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary())
+            kinds = (*[pa.int64()] * 5, pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary())
             columns = list(zip(*rows, strict=True)) or [[]] * 10
             names = ["row_no", "text_key", "doc_id", "n_words", "n_removed", "kept_sha256", "kept", "text", "gone", "windows"]
             made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
@@ -289,7 +359,7 @@ def _finished(window: int, keep_text: bool):
     def out(batches):
         for batch in batches:
             rows = []
-            for doc_id, text, gone, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "gone", "at")), strict=True):
+            for doc_id, text, gone, at in shared.rows_of(batch, "doc_id", "text", "gone", "at"):
                 found = shared.words(text)
                 all_gone = np.unpackbits(np.frombuffer(gone, np.uint8), count=len(found)).astype(bool)
                 at = np.array(at or [], np.int64)
@@ -308,12 +378,12 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, gram: int = 8, batches:
     """doc_id, n_words, n_removed, kept_sha256 and, with keep_text, kept (the words that stay, joined by blanks; the text as it was
     if all stay) and the columns named in carry.
 
-    docs are indexed in `batches` batches. Rows are told apart by doc_id and a hash of the text: rows with the same id and
+    docs are indexed in `batches` batches. Rows are told apart by two 64-bit hashes of id and text: rows with the same id and
     text have the same words to lose."""
     spark = docs.sparkSession
     key = ["row_no", "text_key"]
     carried = F.struct(*carry) if carry else F.lit(None).cast("int")
-    rows = shared.texts_of(docs, carried.alias("carried")).withColumns({"row_no": F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")), "text_key": F.hash("text")}).select(*key, "doc_id", "text", "carried")
+    rows = shared.texts_of(docs, carried.alias("carried")).withColumns({"row_no": F.xxhash64("doc_id", "text"), "text_key": F.xxhash64(F.lit(35), "text", F.coalesce("doc_id", F.lit(-1)))}).select(*key, "doc_id", "text", "carried")
     index = WindowIndex(spark, window=window, gram=gram)
     for k in range(batches):
         index.add(rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)) == k))
@@ -324,7 +394,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, gram: int = 8, batches:
     counted = found.withColumn("all", F.sum("n").over(same)).withColumn("nth", F.row_number().over(same.orderBy("rows")))
     counted = counted.withColumn("some_open", F.max(F.col("all") == 1).over(Window.partitionBy("fp")))
     told = counted.select("rows", (F.col("all") > 1).alias("repeated"), ((F.col("nth") == 1) & F.col("some_open")).alias("witness"))
-    marks = told.mapInArrow(_unpacked, MARKS).groupBy(*key).agg(F.collect_list(F.struct("a", "b", "open")).alias("marks"))
+    marks = told.mapInArrow(_unpacked, MARKS).groupBy(*key).agg(F.collect_set(F.struct("a", "b", "open")).alias("marks"))
     marked = rows.join(marks, key, "left").select(*key, "doc_id", "text", "marks", "carried")
     with_carried = lambda ddl: T.StructType([*T.StructType.fromDDL(ddl), rows.schema["carried"]])
     checked = shared.stored(marked.mapInArrow(_marked(window, keep_text), with_carried(CHECKED)), "checked")
@@ -333,7 +403,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, gram: int = 8, batches:
     left = checked.where("windows is not null").select(*key, "doc_id", "text", "gone", "windows", "carried")
     pairs = left.select(*key, "windows").mapInArrow(_windows, "x long, y long, n int, rows binary")
     twice = pairs.withColumn("all", F.sum("n").over(Window.partitionBy("x", "y"))).where(F.col("all") > 1)
-    last = twice.select("rows", F.lit(True).alias("repeated"), F.lit(False).alias("witness")).mapInArrow(_unpacked, MARKS).groupBy(*key).agg(F.collect_list("a").alias("at"))
+    last = twice.select("rows", F.lit(True).alias("repeated"), F.lit(False).alias("witness")).mapInArrow(_unpacked, MARKS).groupBy(*key).agg(F.collect_set("a").alias("at"))
     done = left.join(last, key, "left").select("doc_id", "text", "gone", "at", "carried").mapInArrow(_finished(window, keep_text), with_carried(RESULT))
     out = closed.unionByName(done)
     return out.select("*", "carried.*").drop("carried") if carry else out.drop("carried")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import public_tokenizers as P
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from gradeloom.llm import factor_machine, flow_mix, line_frequency, pack_swap, prefix_hash, queries, recurrent_lm, shared, token_planes, tokens, url_trie, weighted_minhash, window_index
 
@@ -31,10 +32,10 @@ def empty(spark):
 
 
 def test_encoder_equals_library():
-    odd = [t for _, t in ROWS if t] + ["a  b", " a", "a ", "\n\n", "x\n y", "x \ny", "it's DON'T", "İx Σς ΑΣ", "a\tb\r\nc", "12 3.5%&& --", "naïve_café!!! <|endoftext|> z", "\x1cq", "東京 タワー", "🙂 ok🙂\n🙂"]
+    odd = [t for _, t in ROWS if t] + ["a  b", " a", "a ", "\n\n", "x\n y", "x \ny", "it's DON'T", "İx Σς ΑΣ", "a\tb\r\nc", "12 3.5%&& --", "naïve_café!!! <|endoftext|> z", "ab <|endoftext|> cd", "ab <|ENDOFTEXT|>cd", "a<|startoftext|>b", "<| endoftext |>", "\x1cq", "東京 タワー", "🙂 ok🙂\n🙂"]
     for path, style in ((BYTE, "space"), (WORD, "bare")):
-        e = tokens.Encoder(path, style, most=50)
-        assert [e.ids(x) for x in odd] == [e.plain(x) for x in odd]
+        e, library = tokens.Encoder(path, style, most=50), Tokenizer.from_file(path)
+        assert [np.frombuffer(e.ids(x), "<u4").tolist() for x in odd] == [library.encode(x, add_special_tokens=False).ids for x in odd]
 
 
 @pytest.mark.parametrize("mode", ["byte", "bit"])
@@ -42,10 +43,10 @@ def test_planes_round_trip(spark, docs, empty, mode):
     path = shared.new_folder(spark, "t")
     token_planes.write_planes(docs, path, BYTE, style="space", block_ids=100, mode=mode, rows_per_part=3)
     got = sorted(token_planes.read_documents(spark, path).collect(), key=lambda r: r["start"])
-    e, at, whole = tokens.Encoder(BYTE), 0, b""
+    library, at, whole = Tokenizer.from_file(BYTE), 0, b""
     want = sorted(((i, t or "") for i, t in ROWS), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     for r, (i, t) in zip(got, want, strict=True):
-        ids = e.plain(t) + b"\0\0\0\0" if t else b"\0\0\0\0"
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()
         assert tuple(r) == (i, at, len(ids) // 4, zlib.crc32(ids))
         at, whole = at + len(ids) // 4, whole + ids
     span = sorted(token_planes.read_span(spark, path, 50, 300).collect(), key=lambda r: r["start"])
@@ -64,6 +65,15 @@ def test_packing(spark, docs, empty):
         g = g.sort_values("offset")
         assert (g["offset"].to_numpy() == np.cumsum(g["length"]) - g["length"]).all()
     assert pack_swap.pack_documents(empty, WORD, style="bare").count() == 0
+    # Pieces by the library itself, whole documents, each place once.
+    library, want = Tokenizer.from_file(WORD), collections.Counter()
+    for i, t in ROWS:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 64)):
+            own = ids[at : at + 64]
+            want[(i, k, at, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))] += 1
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert want == collections.Counter((None if r[0] != r[0] else int(r[0]), *map(int, r[1:])) for r in got[columns].itertuples(index=False))
 
 
 def test_local_search_empties_bins():
@@ -73,8 +83,33 @@ def test_local_search_empties_bins():
     assert len(pack_swap.local_search([[0, 3], [1, 4], [2, 5]], np.array([7, 3, 4, 2, 5, 4]), 10)) == 3
 
 
+def test_local_search_leaves_no_step_and_few_bins():
+    rng = np.random.default_rng(9)
+    fewer = 0
+    for trial in range(60):
+        lengths = rng.integers(1, 20, rng.integers(4, 9))
+        first = pack_swap.best_fit(lengths, 20)
+        bins = pack_swap.local_search([b[:] for b in first], lengths, 20)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and all(lengths[b].sum() <= 20 for b in bins)
+
+        def fewest(items, gaps, lengths=lengths):
+            if not items:
+                return len(gaps)
+            i, *rest = items
+            tried = [fewest(rest, [*gaps[:k], g - lengths[i], *gaps[k + 1 :]]) for k, g in enumerate(gaps) if g >= lengths[i]]
+            return min([*tried, fewest(rest, [*gaps, 20 - lengths[i]])])
+
+        best = fewest(list(range(len(lengths))), [])
+        assert best <= len(bins) <= len(first)
+        fewer += len(bins) > best
+    assert fewer <= 3
+    # All pieces take part, not the longest few: 30 short pieces fill the gaps of pairs.
+    lengths = np.array([2] * 30 + [17] * 15 + [60])
+    assert len(pack_swap.local_search([list(range(30)), *[[30 + k] for k in range(15)], [45]], lengths, 60)) == -(-lengths.sum() // 60)
+
+
 def test_language_model(spark, docs, empty):
-    got = recurrent_lm.score(docs, docs, n_head=16, class_words=4, n_tail=4, most_sent=20, min_fit_tokens=1000).collect()
+    got = recurrent_lm.score(docs, n_head=16, n_classes=4, n_tail=4, most_sent=20).collect()
     count = collections.Counter()
     for _, t in ROWS:
         count.update((t or "").encode().lower().split())
@@ -87,17 +122,75 @@ def test_language_model(spark, docs, empty):
         have[r["doc_id"]] += r["base_score"]
         assert r["train_tokens"] == total and r["n_known"] == r["n_tokens"] and np.isfinite(r["score"])
     assert len(got) == len(ROWS) and all(abs(have[i] - base[i]) < 1e-6 for i in base)
-    assert recurrent_lm.score(empty, empty).count() == 0
+    assert recurrent_lm.score(empty).count() == 0
+
+
+def _small_model(hidden=3):
+    e = np.empty(0)
+    v = recurrent_lm.Vocabulary(e, e, e, e, np.array([0, 1, 4, 6]), 2, 10, 8, np.ones(2), np.ones(2), np.array([5.0, 3, 2, 2, 1, 1]))
+    w = recurrent_lm.Weights.start(v, hidden)
+    rng = np.random.default_rng(3)
+    return v, recurrent_lm.Weights({k: (a + rng.normal(size=a.shape) * 0.3).astype(np.float32) for k, a in w.arrays.items()})
 
 
 def test_model_probabilities_sum_to_one():
-    v = recurrent_lm.Vocabulary(*(np.empty(0),) * 4, 6, 4, 2, 10, 8, np.ones(2), np.ones(2), np.ones(4), np.ones(6))
-    w = recurrent_lm.Weights.start(v, 3)
-    state = np.random.default_rng(0).normal(size=(1, 3)).astype(np.float32)
+    v, w = _small_model()
+    state = np.c_[np.random.default_rng(0).normal(size=(1, 3)), 1].astype(np.float32)
     p = [np.exp(recurrent_lm.log_probabilities(w.arrays, v, state, np.array([i]))[0]) for i in range(8)]
     assert abs(sum(p) - 1) < 1e-4
 
 
+def test_state_runs_through_windows_and_documents():
+    v, w = _small_model()
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 8, n).astype(np.int32) for n in (70, 1, 33, 5)]
+    one = recurrent_lm.score_ids(w, v, docs, lanes=1, steps=1000)
+    assert np.allclose(one, recurrent_lm.score_ids(w, v, docs, lanes=3, steps=4), atol=1e-4)
+    halves = recurrent_lm.score_ids(w, v, [docs[0][:35], docs[0][35:]])
+    assert abs(one[0] - halves.sum()) > 1e-3
+
+
+def test_gradients_by_differences():
+    v, w = _small_model()
+    docs = [np.array([0, 3, 5, 7, 2, 1], np.int32), np.array([4, 6, 0], np.int32)]
+    n = sum(map(len, docs))
+    got = {}
+
+    class Recorder(recurrent_lm.Trainer):
+        def _step(self, name, rows, g):
+            got.setdefault(name, np.zeros_like(self.w[name]))[rows] += g
+
+    Recorder(w, v).fit(docs, lanes=2, steps=100)
+    loss = lambda: -recurrent_lm.score_ids(w, v, docs, lanes=2, steps=100).sum() * np.log(10) / n
+    rng = np.random.default_rng(2)
+    for name, a in w.arrays.items():
+        for _ in range(6):
+            at = tuple(rng.integers(0, k) for k in a.shape)
+            was = a[at]
+            a[at] = was + 0.01
+            up = loss()
+            a[at] = was - 0.01
+            down, a[at] = loss(), was
+            assert abs((up - down) / 0.02 - got[name][at]) < 2e-3, (name, at)
+
+
+def test_training_beats_counts_on_held_out_documents(spark):
+    rng = np.random.default_rng(5)
+    words = [f"v{i}" for i in range(40)]
+
+    def text(i):
+        at, out = int(rng.integers(40)), []
+        for _ in range(60):
+            out.append(words[at])
+            at = (at * 3 + 1 + int(rng.integers(2))) % 40
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(400)], "doc_id long, text string")
+    held = F.col("doc_id") % 10 == 0
+    got = recurrent_lm.score(docs, ~held, rounds=1).where(held).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert got["s"] / got["n"] > got["b"] / got["n"] + 0.3
+
+
 def test_urls(spark):
     urls = ["http://a.example.org/es/x", "https://EXAMPLE.org/en/12?q", "http://org", "http://x.com/de/", "http://com/fr/y#z", "http://xcom/de/", None, "no scheme", "http://notexample.org/es/", "http://a..org/", "ftp://u@h.org:80/"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, url_host string")
@@ -107,6 +200,13 @@ def test_urls(spark):
     assert [r["url_rule"] for r in trie] == ["example.org/es/", "example.org/en/1", None, "com/de/", "com/fr/", None, None, None, "org/", "org/", None]
     assert [r["url_verdict"] for r in trie][:5] == ["block", "block", "allow", "block", "allow"]
     assert url_trie.judge_urls(pages.limit(0), queries.URL_RULES).count() == 0
+    odd = spark.createDataFrame([(u, "j", "r", "s", "x") for u in urls * 3], "url string, judged string, row string, suffix string, rules string").repartition(5)
+    own = [sorted(map(tuple, url_trie.judge_urls(odd, queries.URL_RULES, most_rules=n).collect()), key=repr) for n in (9, 2)]
+    assert own[0] == own[1] and len(own[0]) == 3 * len(urls) and own[0][0][1:5] == ("j", "r", "s", "x")
+    many = [(("allow", "block")[k % 2], f"h{k % 7}.net", f"/p{k % 5}/q{k}") for k in range(400)] + [("block", "h1.net", "/p1/q1"), ("allow", "h1.net", "")]
+    far = spark.createDataFrame([(f"http://x.h{k % 8}.net/p{k % 5}/q{k}/z",) for k in range(300)] + [("http://h1.net",)], "url string")
+    own = [sorted(map(tuple, url_trie.judge_urls(far, many, most_rules=n).collect()), key=repr) for n in (999, 2)]
+    assert own[0] == own[1] and len({r[2] for r in own[0]}) > 100
 
 
 def test_windows(spark, docs, empty):
@@ -122,9 +222,28 @@ def test_windows(spark, docs, empty):
 
 
 def test_index_runs(spark, docs):
-    index = window_index.WindowIndex(spark, most_runs=1)
+    index = window_index.WindowIndex(spark, fanout=2)
     first = index.add(docs.where("doc_id = 1")).count()
     assert index.add(docs.where("doc_id = 2")).count() > 0 and first < index.repeated().count() and len(index.runs) == 1
+    # Another session's index goes on from the manifest.
+    later = window_index.WindowIndex(spark, index.folder)
+    assert later.runs == index.runs and later.repeated().count() == index.repeated().count()
+    assert later.add(docs.where("doc_id = 2")).count() > 0 and [r["level"] for r in later.state["runs"]] == [1, 0]
+    once = window_index.WindowIndex(spark, fanout=9)
+    once.add(docs.where("doc_id = 1").union(docs.where("doc_id = 2")).union(docs.where("doc_id = 2")))
+    rows = lambda i: sorted(map(tuple, i._merged(i.runs).collect()))
+    assert rows(once) == rows(later)
+    with later._sorted_scans():
+        plan = later._merged(later.runs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_windows_of_null_ids_and_repeated_rows(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"q{x}" for x in rng.integers(0, 10_000, 50)) for _ in range(40)]
+    rows = [(None, t) for t in texts] + [(None, texts[0])] * 30 + [(7, texts[1] + " " + " ".join(["z"] * 90_000))]
+    got = window_index.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert {tuple(r) for r in got} == {(None, 50, 50, 32), (None, 50, 0, 38), (7, 90_050, 90_050, 1)}
 
 
 def test_classifier(spark, docs, empty):
@@ -158,14 +277,44 @@ def test_prefix_hashes(spark, docs, empty):
     for k, (i, t) in enumerate(order):
         nxt, n = order[(k + 1) % len(order)][1], len(t) // 4
         edited = t[: len(t) - n] + nxt[:n]
-        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), _print(t), _print(edited)))
-    assert sorted((tuple(r)[:5] for r in got), key=repr) == sorted(want, key=repr)
-    assert all(r["near_edited"] >= 0.74 for r in got if r["n_chars"] > 100)
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), _print(t), _print(edited), round(_alike(t, edited), 6), round(_alike(t, nxt), 6)))
+    assert sorted((*tuple(r)[:5], round(r["near_edited"], 6), round(r["near_next"], 6)) for r in got if r["doc_id"] is not None) == sorted(w for w in want if w[0] is not None)
+    assert all(r["near_edited"] >= 0.7 for r in got if r["n_chars"] > 100)
     assert prefix_hash.fingerprints(empty).count() == 0
 
 
 def _print(text):
-    return prefix_hash.Prefixes(prefix_hash.codes_of(text), prefix_hash.Powers()).fingerprint()
+    """The fingerprint by its definition, hash by hash."""
+    p, n = 2**31 - 1, len(text)
+    at = lambda base, i: sum((ord(c) + 1) * pow(base, j, p) for j, c in enumerate(text[:i])) % p
+    step = next(s for k in range(40) if n // (s := 2**k) <= 32)
+    own = [f"{at(prefix_hash.BASES[0], i):08x}" for i in [*range(0, n + 1, step), *range(n, -1, -step)]]
+    return f"{n:x}." + "".join(f"{at(b, n):08x}" for b in prefix_hash.BASES) + "." + "".join(own)
+
+
+def _alike(a, b):
+    """The likeness by comparing the cells' texts."""
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    step = max(next(s for k in range(40) if len(t) // (s := 2**k) <= 32) for t in (a, b))
+    longer, covered = max(len(a), len(b)), set()
+    for k in range(0, min(len(a), len(b)) - step + 1, step):
+        if a[k : k + step] == b[k : k + step]:
+            covered.update(range(k, k + step))
+        if a[len(a) - k - step : len(a) - k] == b[len(b) - k - step : len(b) - k]:
+            covered.update(range(longer - k - step, longer - k))
+    return min(len(covered), len(a), len(b)) / longer
+
+
+def test_likeness_of_fingerprints():
+    rng, powers = np.random.default_rng(4), prefix_hash.Powers()
+    of = lambda t: prefix_hash.Prefixes(prefix_hash.codes_of(t), powers).fingerprint()
+    text = "".join(rng.choice(list("abcd é🙂"), 8_800))
+    for other in (text, "X" + text[1:-1] + "Y", text[:3000] + "IN" + text[3000:], text[:5000], text[::-1], "", text[:31], text[4400:] + text[:4400]):
+        assert abs(prefix_hash.likeness(of(text), of(other)) - _alike(text, other)) < 1e-9
+    assert prefix_hash.likeness(of(text), of("X" + text[1:-1] + "Y")) > 0.9
 
 
 def test_extensions():
@@ -183,6 +332,8 @@ def test_line_rules(spark, docs, empty):
     out = {r["doc_id"]: r for r in line_frequency.judge_lines(many, most_docs=20, least_kept=0.6).collect()}
     assert out[1]["kept"] and out[1]["removed_words"] == 30 and not out[0]["kept"] and not out[0]["base_failed"]
     assert line_frequency.judge_lines(empty).count() == 0
+    w = F.split(F.lit("a b c d a b c d a b e f a b c"), " ")
+    assert list(spark.range(1).select(line_frequency._in_repeats(w, 24), line_frequency._in_repeats(w, 31)).first()) == [13, 13]
 
 
 def test_mixture(spark, docs, empty):
@@ -192,7 +343,7 @@ def test_mixture(spark, docs, empty):
         assert abs((g["mix_copies"] * g["mix_size"]).sum() - g["mix_target"].iloc[0]) <= 8
     assert out["mix_copies"].max() <= 3
     assert flow_mix.mix(docs).count() == len(ROWS) and flow_mix.mix(empty).count() == 0
-    assert flow_mix.target_words({"a": 100, "b": 1, None: 10}) == {"a": 77.0, "b": 3.0, None: 30.0} or sum(flow_mix.target_words({"a": 100, "b": 1, None: 10}).values()) <= 111
+    assert flow_mix.target_words({"a": 100, "b": 1, None: 10}) == {"a": 78.0, "b": 3.0, None: 30.0}
 
 
 def test_flow_prefers_first_uses():
@@ -200,6 +351,62 @@ def test_flow_prefers_first_uses():
     assert got == {(("a",), "a"): 10, (("a", "b"), "b"): 10}
 
 
+def test_flow_is_the_cheapest():
+    # Small whole flows against all ways to route them.
+    for supply, quotas in (({("a",): 2, ("a", "b"): 2, ("b", "c"): 3}, {"a": 5, "b": 4, "c": 3}), ({("a", "b"): 1, ("b",): 2}, {"a": 2, "b": 3})):
+        pairs = [(p, s) for p in supply for s in p]
+
+        def every(k, left, pairs=pairs, supply=supply):
+            if k == len(pairs):
+                yield {}
+                return
+            p, s = pairs[k]
+            for n in range(min(left[s], 3 * supply[p]) + 1):
+                for rest in every(k + 1, left | {s: left[s] - n}):
+                    yield {(p, s): n} | rest
+
+        def cost(flow, supply=supply):
+            """(-words routed, cost of uses) or None where a pattern gives more than three times its words."""
+            used = collections.Counter()
+            for (p, _), n in flow.items():
+                used[p] += n
+            if any(n > 3 * supply[p] for p, n in used.items()):
+                return None
+            return -sum(used.values()), sum(k * k * min(supply[p], max(0, n - k * supply[p])) for p, n in used.items() for k in range(3))
+
+        best = min(c for f in every(0, quotas) if (c := cost(f)) is not None)
+        assert cost(flow_mix.min_cost_flow(supply, quotas)) == best
+
+
+def test_overlapping_sources_and_clashing_names(spark):
+    names = "doc_id long, text string, groups array<string>, row string, place string, words string, bucket string, target string, rest string, last string"
+    groups = [["a"], ["a", "b"], ["b", "c", "c"], None, []]
+    rows = [(i, "w " * 10, groups[i % 5], *"rpwbtzl") for i in range(500)]
+    out = flow_mix.mix(spark.createDataFrame(rows, names), sources=F.col("groups")).collect()
+    assert len(out) == 500 and {r["row"] for r in out} == {"r"} and all(r["mix_copies"] == 0 for r in out if r["groups"] == [])
+    # Sources hold 2000, 2000, 1000 and (null) 1000 words of 4000 distinct ones; targets share 6000 words as 1 : 2 : 3 : 1.
+    used = {r["doc_id"]: r["mix_copies"] * r["mix_size"] for r in out}
+    total = sum(used.values())
+    assert abs(total - sum(flow_mix.target_words({"a": 2000, "b": 2000, "c": 1000, None: 1000}).values())) <= 40
+    again = flow_mix.mix(spark.createDataFrame(rows[::-1], names), sources=F.col("groups")).collect()
+    assert sorted((r["doc_id"], r["mix_copies"]) for r in out) == sorted((r["doc_id"], r["mix_copies"]) for r in again)
+
+
+def test_mix_by_one_source_is_exact(spark):
+    rows = [(i, "w " * (1 + i * 7 % 11), ["x", "y", None][i % 3] if i % 4 else "x") for i in range(400)]
+    out = flow_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    size = collections.Counter()
+    for i, t, s in rows:
+        size[s] += len(t.split())
+    targets = flow_mix.target_words(size)
+    for s in size:
+        own = sorted(((r["mix_size"], r["mix_copies"]) for r in out if r["source"] == s))
+        whole = round(targets[s]) // size[s]
+        assert {r["mix_source_size"] for r in out if r["source"] == s} == {size[s]} and {n - whole for _, n in own} <= {0, 1}
+        # One document more or less would be as far from the target.
+        assert abs(sum(n * c for n, c in own) - targets[s]) <= 11 / 2 + 1
+
+
 def test_near_duplicates(spark, docs, empty):
     got = {r["doc_id"]: r for r in weighted_minhash.near_duplicates(docs).collect()}
     assert got[7]["class_id"] == got[8]["class_id"] == 7 and got[6]["class_id"] == 6 and got[3]["class_id"] == got[4]["class_id"] == got[5]["class_id"] == 3
@@ -207,6 +414,67 @@ def test_near_duplicates(spark, docs, empty):
     assert weighted_minhash.near_duplicates(empty).count() == 0
 
 
+def _classes_by_all_pairs(rows, idf_floor=0.02, similar=0.8):
+    """Weighted Jaccard similarity of all pairs of texts by definition, and the components of those at or above similar."""
+    kind = {i: tuple((t or "").split()) for i, t in rows}
+    copies = collections.Counter(t or "" for _, t in rows)
+    sets, df, n = {}, collections.Counter(), 0.0
+    for i, t in rows:
+        w = kind[i]
+        sets[i] = collections.Counter([w[k : k + 5] for k in range(len(w) - 4)] or ([w] if w else []))
+        part = 1 / copies[t or ""] if copies[t or ""] > max(1, 0.001 * len(rows)) else 1.0
+        n += part
+        for x in sets[i]:
+            df[x] += part
+    idf = {x: 1 + np.log(n / max(d, idf_floor * n)) for x, d in df.items()}
+    up = {i: i for i, _ in rows}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    pairs = set()
+    holders = collections.defaultdict(list)
+    for i in sets:
+        for x in sets[i] or [()]:
+            holders[x].append(i)
+    for own in holders.values():
+        pairs.update((a, b) for k, a in enumerate(own) for b in own[k + 1 :])
+    for a, b in pairs:
+        low = sum(min(c, sets[b][x]) * idf[x] for x, c in sets[a].items())
+        high = sum(max(sets[a][x], sets[b][x]) * idf[x] for x in sets[a] | sets[b])
+        if not high or low / high >= similar:
+            up[max(top(a), top(b))] = min(top(a), top(b))
+    return {i: top(i) for i, _ in rows}
+
+
+def test_near_duplicates_are_those_of_all_pairs(spark):
+    # Pairs on both sides of the threshold, a large group of near copies, exact copies and boilerplate.
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"b{x}" for x in rng.integers(0, 50_000, n)]
+    common, rows = word(40), []
+    for k in range(150):
+        base = word(160) + (common if k % 3 == 0 else [])
+        rows.append(" ".join(base))
+        for _ in range(k % 3):
+            other = base.copy()
+            for at in rng.integers(0, len(base), 1 + k % 4):
+                other[at] = f"e{rng.integers(0, 10**9)}"
+            rows.append(" ".join(other))
+    middle = word(200)
+    for k in range(120):
+        other = middle.copy()
+        for at in rng.integers(0, 200, k % 5):
+            other[at] = f"g{rng.integers(0, 10**9)}"
+        rows.append(" ".join(other))
+    rows = [(i, t) for i, t in enumerate([*rows, *rows[:20], "", None, " "])]
+    want = _classes_by_all_pairs(rows)
+    got = {r["doc_id"]: r["class_id"] for r in weighted_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [i for i in want if got[i] != want[i]]
+    assert len(set(want.values())) < len(rows) - 100 and len(missed) <= 0.01 * len(rows), missed
+
+
 def test_weighted_sampling():
     rng = np.random.default_rng(2)
     x = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))
@@ -222,7 +490,7 @@ def test_likely_shingles_stay_in_spark(spark, monkeypatch):
     rows = spark.createDataFrame([(i, " ".join(["a b c d e f" if i % 2 else "g h i j k", *(f"w{i}x{k}" for k in range(30))])) for i in range(40)], "doc_id long, text string").repartition(10)
     sent = []
     monkeypatch.setattr(weighted_minhash, "_counted", lambda keys, size, f=weighted_minhash._counted: sent.append(len(keys)) or f(keys, size))
-    few, joined = weighted_minhash.idf_table(rows), weighted_minhash.idf_table(rows, most_sent=0)
+    few, joined = weighted_minhash.idf_table(rows, idf_floor=0.1), weighted_minhash.idf_table(rows, idf_floor=0.1, most_sent=0)
     assert len(few[0]) == 3 and sent == [3]
     assert few[0].tolist() == joined[0].tolist() and np.allclose(few[1], joined[1])
 
@@ -246,12 +514,12 @@ def test_pairs_in_a_large_bucket_of_unlike_documents(spark, sizes):
 def test_weights_see_all_training_documents(spark, monkeypatch):
     rows, seen = spark.createDataFrame([(i, f"a b c w{i}") for i in range(200)], "doc_id long, text string"), []
     monkeypatch.setattr(shared, "stored", lambda df, tag, path=None, f=shared.stored: seen.append((tag, out := f(df, tag, path))) or out)
-    recurrent_lm.score(rows, rows, n_head=16, class_words=4, n_tail=4, min_fit_tokens=1)
-    assert dict(seen)["lm-ids"].count() == 200
+    recurrent_lm.score(rows, F.col("doc_id") < 150, n_head=16, n_classes=4, n_tail=4)
+    assert dict(seen)["lm-ids"].where("round >= 0").count() == 150
 
 
 def test_vocabulary_grows_with_the_corpus(spark):
     counts = spark.range(6000).selectExpr("id as word", "cast(if(id = 0, -1, id % 4) as int) as tail", "cast(100 as long) as n")
-    v = recurrent_lm.vocabulary(counts, n_head=None, class_words=None, n_tail=4, most_sent=200_000)
-    assert v.n_head == 6000 and v.class_words == 78 and v.n_classes == 77
+    v = recurrent_lm.vocabulary(counts, n_tail=4)
+    assert v.n_head == 6000 and v.n_classes == 46 and max(np.diff(v.starts)) - min(np.diff(v.starts)) <= 1
     assert recurrent_lm.head_words(100_000_000) == 80_000 and recurrent_lm.head_words(0) == 2_048
