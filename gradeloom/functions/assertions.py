@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.functions import scalars
@@ -36,6 +38,7 @@ def icontains_any(text: Column, *values: str) -> Column:
 
 
 def equals(text: Column, value: str) -> Column:
+    """A text equals a text. JSON values are compared by json_checks.equals_json."""
     return outcome(text == value)
 
 
@@ -43,15 +46,24 @@ def starts_with(text: Column, value: str) -> Column:
     return outcome(text.startswith(value))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Search for a pattern, with Unicode classes. Look-around and back references can't be judged, nor can bad patterns."""
-    if re.search(r"\(\?(=|!|<=|<!)|\\[1-9]", pattern):
-        return unevaluable()
+def java_pattern(pattern: str) -> str | None:
+    """The pattern as java.util.regex reads it, with Unicode classes; null if it can't be judged: look-around, back references,
+    atomic groups, or no pattern at all."""
+    if re.search(r"(?<!\\)(?:\\\\)*(\(\?(=|!|<=|<!|>)|\\[1-9]|\\k<)", pattern):
+        return None
+    own = "(?U)" + re.sub(r"(?<!\\)((?:\\\\)*)\(\?P<", r"\1(?<", pattern)
+    session = SparkSession.getActiveSession()
     try:
-        re.compile(pattern)
-    except re.error:
-        return unevaluable()
-    return outcome(text.rlike(f"(?U){pattern}"))
+        session._jvm.java.util.regex.Pattern.compile(own)
+    except (Py4JJavaError, IllegalArgumentException):
+        return None
+    return own
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Search for a pattern. Patterns that can't be judged are unevaluable."""
+    own = java_pattern(pattern)
+    return unevaluable() if own is None else outcome(text.rlike(own))
 
 
 def length_between(text: Column, least: int | None = None, most: int | None = None) -> Column:
@@ -70,16 +82,78 @@ def similar(a: Column, b: Column, threshold: float = 0.8) -> Column:
     return outcome(cosine >= threshold, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cosine + 1) / 2)))
 
 
-def negated(result: Column, text: Column, has_tool_calls: Column | None = None, budget: bool = False) -> Column:
-    """The reverse of an outcome. A blank output doesn't pass it, unless tools were called or a budget was judged."""
+def total_tokens(usage: dict[str, Column], billable: bool = False) -> Column:
+    """Input and output tokens, with billable also cache reads and writes; null if neither input nor output is reported."""
+    zero = F.lit(0)
+    parts = ("input", "output", "cache_read", "cache_write") if billable else ("input", "output")
+    there = usage["input"].isNotNull() | usage["output"].isNotNull()
+    out = F.lit(0)
+    for p in parts:
+        out = out + F.coalesce(usage.get(p, zero), zero)
+    return F.when(there, out)
+
+
+def checked(verdict: Column, score: Column | None = None) -> Column:
+    """The answer of a checker (pass, and a score or 1 and 0); unevaluable where it gave none."""
+    own = F.coalesce(score.cast("double"), verdict.cast("double")) if score is not None else verdict.cast("double")
+    return F.when(verdict.isNull(), unevaluable()).otherwise(outcome(verdict, own))
+
+
+def rubric(passed: Column, score: Column, threshold: float | None = None) -> Column:
+    """A recorded judge's verdict: by its score if there is a threshold, else by what it said; unevaluable without one."""
+    there = passed if threshold is None else score
+    verdict = passed if threshold is None else score >= threshold
+    return F.when(there.isNull(), unevaluable()).otherwise(outcome(verdict, F.coalesce(score.cast("double"), passed.cast("double"))))
+
+
+def called(calls: Column, name: str) -> Column:
+    """Whether a tool of that name was called (calls: array of name and arguments)."""
+    return outcome(F.exists(calls, lambda c: c["name"] == name))
+
+
+def negated(result: Column, text: Column, has_tool_calls: Column | None = None, budget: bool = False, is_json: Column | None = None, reason: Column | None = None) -> Column:
+    """The reverse of an outcome. An output without content doesn't pass it, unless tools were called or a budget was
+    judged. reason: why the output is empty; where it is given and null, the output isn't taken for empty."""
     calls = F.lit(False) if has_tool_calls is None else has_tool_calls
-    vacuous = F.lit(False) if budget else scalars.is_blank(text) & ~calls
+    vacuous = F.lit(False) if budget else scalars.is_blank(text, is_json) & ~calls
+    vacuous = vacuous if reason is None else vacuous & reason.isNotNull()
     passed = ~result["passed"] & ~vacuous
     score = F.when(vacuous & ~result["passed"], F.lit(0.0)).otherwise(1 - result["score"])
     turned = F.struct(score.alias("score"), passed.alias("passed"), F.lit(False).alias("unevaluable"))
     return F.when(result["unevaluable"], result).otherwise(turned)
 
 
+def can_change(done: list[tuple[Column, float]], remaining_weight: float, threshold: float | None = None) -> Column:
+    """Whether assertions of that weight, not judged yet, can still change a case's verdict."""
+    if remaining_weight <= 0:
+        return F.lit(False)
+    if threshold is None:
+        passed = F.lit(True)
+        for o, _ in done:
+            passed = passed & o["passed"]
+        return passed
+    summed, total = F.lit(0.0), remaining_weight + sum(w for _, w in done)
+    for o, w in done:
+        summed = summed + o["score"] * w
+    return ((summed + remaining_weight) / total >= threshold) & (summed / total < threshold)
+
+
+def error_message(results: Column) -> Column:
+    """What a case reports of its assertions (array of kind, status, reason) that couldn't be judged: the first, and how many
+    more; null without any."""
+    broken = F.filter(results, lambda a: a["status"] == "error")
+    first, more = F.get(broken, F.lit(0)), F.size(broken) - 1
+    why = F.trim(F.coalesce(first["reason"], F.lit("")))
+    text = F.concat(first["kind"], F.lit(" assertion errored"), F.when(why != "", F.concat(F.lit(": "), why)).otherwise(""))
+    return F.when(F.size(broken) > 0, F.when(more > 0, F.concat(text, F.format_string(" (and %d more errored)", more))).otherwise(text))
+
+
+def desugared(assertion: dict) -> dict:
+    """not-<kind> spelled as a kind that is negated."""
+    kind = assertion.get("type", "")
+    return {**assertion, "type": kind[4:], "negate": not assertion.get("negate", False)} if kind.startswith("not-") else assertion
+
+
 def weighted_mean(outcomes: list[tuple[Column, float]]) -> Column:
     """Mean score by weight; 1 where all weights are 0."""
     total = sum(w for _, w in outcomes)

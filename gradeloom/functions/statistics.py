@@ -26,9 +26,9 @@ def mcnemar(b: Column, c: Column) -> Column:
 
 
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
-    """Chance that k draws of n without replacement hold one of c successes."""
-    miss = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(1.0), lambda m, i: m * (n - c - i) / (n - i)) if k > 0 else F.lit(1.0)
-    return F.when(n - c < k, F.lit(1.0)).otherwise(1 - miss)
+    """Chance that k draws of n without replacement hold one of c successes; with n draws or more, whether there is one."""
+    miss = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(1.0), lambda m, i: m * (n - c - i) / F.nullif(n - i, F.lit(0))) if k > 0 else F.lit(1.0)
+    return F.when(n <= k, (c > 0).cast("double")).when(n - c < k, F.lit(1.0)).otherwise(1 - miss)
 
 
 def cosine(a: Column, b: Column) -> Column:

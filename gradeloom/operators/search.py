@@ -42,10 +42,69 @@ def search(docs: DataFrame, query: str, *, key: str = "doc_id", text: str = "tex
     return counted.where(every).join(F.broadcast(overall), F.lit(True)).select(key, score.alias("score"))
 
 
-def snippet(text: Column, query: str, width: int = 12) -> Column:
-    """Up to `width` words around the first hit of any term, joined by blanks; null without one."""
+def snippet(text: Column, query: str, width: int = 12, opens: str = "", closes: str = "") -> Column:
+    """Up to `width` words around the first hit of any term, joined by blanks, hits between the marks; null without one."""
     words = tokens(text)
-    marks = F.transform(words, lambda x: F.exists(F.array(*[F.lit(t) for t in terms_of(query)]), lambda t: x.startswith(t)))
-    at = F.array_position(marks, F.lit(True)).cast("int")
-    begun = F.greatest(F.lit(1), at - width // 2)
-    return F.when(at > 0, F.array_join(F.slice(words, begun, F.lit(width)), " "))
+    hit = lambda x: F.exists(F.array(*[F.lit(t) for t in terms_of(query)]), lambda t: x.startswith(t))
+    at = F.array_position(F.transform(words, hit), F.lit(True)).cast("int")
+    shown = F.slice(words, F.greatest(F.lit(1), at - width // 2), F.lit(width))
+    marked = F.transform(shown, lambda x: F.when(hit(x), F.concat(F.lit(opens), x, F.lit(closes))).otherwise(x)) if opens or closes else shown
+    return F.when(at > 0, F.array_join(marked, " "))
+
+
+def phrases_of(query: str) -> list[list[str]]:
+    """The terms of a query as it is typed: blanks part them, and a term with other signs inside is a phrase of several words."""
+    found = (terms_in_order(t) for t in query.replace('"', "").split())
+    return [p for p in found if p]
+
+
+def terms_in_order(text: str) -> list[str]:
+    return "".join(c.lower() if c.isalnum() else " " for c in text).split()
+
+
+def matches(columns: list[Column], query: str) -> Column:
+    """Whether every phrase of the query stands in one of the columns: its words one after the other, the last one as a word's
+    beginning. A query without words matches nothing."""
+    phrases = phrases_of(query)
+
+    def stands(own: Column, phrase: list[str]) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(own) - len(phrase), F.lit(0)))
+
+        def here(i):
+            fits = F.get(own, i + len(phrase) - 1).startswith(phrase[-1])
+            for k, word in enumerate(phrase[:-1]):
+                fits = fits & (F.get(own, i + k) == word)
+            return F.coalesce(fits, F.lit(False))
+
+        return F.exists(places, here)
+
+    out = F.lit(bool(phrases))
+    for phrase in phrases:
+        found = F.lit(False)
+        for c in columns:
+            found = found | stands(tokens(c), phrase)
+        out = out & found
+    return out
+
+
+RUN_TEXTS = ("project", "suite", "branch", "git_commit", "actor", "run_id")
+CASE_TEXTS = ("name", "output_text", "error_class", "tag_text", "test_id")
+
+
+def search_runs(runs: DataFrame, query: str, most: int = 50) -> DataFrame:
+    """Runs whose texts match, newest first."""
+    hits = runs.where(matches([F.col(c) for c in RUN_TEXTS], query))
+    return hits.orderBy(F.desc("created_at"), F.desc("run_id")).limit(most)
+
+
+def search_cases(cases: DataFrame, runs: DataFrame, query: str, most: int = 50) -> DataFrame:
+    """Cases of the given (visible, filtered) runs whose texts match, with a snippet; cached is null where it isn't known. More
+    words in common come first, then newer runs."""
+    columns = [F.col(c) for c in CASE_TEXTS]
+    text = F.concat_ws(" ", *columns)
+    hits = cases.where(matches(columns, query)).join(runs.select("run_id"), "run_id", "left_semi")
+    n = F.lit(0)
+    for t in terms_of(query):
+        n = n + _beginning(tokens(text), t)
+    shown = hits.select("run_id", "case_key", "created_at", "cached", n.alias("hits"), snippet(text, query, 12, "[", "]").alias("snippet"))
+    return shown.orderBy(F.desc("hits"), F.desc("created_at"), F.desc("run_id"), "case_key").limit(most)

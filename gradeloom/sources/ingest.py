@@ -9,15 +9,33 @@ from pyspark.sql import functions as F
 RESERVED = ("id", "description", "threshold", "cache_salt", "expect_fail", "tags", "__assert", "__history")
 
 
-def read_tests_table(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """Tests from CSV or TSV: id, tags (array), asserts (JSON text), expect_fail, vars (map of all other columns)."""
+def read_tests_table(spark: SparkSession, path: str, separator: str = ",", default_id: str | None = None) -> DataFrame:
+    """Tests from CSV or TSV in the file's order (place): id, description, tags, threshold, cache_salt, expect_fail and its
+    reason, asserts and history (JSON texts, or history's file:// path), vars (map of all other columns). With default_id, a test without an
+    id column is called <default_id>/<place>."""
     raw = spark.read.csv(path, header=True, sep=separator, multiLine=True, escape='"')
     own = [c for c in raw.columns if c not in RESERVED]
+    raw = raw.coalesce(1).withColumn("__place", F.monotonically_increasing_id().cast("int"))  # one file, whose order counts
     text = lambda name: F.col(f"`{name}`") if name in raw.columns else F.lit(None).cast("string")
     tags = F.filter(F.transform(F.split(text("tags"), ","), lambda x: F.trim(x)), lambda x: x != "")
-    flag = F.coalesce(F.lower(F.trim(text("expect_fail"))), F.lit(""))
+    flag = F.coalesce(F.trim(text("expect_fail")), F.lit(""))
+    plain = F.lower(flag).isin("", "true", "false")
     variables = F.map_from_arrays(F.array(*[F.lit(c) for c in own]), F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in own])) if own else F.create_map().cast("map<string,string>")
-    return raw.select(text("id").alias("test_id"), F.coalesce(tags, F.array().cast("array<string>")).alias("tags"), text("__assert").alias("asserts"), (~flag.isin("", "false")).alias("expect_fail"), variables.alias("vars"))
+    place = F.col("__place")
+    named = text("id") if default_id is None else F.coalesce(text("id"), F.concat(F.lit(f"{default_id}/"), place.cast("string")))
+    return raw.select(
+        named.alias("test_id"),
+        text("description").alias("description"),
+        F.coalesce(tags, F.array().cast("array<string>")).alias("tags"),
+        F.expr("try_cast(trim(threshold) as double)").alias("threshold") if "threshold" in raw.columns else F.lit(None).cast("double").alias("threshold"),
+        text("cache_salt").alias("cache_salt"),
+        (~F.lower(flag).isin("", "false")).alias("expect_fail"),
+        F.when(~plain, flag).alias("expect_fail_reason"),
+        F.nullif(F.trim(text("__assert")), F.lit("")).alias("asserts"),
+        F.nullif(F.trim(text("__history")), F.lit("")).alias("history"),
+        variables.alias("vars"),
+        place.alias("place"),
+    )
 
 
 def read_tests_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

@@ -17,8 +17,9 @@ def ingest_runs(spark: SparkSession, source: str, schema: str, table_path: str,
     def put(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
         hashed = batch.withColumn("content_hash", F.sha2(F.to_json(F.struct(*batch.columns)), 256)).dropDuplicates(["run_id", "content_hash"])
-        path = session._jvm.org.apache.hadoop.fs.Path(f"{table_path}/_SUCCESS")
-        there = path.getFileSystem(session._jsc.hadoopConfiguration()).exists(path)
+        path = session._jvm.org.apache.hadoop.fs.Path(table_path)
+        files = path.getFileSystem(session._jsc.hadoopConfiguration())
+        there = files.exists(path) and any(f.getPath().getName().startswith("part-") for f in files.listStatus(path))
         stored = session.read.schema(hashed.schema).parquet(table_path) if there else hashed.limit(0)
         created = judged_uploads(stored, hashed).where("outcome = 'created'").select("run_id", "content_hash")
         hashed.join(created, ["run_id", "content_hash"], "left_semi").write.mode("append").parquet(table_path)

@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import assertions as a
 from gradeloom.functions import scalars as sc
-from gradeloom.operators import results as r
+from gradeloom.operators import diffs
 from gradeloom.operators import search as se
 from gradeloom.operators import suites as su
 from gradeloom.plans import views as v
+from gradeloom.queries import NEWEST, NOW, WITH
 from gradeloom.sources import ingest
 
-WITH = f"WITH cases AS ({v.CASES}), runs AS ({v.RUNS})"
-NEWEST = "row_number() OVER (PARTITION BY project, suite ORDER BY created_at DESC, run_id DESC)"
-NOW = (2002 * 4) * 7776000000
-PROVIDERS, PROMPTS = ["openlab", "northwind", "local"], ["terse", "warm"]
+PROVIDERS, PROMPTS = ["openlab", "northwind", "local"], ["plain", "listed"]
 EXACT = {"Brand#11": 2_500_000, "Brand#22": 10_000_000}
 FAMILIES = {"Brand#": 500_000, "Brand#1": 750_000, "Brand#13": 1_250_000, "Brand#3": 3_000_000}
 SEARCHED = "ta re"
@@ -48,7 +46,7 @@ def suite_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 SUITE_CELLS = """SELECT p_brand || '/' || p_partkey::VARCHAR AS test_id, p.provider_id, q.prompt_id, n.repeat_idx FROM part,
-  (VALUES ('openlab'), ('northwind'), ('local')) p(provider_id), (VALUES ('terse'), ('warm')) q(prompt_id), (VALUES (0), (1)) n(repeat_idx)
+  (VALUES ('openlab'), ('northwind'), ('local')) p(provider_id), (VALUES ('plain'), ('listed')) q(prompt_id), (VALUES (0), (1)) n(repeat_idx)
 WHERE (p_brand LIKE 'Brand#1%' OR (p_brand LIKE 'Brand#3_' AND p_partkey % 10 = 5)) AND (p_size % 5 <> 0 OR provider_id = 'local') AND NOT (p_size % 7 = 0 AND provider_id = 'northwind')"""
 
 
@@ -56,7 +54,8 @@ def priced(spark: SparkSession, d: str) -> DataFrame:
     part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_brand")
     lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_partkey", "l_quantity")
     used = lines.groupBy("l_partkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("tokens"))
-    rate = sc.family_rate(F.col("p_brand"), EXACT, FAMILIES)
+    model = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("hub."), "p_brand")).when(F.col("p_partkey") % 4 == 1, F.concat("p_brand", F.lit("@v2"))).otherwise(F.col("p_brand"))
+    rate = sc.family_rate(model, EXACT, FAMILIES, ("hub.",))
     return used.join(part, F.col("l_partkey") == F.col("p_partkey")).select("p_partkey", "tokens", rate.alias("rate"), sc.component_cost(F.col("tokens"), rate).alias("cost_microusd"))
 
 
@@ -68,46 +67,81 @@ SELECT *, (tokens * rate + 999999) // 1000000 AS cost_microusd FROM p"""
 
 def attribution(spark: SparkSession, d: str) -> DataFrame:
     runs, cases = v.runs(spark, d), v.cases(spark, d)
-    def side(n: int, name: str) -> DataFrame:
-        own = cases.join(r.latest_runs(runs, n).select("run_id"), "run_id", "left_semi")
-        return own.select("project", "suite", "case_key", F.col("idx").alias(f"{name}_idx"), F.col("output_text").alias(f"{name}_text"), F.col("status").alias(f"{name}_status"))
+    base, head = (cases.join(F.broadcast(x.select("run_id")), "run_id", "left_semi") for x in diffs.newest_pairs(runs))
+    named = lambda df: df.withColumns({"asserts_digest": F.col("assert_digest"), "grader_digest": F.when(F.col("idx") % 7 != 0, F.floor(F.col("idx") % 1000 / 900).cast("string"))})
+    return diffs.attribution(named(base), named(head), "project", "suite", "case_key")
+
+
+ATTRIBUTION = f"""{WITH}, ranked AS (SELECT run_id, {NEWEST} AS nth FROM runs),
+c AS (SELECT c.*, nth, nullif(prompt_digest, '') AS prompt, nullif(provider_digest, '') AS provider, nullif(assert_digest, '') AS asserts, CASE WHEN idx % 7 <> 0 THEN floor(idx % 1000 / 900)::INT::VARCHAR END AS grader
+  FROM cases c JOIN ranked USING (run_id)), b AS (SELECT * FROM c WHERE nth = 3), h AS (SELECT * FROM c WHERE nth = 2)
+SELECT coalesce(b.project, h.project) AS project, coalesce(b.suite, h.suite) AS suite, coalesce(b.case_key, h.case_key) AS case_key, CASE WHEN b.status IS NULL OR h.status IS NULL THEN 'unknown'
+  WHEN b.prompt <> h.prompt THEN 'prompt_changed' WHEN b.provider <> h.provider THEN 'provider_changed' WHEN b.asserts <> h.asserts THEN 'asserts_changed' WHEN b.grader <> h.grader THEN 'grader_changed'
+  WHEN b.prompt IS NULL OR h.prompt IS NULL OR b.provider IS NULL OR h.provider IS NULL OR b.asserts IS NULL OR h.asserts IS NULL OR b.grader IS NULL OR h.grader IS NULL THEN 'unknown'
+  WHEN b.output_text IS DISTINCT FROM h.output_text AND b.status <> h.status THEN 'model_drift' WHEN b.output_text IS DISTINCT FROM h.output_text THEN 'output_drift' WHEN b.status <> h.status THEN 'unstable_grader' ELSE 'stable' END AS change
+FROM b FULL JOIN h ON b.project = h.project AND b.suite = h.suite AND b.case_key = h.case_key"""
+
+SERIES = f"""ci AS (SELECT * FROM runs WHERE ci IS NOT NULL), canon AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project, suite ORDER BY coalesce(branch = 'main', false) DESC, created_at DESC, run_id DESC) AS nth FROM ci) WHERE nth = 1),
+s AS (SELECT ci.project, ci.suite, ci.run_id, ci.pass_count / (ci.pass_count + ci.fail_count + ci.error_count) AS rate,
+  row_number() OVER (PARTITION BY ci.project, ci.suite ORDER BY ci.created_at DESC, ci.run_id DESC) AS nth FROM ci JOIN canon ON ci.project = canon.project AND ci.suite = canon.suite AND ci.branch IS NOT DISTINCT FROM canon.branch
+  WHERE ci.pass_count + ci.fail_count + ci.error_count > 0),
+l AS (SELECT project, suite, (max(rate) FILTER (WHERE nth = 1) - max(rate) FILTER (WHERE nth = 2)) * 100 AS delta_points FROM s GROUP BY project, suite)"""
+SEVERITY = f"""{WITH}, {SERIES}, g AS (SELECT *, created_at - lag(created_at) OVER (PARTITION BY project, suite ORDER BY created_at, run_id) AS gap FROM ci),
+b AS (SELECT project, suite, count(*) >= 2 AND {NOW} - max(created_at) > greatest(3 * median(gap), 86400000.0) AS stale FROM g GROUP BY project, suite),
+x AS (SELECT project, suite, CASE WHEN canon.run_id IS NULL THEN 'unknown' WHEN canon.fail_count + canon.error_count > 0 THEN 'failing' WHEN stale THEN 'stale' WHEN delta_points < 0 THEN 'drifting' ELSE 'healthy' END AS severity
+FROM (SELECT DISTINCT project, suite FROM runs) LEFT JOIN canon USING (project, suite) LEFT JOIN b USING (project, suite) LEFT JOIN l USING (project, suite))
+SELECT *, list_position(['failing', 'stale', 'drifting', 'unknown', 'healthy'], severity)::INT - 1 AS severity_rank FROM x"""
 
-    both = side(3, "b").join(side(2, "h"), ["project", "suite", "case_key"])
-    def digests(n: str) -> dict:
-        i = F.col(f"{n}_idx")
-        return {"prompt": F.when(i % 11 != 0, F.floor(i % 10 / 9)), "provider": F.floor(i % 100 / 90), "asserts": F.when(i % 13 != 0, 1), "grader": F.floor(i % 1000 / 900)}
-
-    moved = sc.what_moved(digests("b"), digests("h"), ~F.col("b_text").eqNullSafe(F.col("h_text")), F.col("b_status") != F.col("h_status"))
-    return both.select("project", "suite", "case_key", moved.alias("change"))
+RULES = [("1-URGENT", None), ("2-HIGH", "s1"), ("3-MEDIUM", "s2")]
+GRANTS = [("1-URGENT", "s0", "mira", "view"), ("2-HIGH", None, "mira", "upload"), ("3-MEDIUM", "s2", "bo", "manage"), ("2-HIGH", "s1", "mira", "manage")]
+RULE, GRANT = "project string, suite string", "project string, suite string, user_id string, level string"
 
 
-ATTRIBUTION = f"""{WITH}, ranked AS (SELECT run_id, {NEWEST} AS nth FROM runs), c AS (SELECT c.*, nth, CASE WHEN idx % 11 <> 0 THEN idx % 10 = 9 END AS prompt, idx % 100 >= 90 AS provider, CASE WHEN idx % 13 <> 0 THEN 1 END AS asserts, idx % 1000 >= 900 AS grader
-  FROM cases c JOIN ranked USING (run_id))
-SELECT b.project, b.suite, b.case_key, CASE WHEN b.prompt <> h.prompt THEN 'prompt_changed' WHEN b.provider <> h.provider THEN 'provider_changed' WHEN b.asserts <> h.asserts THEN 'asserts_changed' WHEN b.grader <> h.grader THEN 'grader_changed'
-  WHEN b.prompt IS NULL OR h.prompt IS NULL OR b.asserts IS NULL OR h.asserts IS NULL THEN 'unknown' WHEN b.output_text IS DISTINCT FROM h.output_text AND b.status <> h.status THEN 'model_drift'
-  WHEN b.output_text IS DISTINCT FROM h.output_text THEN 'output_drift' WHEN b.status <> h.status THEN 'unstable_grader' ELSE 'stable' END AS change
-FROM c b JOIN c h ON b.project = h.project AND b.suite = h.suite AND b.case_key = h.case_key WHERE b.nth = 3 AND h.nth = 2"""
+def _values(rows: list, names: str) -> str:
+    quoted = lambda x: "NULL::VARCHAR" if x is None else f"'{x}'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) AS t({names})"
 
-SEVERITY = f"""{WITH}, g AS (SELECT *, created_at - lag(created_at) OVER (PARTITION BY project, suite ORDER BY created_at, run_id) AS gap, row_number() OVER (PARTITION BY project, suite ORDER BY branch = 'main' DESC, created_at DESC, run_id DESC) AS nth FROM runs WHERE ci IS NOT NULL),
-b AS (SELECT project, suite, max(fail_count + error_count) FILTER (WHERE nth = 1) AS bad, count(*) >= 2 AND {NOW} - max(created_at) > greatest(3 * median(gap), 86400000.0) AS stale FROM g GROUP BY ALL),
-s AS (SELECT project, suite, pass_count / (pass_count + fail_count + error_count) AS rate, {NEWEST} AS n FROM runs WHERE ci IS NOT NULL AND branch = 'main' AND pass_count + fail_count + error_count > 0),
-l AS (SELECT project, suite, max(rate) FILTER (WHERE n = 1) AS last, max(rate) FILTER (WHERE n = 2) AS previous FROM s GROUP BY ALL)
-SELECT project, suite, CASE WHEN bad IS NULL THEN 'unknown' WHEN bad > 0 THEN 'failing' WHEN stale THEN 'stale' WHEN last < previous THEN 'drifting' ELSE 'healthy' END AS severity
-FROM (SELECT DISTINCT project, suite FROM runs) LEFT JOIN b USING (project, suite) LEFT JOIN l USING (project, suite)"""
 
-RULES = [("1-URGENT", None), ("2-HIGH", "s1"), ("3-MEDIUM", "s2")]
-GRANTS = [("1-URGENT", "s0", "ada", "view"), ("2-HIGH", None, "ada", "upload"), ("3-MEDIUM", "s2", "bo", "manage"), ("2-HIGH", "s1", "ada", "manage")]
+ACCESS = f"rules AS ({_values(RULES, 'project, suite')}), grants AS ({_values(GRANTS, 'project, suite, user_id, level')})"
 
 
 def visible(spark: SparkSession, d: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "project string, suite string")
-    grants = spark.createDataFrame(GRANTS, "project string, suite string, user_id string, level string")
-    return su.visible_runs(v.runs(spark, d), rules, grants, "ada").select("run_id")
+    return su.visible_runs(v.runs(spark, d), spark.createDataFrame(RULES, RULE), spark.createDataFrame(GRANTS, GRANT), "mira").select("run_id")
+
+
+VISIBLE = f"""{WITH}, {ACCESS} SELECT run_id FROM runs r WHERE NOT EXISTS (SELECT 1 FROM rules x WHERE x.project = r.project AND (x.suite IS NULL OR x.suite = r.suite))
+  OR EXISTS (SELECT 1 FROM grants g WHERE g.user_id = 'mira' AND g.project = r.project AND (g.suite IS NULL OR g.suite = r.suite))"""
 
 
 def changes(spark: SparkSession, d: str) -> DataFrame:
-    runs = v.runs(spark, d).withColumn("config_digest", F.when(F.col("case_count") % 7 != 0, F.col("case_count") % 3))
-    return su.change_points(runs, "config_digest").select("run_id", "config_digest_changed")
+    runs = v.runs(spark, d).withColumn("config_digest", F.nullif("config_digest", F.lit("")))
+    return su.change_points(runs, "config_digest", "git_commit").select("run_id", "config_digest_changed", "git_commit_changed")
+
+
+def selected(spark: SparkSession, d: str) -> DataFrame:
+    """One selector for each way to name cases."""
+    cases, out = v.cases(spark, d), None
+    for selector in SELECTORS:
+        own = su.select_cases(cases, selector).select(F.lit(selector).alias("selector"), "run_id", "case_key", "tier")
+        out = own if out is None else out.union(own)
+    return out
+
+
+SELECTORS = ["p1/F/t3#N", "p1/F/", "t7", "t1 OF o", ""]
+SELECTED = f"""{WITH}, s AS (SELECT unnest(['p1/F/t3#N', 'p1/F/', 't7', 't1 OF o', '']) AS selector),
+t AS (SELECT selector, run_id, case_key, CASE WHEN selector = '' THEN NULL WHEN case_key = selector THEN 1 WHEN length(selector) >= 4 AND starts_with(case_key, selector) THEN 2 WHEN test_id = selector THEN 3
+  WHEN contains(lower(name), lower(selector)) THEN 4 END AS tier FROM cases, s)
+SELECT selector, run_id, case_key, tier FROM (SELECT *, min(tier) OVER (PARTITION BY selector, run_id) AS best FROM t) WHERE tier = best"""
+
+
+def offered(spark: SparkSession, d: str) -> DataFrame:
+    part = spark.read.parquet(f"{d}/part.parquet")
+    return su.typeahead(part.groupBy(F.concat_ws("_", "p_name", "p_type").alias("project")).agg(F.count(F.lit(1)).alias("run_count")), " SMALL", 40)
+
+
+OFFERED = r"""WITH p AS (SELECT p_name || '_' || p_type AS project, count(*) AS run_count, trim(regexp_replace(lower(p_name || '_' || p_type), '[-_\s]+', ' ', 'g')) AS n FROM part GROUP BY p_name, p_type),
+k AS (SELECT *, CASE WHEN n = 'small' THEN 0 WHEN starts_with(n, 'small') THEN 1 WHEN contains(n, ' small') THEN 2 WHEN contains(n, 'small') THEN 3 END AS rank FROM p)
+SELECT project, run_count, rank FROM k WHERE rank IS NOT NULL ORDER BY rank, run_count DESC, project LIMIT 40"""
 
 
 def uploads(spark: SparkSession, d: str) -> DataFrame:
@@ -125,28 +159,68 @@ o AS (SELECT count(*) AS d, avg(n) AS m, count(*) FILTER (WHERE t0 > 0) AS f0, c
 SELECT doc_id, round(ln(1 + (d - f0 + 0.5) / (f0 + 0.5)) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * n / m)) + ln(1 + (d - f1 + 0.5) / (f1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * n / m)), 6) AS score
 FROM c, o WHERE t0 > 0 AND t1 > 0"""
 
+def sweep(spark: SparkSession, d: str) -> DataFrame:
+    nations = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("test_id"))
+    return su.sweep(nations, {"region": ["north", "south", "west"], "length": ["5", "40"]})
+
+
+SWEEP = """SELECT n_name || '[length=' || length || ',region=' || region || ']' AS test_id, length, region
+FROM nation, (VALUES ('5'), ('40')) l(length), (VALUES ('north'), ('south'), ('west')) r(region)"""
+
+
+def severity(spark: SparkSession, d: str) -> DataFrame:
+    return su.suite_severity(v.runs(spark, d), NOW)
+
+
+def matrix_columns(spark: SparkSession, d: str) -> DataFrame:
+    return su.matrix_columns(v.cases(spark, d))
+
+
+MATRIX_COLUMNS = f"""{WITH}, m AS (SELECT run_id, provider_id, prompt_id, min(idx) AS first_idx FROM cases GROUP BY run_id, provider_id, prompt_id)
+SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY first_idx, provider_id, prompt_id) AS place FROM m"""
+CHANGES = f"""{WITH}, c AS (SELECT *, nullif(config_digest, '') AS k FROM runs)
+SELECT run_id, coalesce(k <> lag(k) OVER (PARTITION BY project, suite ORDER BY created_at, run_id), false) AS config_digest_changed,
+  coalesce(git_commit <> lag(git_commit) OVER (PARTITION BY project, suite ORDER BY created_at, run_id), false) AS git_commit_changed FROM c"""
+
+
+def history_summary(spark: SparkSession, d: str) -> DataFrame:
+    return su.history_summary(v.cases(spark, d))
+
+
+HISTORY_SUMMARY = f"""{WITH}, c AS (SELECT *, output_text <> lag(output_text) OVER (PARTITION BY project, suite, case_key ORDER BY created_at, run_id) AS changed FROM cases)
+SELECT project, suite, case_key, count(*) AS points, count(*) FILTER (WHERE changed) AS output_changes,
+  CASE WHEN count(score) >= 2 THEN arg_min(score, (created_at, run_id)) FILTER (WHERE score IS NOT NULL) END AS first_score,
+  CASE WHEN count(score) >= 2 THEN arg_max(score, (created_at, run_id)) FILTER (WHERE score IS NOT NULL) END AS last_score FROM c GROUP BY project, suite, case_key"""
+
+
+def status_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return su.with_status_rank(v.cases(spark, d)).groupBy("status", "status_rank").agg(F.count(F.lit(1)).alias("n"))
+
+
+STATUS_RANKS = f"""{WITH} SELECT status, CASE status WHEN 'fail' THEN 5 WHEN 'xpass' THEN 4 WHEN 'error' THEN 3 WHEN 'pass' THEN 2 WHEN 'xfail' THEN 1 ELSE 0 END AS status_rank, count(*) AS n FROM cases GROUP BY 1, 2"""
+
+
+def document_search(spark: SparkSession, d: str) -> DataFrame:
+    return se.search(spark.read.parquet(f"{d}/documents.parquet"), SEARCHED).withColumn("score", F.round("score", 6))
+
+
 _Q = {
     "graded_cases": (graded, GRADED),
     "suite_cells": (suite_cells, SUITE_CELLS),
-    "nation_sweep": (lambda s, d: su.sweep(s.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("test_id")), {"style": ["terse", "warm"], "heat": ["0", "1"]}),
-        "SELECT n_name || '[heat=' || heat || ',style=' || style || ']' AS test_id, heat, style FROM nation, (VALUES ('0'), ('1')) h(heat), (VALUES ('terse'), ('warm')) s(style)"),
+    "nation_sweep": (sweep, SWEEP),
     "priced_usage": (priced, PRICED),
     "change_attribution": (attribution, ATTRIBUTION),
-    "suite_severity": (lambda s, d: su.suite_severity(v.runs(s, d), NOW), SEVERITY),
-    "matrix_columns": (lambda s, d: su.matrix_columns(v.cases(s, d)), f"""{WITH}, m AS (SELECT run_id, provider_id, prompt_id, min(idx) AS first_idx FROM cases GROUP BY ALL)
-        SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY first_idx, provider_id, prompt_id) AS place FROM m"""),
-    "config_changes": (changes, f"""{WITH}, c AS (SELECT *, CASE WHEN case_count % 7 <> 0 THEN case_count % 3 END AS k FROM runs)
-        SELECT run_id, coalesce(k <> lag(k) OVER (PARTITION BY project, suite ORDER BY created_at, run_id), false) AS config_digest_changed FROM c"""),
-    "history_summary": (lambda s, d: su.history_summary(v.cases(s, d)), f"""{WITH} SELECT project, suite, case_key, count(*) AS points, arg_min(score, (created_at, run_id)) FILTER (WHERE score IS NOT NULL) AS first_score,
-        arg_max(score, (created_at, run_id)) FILTER (WHERE score IS NOT NULL) AS last_score FROM cases GROUP BY ALL"""),
-    "visible_runs": (visible, f"""{WITH} SELECT run_id FROM runs WHERE project IS NULL OR NOT (project = '1-URGENT' OR (project = '2-HIGH' AND suite = 's1') OR (project = '3-MEDIUM' AND suite = 's2'))
-        OR (project = '1-URGENT' AND suite = 's0') OR project = '2-HIGH'"""),
-    "selected_cases": (lambda s, d: su.select_cases(v.cases(s, d), "p1/F/").select("run_id", "case_key", "tier"), f"{WITH} SELECT run_id, case_key, 2 AS tier FROM cases WHERE starts_with(case_key, 'p1/F/')"),
-    "project_typeahead": (lambda s, d: su.typeahead(v.runs(s, d).groupBy("project").agg(F.count(F.lit(1)).alias("run_count")), "high"), f"""{WITH} SELECT project, count(*) AS run_count, CASE WHEN project = '2-HIGH' THEN 2 END AS rank FROM runs WHERE project = '2-HIGH' GROUP BY project"""),
-    "status_ranks": (lambda s, d: su.with_status_rank(v.cases(s, d)).groupBy("status", "status_rank").agg(F.count(F.lit(1)).alias("n")), f"""{WITH} SELECT status, CASE status WHEN 'fail' THEN 5 WHEN 'xpass' THEN 4 WHEN 'error' THEN 3 WHEN 'pass' THEN 2 WHEN 'xfail' THEN 1 ELSE 0 END AS status_rank, count(*) AS n FROM cases GROUP BY ALL"""),
-    "document_search": (lambda s, d: se.search(s.read.parquet(f"{d}/documents.parquet"), SEARCHED).withColumn("score", F.round("score", 6)), SEARCH),
+    "suite_severity": (severity, SEVERITY),
+    "matrix_columns": (matrix_columns, MATRIX_COLUMNS),
+    "config_changes": (changes, CHANGES),
+    "history_summary": (history_summary, HISTORY_SUMMARY),
+    "visible_runs": (visible, VISIBLE),
+    "selected_cases": (selected, SELECTED),
+    "project_typeahead": (offered, OFFERED),
+    "status_ranks": (status_ranks, STATUS_RANKS),
+    "document_search": (document_search, SEARCH),
     "judged_uploads": (uploads, UPLOADS),
-}
+}
 
 
 def queries() -> dict:
