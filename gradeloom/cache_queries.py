@@ -184,14 +184,14 @@ SELECT mode, request_id, outcome, mode = 'read_write' AND outcome = 'call' AND r
 
 def human_texts(spark: SparkSession, d: str) -> DataFrame:
     lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), F.col("l_extendedprice").alias("x")).distinct()
-    n = F.floor(F.col("x") * 100).cast("long")
+    n = F.floor("x").cast("long") * 100 + 7  # no value lies halfway between two texts
     return lines.select(
-        "k", "x", sc.human_seconds((n % 5_000) / 8).alias("seconds"), sc.human_count(n).alias("count"), sc.human_tokens(n).alias("tokens"), sc.human_cost((n % 500) / 4_096).alias("cost"), sc.human_latency((n % 900 * 10).cast("double")).alias("latency"),
+        "k", "x", sc.human_seconds((n % 5_000) / 10).alias("seconds"), sc.human_count(n).alias("count"), sc.human_tokens(n).alias("tokens"), sc.human_cost((n % 500) / 4_096).alias("cost"), sc.human_latency((n % 900 * 10).cast("double")).alias("latency"),
         sc.human_bytes(n * 64).alias("bytes"), sc.human_percent((n % 50) / 50).alias("percent"),
     )
 
 
-HUMAN = """WITH v AS (SELECT DISTINCT l_orderkey AS k, l_extendedprice AS x, floor(l_extendedprice * 100)::BIGINT AS n FROM lineitem), w AS (SELECT *, (n % 5000) / 8 AS s, (n % 500) / 4096 AS u, n % 900 * 10 AS ms, n * 64 AS b FROM v)
+HUMAN = """WITH v AS (SELECT DISTINCT l_orderkey AS k, l_extendedprice AS x, floor(l_extendedprice)::BIGINT * 100 + 7 AS n FROM lineitem), w AS (SELECT *, (n % 5000) / 10 AS s, (n % 500) / 4096 AS u, n % 900 * 10 AS ms, n * 64 AS b FROM v)
 SELECT k, x, CASE WHEN s < 60 THEN printf('%.1fs', s) ELSE printf('%dm %02ds', round(s)::BIGINT // 60, round(s)::BIGINT % 60) END AS seconds,
   CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1e6::DOUBLE) WHEN n >= 1000 THEN printf('%.1fk', n / 1e3::DOUBLE) ELSE n::VARCHAR END AS count, CASE WHEN n < 1000 THEN n::VARCHAR WHEN n < 1000000 THEN printf('%.1fk', n / 1e3::DOUBLE) ELSE printf('%.2fM', n / 1e6::DOUBLE) END AS tokens,
   CASE WHEN u = 0 THEN '$0.00' WHEN u < 0.01 THEN printf('$%.4f', u) ELSE printf('$%.2f', u) END AS cost, CASE WHEN ms < 1000 THEN ms || 'ms' ELSE printf('%.2fs', ms / 1000::DOUBLE) END AS latency,

@@ -179,7 +179,7 @@ def without_runs(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(gone.select("run_id").distinct(), "run_id", "left_anti")
 
 
-def evict_lru(entries: DataFrame, target: int, spans: int = 1_024) -> DataFrame:
+def evict_lru(entries: DataFrame, target: int, spans: int = 128) -> DataFrame:
     """Entries to evict, least recently used first (those without an access before all), until the rest fits the target. Running
     sums are taken in spans of last access with about equal numbers of entries, after one sum per span, so no task orders the
     whole table; entries of one moment stay together."""
