@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from gradeloom.llm import shared
 
 END = b" end"  # no word holds a blank
+#: Rows of scores that are made at a time, so that they stay in a core's cache.
+BLOCK = 1_024
 
 
 @dataclass
@@ -228,8 +230,10 @@ def _exp(s: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def log_probabilities(w: dict, v: Vocabulary, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log of P(class) and, for head words, of P(word | class). states have a last column of ones."""
-    y = _exp(states, w["wc"])
-    out = np.log(y[np.arange(len(ids)), v.class_of[ids]] / (y @ np.ones(y.shape[1], np.float32)))
+    out = np.empty(len(ids), np.float32)
+    for k in range(0, len(ids), BLOCK):
+        y, own = _exp(states[k : k + BLOCK], w["wc"]), v.class_of[ids[k : k + BLOCK]]
+        out[k : k + BLOCK] = np.log(y[np.arange(len(own)), own] / (y @ np.ones(y.shape[1], np.float32)))
     order, classes = _in_classes(ids, v)
     sorted_states, sorted_ids = states[order], ids[order]
     for a, z, first, end in classes:
@@ -271,15 +275,19 @@ class Trainer:
         order, classes = _in_classes(ids, v)
         s, own = states[order], ids[order]
         cls = v.class_of[own]
-        y = _exp(s, w["wc"])
-        sums = y @ np.ones(y.shape[1], np.float32)
-        loss = np.log(sums / y[np.arange(len(own)), cls])
-        part = (scale / sums)[:, None]
-        gc = y.T @ (s * part)
+        wc, gc = np.ascontiguousarray(w["wc"][:, :-1]), np.zeros_like(w["wc"])
+        loss, ds, gw = np.empty(len(own), np.float32), np.empty((len(own), wc.shape[1]), np.float32), []
+        for k in range(0, len(own), BLOCK):
+            at = slice(k, k + BLOCK)
+            y = _exp(s[at], w["wc"])
+            sums = y @ np.ones(y.shape[1], np.float32)
+            loss[at] = np.log(sums / y[np.arange(len(y)), cls[at]])
+            part = (scale / sums)[:, None]
+            gc += y.T @ (s[at] * part)
+            ds[at] = (y @ wc) * part
+        ds -= scale * wc[cls]
         cuts = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
         gc[cls[cuts]] -= scale * np.add.reduceat(s, cuts, axis=0)
-        wc = w["wc"][:, :-1]
-        ds, gw = (y @ wc) * part - scale * wc[cls], []
         for a, z, first, end in classes:
             x, ww = s[a:z], w["ww"][first:end]
             q = _exp(x, ww)
