@@ -80,6 +80,8 @@ def rows_of(batch: pa.RecordBatch, *columns: str, at_once: int = 512):
     for k in range(0, batch.num_rows, at_once):
         part = batch.slice(k, at_once)
         yield from zip(*(part.column(c).to_pylist() for c in names), strict=True)
+    # Workers live from stage to stage; what Arrow holds of earlier batches goes back to the system.
+    pa.default_memory_pool().release_unused()
 
 
 def partitions(spark: SparkSession) -> int:
