@@ -386,20 +386,37 @@ def _candidates(table, bands: int, least: float, at_once: int = 400_000):
             x, y = x + i, y + begin
             keep = (roots[x] != roots[y]) & (y > x)
             x, y, agreement = x[keep], y[keep], agreement[keep]
-            if len(x):
-                same = (sketch[x] == sketch[y]).reshape(len(x), bands, -1).all(axis=2)
-                mine = same.argmax(axis=1) == band[x]
-                yield x[mine], y[mine], agreement[mine]
+            for k in range(0, len(x), 16_384):
+                left, right = x[k : k + 16_384], y[k : k + 16_384]
+                same = (sketch[left] == sketch[right]).reshape(len(left), bands, -1).all(axis=2)
+                mine = same.argmax(axis=1) == band[left]
+                if mine.any():
+                    yield left[mine], right[mine], agreement[k : k + 16_384][mine]
             i = stop
 
 
+def _some(found, group: np.ndarray, most: int = 250_000):
+    """The candidates in pieces of one group each and about `most` pairs."""
+    held, size = [], 0
+    for piece in found:
+        if held and (size >= most or group[piece[0][0]] != group[held[0][0][0]]):
+            yield tuple(np.concatenate(p) for p in zip(*held, strict=True))
+            held, size = [], 0
+        held.append(piece)
+        size += len(piece[0])
+    if held:
+        yield tuple(np.concatenate(p) for p in zip(*held, strict=True))
+
+
 def _meeting(bands: int, least: float):
     def meeting(batches):
         """The members of pairs that agree, once for each group."""
         for table in _groups(batches, 10_000):
-            found = [np.r_[x, y] for x, y, _ in _candidates(table, bands, least)]
-            if found:
-                got = table.select(["bucket", "band", "node", "root"]).take(pa.array(np.unique(np.concatenate(found)).astype(np.int64)))
+            found = np.zeros(table.num_rows, bool)
+            for x, y, _ in _candidates(table, bands, least):
+                found[x] = found[y] = True
+            if found.any():
+                got = table.select(["bucket", "band", "node", "root"]).take(pa.array(np.flatnonzero(found)))
                 yield from got.combine_chunks().to_batches()
 
     return meeting
@@ -407,11 +424,9 @@ def _meeting(bands: int, least: float):
 
 def _linked(weights_of, bands: int, least: float, similar: float, size: int):
     def linked(batches):
-        """Links that connect the classes of each group: pairs meet by falling agreement until one class holds both."""
+        """Links that connect the classes of each group: pairs, some at a time, meet by falling agreement until one class holds both."""
         weigh, memo = Weigher(weights_of), shared.WordHash()
         for table in _groups(batches, 400_000, "n_shingles"):
-            found = list(_candidates(table, bands, least))
-            x, y, agreement = (np.concatenate([f[k] for f in found] or [np.empty(0)]) for k in range(3))
             key = np.stack([table[c].to_numpy() for c in BLOCKED])
             group = np.cumsum(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
             roots, nodes, texts, held, up = table["root"].to_numpy(), table["node"].to_numpy(), table["text"], {}, {}
@@ -431,15 +446,21 @@ def _linked(weights_of, bands: int, least: float, similar: float, size: int):
                 return held[k]
 
             out, now = [], None
-            for k in np.lexsort((-agreement, group[x.astype(np.int64)])).tolist():
-                i, j = int(x[k]), int(y[k])
-                if group[i] != now:
-                    now = group[i]
+            for x, y, agreement in _some(_candidates(table, bands, least), group):
+                if group[x[0]] != now:
+                    now = group[x[0]]
                     held.clear(), up.clear()
-                a, b = top(int(roots[i])), top(int(roots[j]))
-                if a != b and similarity(*weighted(i), *weighted(j)) >= similar:
-                    up[a] = b
-                    out.append((nodes[i], nodes[j]))
+                if up:  # pairs that are in one class by now drop out
+                    own, at = np.unique(np.concatenate([roots[x], roots[y]]), return_inverse=True)
+                    tops = np.array([top(r) for r in own.tolist()], np.int64)[at]
+                    apart = tops[: len(x)] != tops[len(x) :]
+                    x, y, agreement = x[apart], y[apart], agreement[apart]
+                for k in np.argsort(-agreement, kind="stable").tolist():
+                    i, j = int(x[k]), int(y[k])
+                    a, b = top(int(roots[i])), top(int(roots[j]))
+                    if a != b and similarity(*weighted(i), *weighted(j)) >= similar:
+                        up[a] = b
+                        out.append((nodes[i], nodes[j]))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["node", "pivot"])
 
     return linked
