@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import factor_machine, flow_mix, line_frequency, pack_swap, prefix_hash, recurrent_lm, shared, token_planes, url_trie, weighted_minhash, window_index
+from gradeloom.llm import dimension_scan, factor_machine, flow_mix, impact_index, line_frequency, pack_swap, prefix_hash, recurrent_lm, shared, sort_count, token_planes, url_trie, weighted_minhash, window_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,15 +81,31 @@ def op10_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_minhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("row_no")
 
 
+def op11_impact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = impact_index.build(_table(spark, sf_dir, "documents"), shared.new_folder(spark, "impact-index"))
+    return impact_index.search(index, _table(spark, sf_dir, "benchmark"))
+
+
+def op12_sort_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_count.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dimension_scan.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
-    own = (op1_token_planes, op2_recurrent_lm, op3_url_trie, op4_pack_swap, op5_window_index, op6_factor_machine, op7_prefix_hash, op8_line_frequency, op9_flow_mix, op10_weighted_minhash)
+    own = (
+        op1_token_planes, op2_recurrent_lm, op3_url_trie, op4_pack_swap, op5_window_index, op6_factor_machine, op7_prefix_hash, op8_line_frequency,
+        op9_flow_mix, op10_weighted_minhash, op11_impact_index, op12_sort_count, op13_dimension_scan,
+    )
     return {f.__name__: f for f in own} | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_trie": OP3_SQL, "op5_window_index": OP5_SQL, "op8_line_frequency": OP8_SQL}
+    return {"op3_url_trie": OP3_SQL, "op5_window_index": OP5_SQL, "op8_line_frequency": OP8_SQL, "op11_impact_index": OP11_SQL, "op12_sort_count": OP12_SQL}
 
 
 OP3_SQL = r"""
@@ -139,3 +155,48 @@ SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n
        coalesce(r.n, 0)::BIGINT AS removed_words, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - coalesce(r.n, 0) >= 0.3 * n_words AS kept
 FROM base b LEFT JOIN removed r USING (doc_id)
 """
+
+#: A-Z alone are lower-cased before terms are cut.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT row_number() OVER () AS j, item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+asked AS (SELECT j, item_id, term, count(*) AS times FROM items GROUP BY ALL),
+whole AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_words FROM d WHERE len(w) > 0),
+tf AS (SELECT i, doc_id, term, len(w)::BIGINT AS n, count(*) AS tf FROM d, unnest(w) AS t(term) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+weight AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, whole),
+scored AS (
+  SELECT j, item_id, i, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_words))))::BIGINT AS score
+  FROM asked JOIN weight USING (term) JOIN tf USING (term), whole GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY j ORDER BY score DESC, doc_id NULLS FIRST) AS r FROM scored WHERE score > 0)
+SELECT item_id, r::INTEGER AS rank, doc_id, score FROM ranked WHERE r <= 20
+"""
+
+#: crc32 byte by byte: the table follows from its polynomial, bytes from hexadecimal digits.
+OP12_SQL = rf"""
+WITH RECURSIVE steps(b, c, n) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM steps WHERE n < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE n = 8),
+texts AS (
+  SELECT row_number() OVER () AS i, true AS own, doc_id, text FROM documents UNION ALL SELECT row_number() OVER () AS i, false, item_id, text FROM benchmark),
+cut AS (SELECT i, own, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+features AS (SELECT i, own, unnest(w || [w[k] || ' ' || w[k + 1] for k in range(1, len(w))]) AS f FROM cut),
+codes AS (
+  SELECT f, xor(list_reduce([4294967295] || [('0x' || substr(hex(encode(f)), 2 * k - 1, 2))::BIGINT for k in range(1, strlen(f) + 1)], lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b
+  FROM (SELECT DISTINCT f FROM features), crc),
+counted AS (SELECT own, i, b, count(*) AS n FROM features JOIN codes USING (f) GROUP BY ALL),
+sums AS (SELECT b, coalesce(sum(n) FILTER (own), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT own), 0)::DOUBLE AS t FROM counted GROUP BY b),
+whole AS (SELECT sum(s) AS ss, sum(t) AS tt FROM sums),
+gains AS (SELECT b, floor(1000 * ln(((t + 1) * (ss + 10000)) / ((s + 1) * (tt + 10000)))) AS g FROM sums, whole),
+weights AS (SELECT i, sum(n)::BIGINT AS n_features, floor(sum(n * g) / sum(n))::BIGINT AS weight FROM counted JOIN gains USING (b) WHERE own GROUP BY i),
+scored AS (
+  SELECT c.i, c.doc_id, len(c.w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(c.doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM cut c LEFT JOIN weights USING (i) WHERE c.own),
+drawn AS (
+  SELECT i, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS r, (25 * count(*) OVER ()) // 100 AS quota FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= quota THEN r END::BIGINT AS rank FROM scored LEFT JOIN drawn USING (i)
+"""

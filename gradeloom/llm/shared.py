@@ -93,6 +93,15 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+#: ASCII letters are lower-cased, digits stay, other ASCII characters become blanks; the bytes of all other characters stay.
+_TERM_BYTES = bytes(c if c > 127 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
+
+
+def terms(text: bytes | None) -> list[bytes]:
+    """Runs of ASCII letters, digits and characters beyond ASCII; only A-Z are lower-cased."""
+    return text.translate(_TERM_BYTES).split() if text else []
+
+
 def texts_of(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id and text alone, so that no other column's name can clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
