@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.functions import scalars as sc
-from gradeloom.operators import access, baselines, diffs, search, summaries
+from gradeloom.operators import access, baselines, diffs, summaries
 from gradeloom.operators import results as r
 from gradeloom.operators import runs as ru
 from gradeloom.operators import suites as su
@@ -321,29 +321,6 @@ m AS (SELECT first || CASE WHEN o <> first THEN ', ' || o ELSE '' END AS classes
 SELECT classes, main, split_part(main, '_', 1) || ' \u00b7 ' || replace(substr(main, strpos(main, '_') + 1), '_', ' ') AS label, CASE WHEN main IN ('exec_failed', 'provider_timeout') THEN 'amber' ELSE 'error' END AS tone, count(*) AS n FROM m GROUP BY ALL"""
 
 
-def found_runs(spark: SparkSession, d: str) -> DataFrame:
-    return search.search_runs(v.runs(spark, d), "high main c", 40).select("run_id")
-
-
-FOUND_RUNS = f"""{WITH} SELECT run_id FROM runs WHERE project = '2-HIGH' AND branch = 'main' AND git_commit IS NOT NULL ORDER BY {LAST} LIMIT 40"""
-
-
-def found_cases(spark: SparkSession, d: str) -> DataFrame:
-    runs = ru.by_cache(v.runs(spark, d).where("project = '3-MEDIUM'"))
-    return search.search_cases(v.cases(spark, d), runs, "t5/of render", 25).select("run_id", "case_key", "cached")
-
-
-def found_phrases(spark: SparkSession, d: str) -> DataFrame:
-    cases = v.cases(spark, d)
-    columns = [F.col(c) for c in search.CASE_TEXTS]
-    of = {q: cases.where(search.matches(columns, q)).groupBy("project").agg(F.count(F.lit(1)).alias("n")) for q in ("t5/of", "out/3 even", "rend", "*", "OUT t1")}
-    return _labelled(of)
-
-
-FOUND_PHRASES = rf"""{WITH}, t AS (SELECT project, lower(coalesce(name, '')) AS name, coalesce(output_text, '') AS o, coalesce(error_class, '') AS e, tag_text, lower(test_id) AS t FROM cases), q AS (SELECT unnest(['t5/of', 'out/3 even', 'rend', 'OUT t1']) AS label)
-SELECT label, project, count(*) AS n FROM t, q WHERE CASE label WHEN 't5/of' THEN name LIKE '%t5 of%' WHEN 'out/3 even' THEN o LIKE '%out 3%' AND tag_text LIKE '%even%' WHEN 'rend' THEN e LIKE 'rend%'
-  ELSE o LIKE 'out%' AND (regexp_matches(name, '(^| )t1') OR t LIKE 't1%' OR tag_text LIKE 't1%') END GROUP BY 1, 2"""
-
 _Q = {
     "run_filters": (run_filters, RUN_FILTERS),
     "runs_by_tag_and_cache": (runs_by_tag_and_cache, BY_TAG),
@@ -373,9 +350,6 @@ _Q = {
     "assert_flips": (assert_flips, ASSERT_FLIPS),
     "cell_buckets": (cell_buckets, CELL_BUCKETS),
     "error_breakdown": (error_breakdown, ERROR_BREAKDOWN),
-    "found_runs": (found_runs, FOUND_RUNS),
-    "found_cases": (found_cases, None),
-    "found_phrases": (found_phrases, FOUND_PHRASES),
 }
 
 

@@ -1,7 +1,10 @@
-"""Word search: every term is the beginning of a word; hits are ranked by BM25."""
+"""Word search: every term is the beginning of a word; hits are ranked by BM25. matches() reads every text; text_index finds the same rows by
+ranges of an index."""
 
 from __future__ import annotations
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,24 +90,84 @@ def matches(columns: list[Column], query: str) -> Column:
     return out
 
 
-RUN_TEXTS = ("project", "suite", "branch", "git_commit", "actor", "run_id")
-CASE_TEXTS = ("name", "output_text", "error_class", "tag_text", "test_id")
+#: Searched texts of a run and of a case, in this order; those that a table lacks are left out.
+RUN_TEXTS = ("project", "suite", "branch", "git_commit", "description", "tag_text")
+CASE_TEXTS = ("name", "prompt_text", "output_text", "error_class", "tag_text", "test_id")
+#: The marks of a hit and the sign for what is left out, and the words that a snippet shows.
+OPENS, CLOSES, LEFT_OUT, SHOWN = "\ue000", "\ue001", "\u2026", 12
 
 
-def search_runs(runs: DataFrame, query: str, most: int = 50) -> DataFrame:
-    """Runs whose texts match, newest first."""
-    hits = runs.where(matches([F.col(c) for c in RUN_TEXTS], query))
-    return hits.orderBy(F.desc("created_at"), F.desc("run_id")).limit(most)
+def texts_of(df: DataFrame, names: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(c for c in names if c in df.columns)
 
 
-def search_cases(cases: DataFrame, runs: DataFrame, query: str, most: int = 50) -> DataFrame:
-    """Cases of the given (visible, filtered) runs whose texts match, with a snippet; cached is null where it isn't known. More
-    words in common come first, then newer runs."""
-    columns = [F.col(c) for c in CASE_TEXTS]
-    text = F.concat_ws(" ", *columns)
-    hits = cases.where(matches(columns, query)).join(runs.select("run_id"), "run_id", "left_semi")
-    n = F.lit(0)
-    for t in terms_of(query):
-        n = n + _beginning(tokens(text), t)
-    shown = hits.select("run_id", "case_key", "created_at", "cached", n.alias("hits"), snippet(text, query, 12, "[", "]").alias("snippet"))
-    return shown.orderBy(F.desc("hits"), F.desc("created_at"), F.desc("run_id"), "case_key").limit(most)
+def best_window(texts: tuple[str | None, ...], phrases: list[list[str]], width: int) -> tuple[list[str], int, set[int]] | None:
+    """Words of the text that holds the best window, where that begins, and which of its words belong to hits."""
+    best = None
+    for column, text in enumerate(texts):
+        words = WORD_RUNS.findall(text or "")
+        lower = [w.lower() for w in words]
+        hits = [(i, n) for i in range(len(words)) for n, p in enumerate(phrases) if lower[i : i + len(p) - 1] == p[:-1] and i + len(p) <= len(words) and lower[i + len(p) - 1].startswith(p[-1])]
+        first, last = 0, max(len(words) - width, 0)
+        for begin in sorted({min(i, last) for i, _ in hits}):
+            while first < len(hits) and hits[first][0] < begin:
+                first += 1
+            inside = hits[first : next((k for k in range(first, len(hits)) if hits[k][0] >= begin + width), len(hits))]
+            rank = (len({n for _, n in inside}), len(inside), -column, -begin)
+            if best is None or rank > best[0]:
+                best = (rank, words, begin, inside)
+    return best and (best[1], best[2], {i + k for i, n in best[3] for k in range(len(phrases[n]))})
+
+
+#: Runs of letters and digits, in Python as in tokens().
+WORD_RUNS = regex.compile(r"[\p{L}\p{N}]+")
+
+
+def best_snippet(columns: list[Column], query: str, width: int = SHOWN, opens: str = OPENS, closes: str = CLOSES, left_out: str = LEFT_OUT) -> Column:
+    """The `width` words of one column that hold most different phrases of the query, joined by blanks, their words between marks. A window begins
+    with a phrase or ends with the text; of windows that hold equally many phrases the one with more hits, then the first one of the first
+    column. Null without a hit in any column. It is made for the hits that are shown, so in Python, by batches."""
+    phrases = phrases_of(query)
+
+    @F.pandas_udf("string")
+    def shown(*batch: pd.Series) -> pd.Series:
+        out = []
+        for texts in zip(*batch, strict=True):
+            found = best_window(texts, phrases, width)
+            if found is None:
+                out.append(None)
+                continue
+            words, begin, marked = found
+            text = " ".join(f"{opens}{w}{closes}" if i in marked else w for i, w in enumerate(words[begin : begin + width], begin))
+            out.append((left_out if begin else "") + text + (left_out if begin + width < len(words) else ""))
+        return pd.Series(out, dtype=object)
+
+    return shown(*columns)
+
+
+def search_runs(index, runs: DataFrame, query: str, most: int = 50) -> DataFrame:
+    """The given (visible, filtered) runs whose texts match, by rank, newer runs first among equals: run_id, project, suite, created_at, snippet,
+    cached (whether the whole run was replayed; null where its counts are unknown), rank and score."""
+    from gradeloom.operators import text_index
+
+    names = texts_of(runs, RUN_TEXTS)
+    known = (F.coalesce(F.col("cache_hits"), F.lit(-1)) >= 0) & (F.coalesce(F.col("cache_misses"), F.lit(-1)) >= 0)
+    cached = F.when(known, (F.col("cache_misses") == 0) & (F.col("cache_hits") > 0))
+    found = text_index.cut_to(text_index.hits(index, query).join(runs, "run_id"), most, F.desc(F.round("score", 9)), F.desc("created_at"), F.desc("run_id"))
+    shown = best_snippet([F.col(c) for c in names], query)
+    return found.select("run_id", "project", "suite", "created_at", shown.alias("snippet"), cached.alias("cached"), "rank", "score")
+
+
+def search_cases(index, cases: DataFrame, runs: DataFrame, query: str, most: int = 50) -> DataFrame:
+    """Cases of the given (visible, filtered) runs whose texts match, by rank, newer runs first among equals: their keys, name, status, project and
+    suite of the run, snippet, cached (null where it isn't known), rank and score. Filters on runs are about the owning run, cached is the case's own."""
+    from gradeloom.operators import text_index
+
+    names = texts_of(cases, CASE_TEXTS)
+    own = runs.select("run_id", F.col("project").alias("_project"), F.col("suite").alias("_suite"), F.col("created_at").alias("_created"))
+    met = text_index.hits(index, query).join(own, "run_id")
+    # The first `most` are cut before texts are fetched; what the join with cases drops (a case deleted since) was cut by remove().
+    first = text_index.cut_to(met, most, F.desc(F.round("score", 9)), F.desc("_created"), F.desc("run_id"), F.col("case_key"))
+    found = F.broadcast(first).join(cases.select("run_id", "case_key", *dict.fromkeys((*names, "name", "status", "cached"))), ["run_id", "case_key"])
+    shown = best_snippet([F.col(c) for c in names], query)
+    return found.select("run_id", "case_key", "name", "status", F.col("_project").alias("project"), F.col("_suite").alias("suite"), shown.alias("snippet"), "cached", "rank", "score")

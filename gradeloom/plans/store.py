@@ -36,3 +36,12 @@ def materialised(spark: SparkSession, sf_dir: str, name: str, build: Callable[[]
         (df.repartition("run_id").sortWithinPartitions("run_id") if "run_id" in df.columns else df).write.parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
+
+
+def written(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], object]) -> str:
+    """The folder that write(path) fills for sf_dir, once for a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        write(path := f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+        _WRITTEN[key] = path
+    return _WRITTEN[key]

@@ -1,4 +1,4 @@
-"""Registered queries on suites: grading, expansion, pricing, attribution, health, visibility, selection, search, ingest."""
+"""Registered queries on suites: grading, expansion, pricing, attribution, health, visibility, selection, ingest."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from gradeloom.functions import assertions as a
 from gradeloom.functions import scalars as sc
 from gradeloom.operators import diffs
-from gradeloom.operators import search as se
 from gradeloom.operators import suites as su
 from gradeloom.plans import views as v
 from gradeloom.queries import NEWEST, NOW, WITH
@@ -17,7 +16,6 @@ from gradeloom.sources import ingest
 PROVIDERS, PROMPTS = ["openlab", "northwind", "local"], ["plain", "listed"]
 EXACT = {"Brand#11": 2_500_000, "Brand#22": 10_000_000}
 FAMILIES = {"Brand#": 500_000, "Brand#1": 750_000, "Brand#13": 1_250_000, "Brand#3": 3_000_000}
-SEARCHED = "ta re"
 
 
 def graded(spark: SparkSession, d: str) -> DataFrame:
@@ -153,12 +151,6 @@ UPLOADS = """WITH e AS (SELECT event_id, event_id % 1000 AS run_id, (user_id % 3
 f AS (SELECT DISTINCT run_id, content_hash FROM e WHERE event_id >= 500)
 SELECT run_id, content_hash, CASE WHEN old = content_hash THEN 'existing' WHEN old IS NOT NULL THEN 'conflict' WHEN row_number() OVER (PARTITION BY run_id ORDER BY content_hash) = 1 THEN 'created' ELSE 'conflict' END AS outcome FROM f LEFT JOIN s USING (run_id)"""
 
-SEARCH = r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
-c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: starts_with(x, 'ta'))) AS t0, len(list_filter(w, lambda x: starts_with(x, 're'))) AS t1 FROM t),
-o AS (SELECT count(*) AS d, avg(n) AS m, count(*) FILTER (WHERE t0 > 0) AS f0, count(*) FILTER (WHERE t1 > 0) AS f1 FROM c)
-SELECT doc_id, round(ln(1 + (d - f0 + 0.5) / (f0 + 0.5)) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * n / m)) + ln(1 + (d - f1 + 0.5) / (f1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * n / m)), 6) AS score
-FROM c, o WHERE t0 > 0 AND t1 > 0"""
-
 def sweep(spark: SparkSession, d: str) -> DataFrame:
     nations = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("test_id"))
     return su.sweep(nations, {"region": ["north", "south", "west"], "length": ["5", "40"]})
@@ -200,10 +192,6 @@ def status_ranks(spark: SparkSession, d: str) -> DataFrame:
 STATUS_RANKS = f"""{WITH} SELECT status, CASE status WHEN 'fail' THEN 5 WHEN 'xpass' THEN 4 WHEN 'error' THEN 3 WHEN 'pass' THEN 2 WHEN 'xfail' THEN 1 ELSE 0 END AS status_rank, count(*) AS n FROM cases GROUP BY 1, 2"""
 
 
-def document_search(spark: SparkSession, d: str) -> DataFrame:
-    return se.search(spark.read.parquet(f"{d}/documents.parquet"), SEARCHED).withColumn("score", F.round("score", 6))
-
-
 _Q = {
     "graded_cases": (graded, GRADED),
     "suite_cells": (suite_cells, SUITE_CELLS),
@@ -218,7 +206,6 @@ _Q = {
     "selected_cases": (selected, SELECTED),
     "project_typeahead": (offered, OFFERED),
     "status_ranks": (status_ranks, STATUS_RANKS),
-    "document_search": (document_search, SEARCH),
     "judged_uploads": (uploads, UPLOADS),
 }
 
