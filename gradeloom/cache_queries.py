@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.functions import assertions as a
+from gradeloom.functions import blake3
 from gradeloom.functions import json_checks as jc
 from gradeloom.functions import scalars as sc
 from gradeloom.functions import templates as tp
@@ -157,11 +158,13 @@ def settled_chains(spark: SparkSession, d: str) -> DataFrame:
     links = cell.select("l_orderkey", "k", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("link"))
     state = (F.col("k") + F.col("link") * 7) % 6
     attempts = links.select("l_orderkey", "link", F.concat(F.lit("p"), "link").alias("provider_id"), F.when(state == 1, "refusal").when(state == 2, "blank").alias("empty_reason"), F.when(state == 3, "provider_timeout").when(state == 4, "provider_request").alias("error_class"))
-    out = fallbacks.settled(attempts, "l_orderkey")
+    flags = cell.select("l_orderkey", (F.col("k") % 7 != 0).alias("walks"), F.when(F.col("k") % 5 == 0, F.lit(2)).alias("aborted_at"))
+    out = fallbacks.settled(attempts.join(flags, "l_orderkey"), "l_orderkey", walks=F.col("walks"), aborted_at=F.col("aborted_at"))
     return out.withColumn("passed_over", F.array_join("passed_over", ","))
 
 
-CHAINS = """WITH k AS (SELECT l_orderkey, max(l_partkey) AS k FROM lineitem GROUP BY 1), a AS (SELECT l_orderkey, link, (k + link * 7) % 6 AS s FROM k, (VALUES (0), (1), (2)) t(link)),
+CHAINS = """WITH k AS (SELECT l_orderkey, max(l_partkey) AS k FROM lineitem GROUP BY 1), a AS (SELECT l_orderkey, link, (k + link * 7) % 6 AS s FROM k, (VALUES (0), (1), (2)) t(link)
+  WHERE link = 0 OR (k % 7 <> 0 AND NOT (k % 5 = 0 AND link = 2))),
 w AS (SELECT l_orderkey, min(link) FILTER (WHERE s NOT IN (1, 3)) AS stop FROM a GROUP BY 1), i AS (SELECT w.*, a.s, stop IS NOT NULL AND (stop = 0 OR s <> 4) AS ok FROM w LEFT JOIN a ON a.l_orderkey = w.l_orderkey AND a.link = w.stop),
 c AS (SELECT i.l_orderkey, ok, stop, a.link, a.s FROM i JOIN a ON a.l_orderkey = i.l_orderkey AND a.link = CASE WHEN ok THEN stop ELSE 0 END)
 SELECT l_orderkey, 'p' || link AS provider_id, CASE s WHEN 1 THEN 'refusal' WHEN 2 THEN 'blank' END AS empty_reason, CASE s WHEN 3 THEN 'provider_timeout' WHEN 4 THEN 'provider_request' END AS error_class,
@@ -217,8 +220,36 @@ def seeded_values(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", tp.seeded_uuid(F.col("event_id")).alias("uuid"), F.round(tp.seeded_rand(F.col("event_id")), 9).alias("rand"), tp.seeded_randint(-3, 12, F.col("event_id")).alias("randint"))
 
 
-SEEDED = """WITH h AS (SELECT event_id, sha256('uuid:' || event_id) AS u, ('0x' || left(sha256('rand:' || event_id), 13))::BIGINT / 4503599627370496 AS r FROM events)
-SELECT event_id, concat_ws('-', u[1:8], u[9:12], '4' || u[14:16], substr('89ab', ('0x' || u[17:17])::INT % 4 + 1, 1) || u[18:20], u[21:32]) AS uuid, round(r, 9) AS rand, floor(r * 16)::BIGINT - 3 AS randint FROM h"""
+def _seeded_sql() -> str:
+    """BLAKE3 of a message of one block in SQL, half a step of a round for each table, and what is taken from its digest."""
+    size, mask = "length(t)", 4294967295
+    word = lambda k: " + ".join(f"(coalesce(ascii(nullif(substr(t, {4 * k + j + 1}, 1), '')), 0)::BIGINT << {8 * j})" for j in range(4))
+    turned = lambda x, n: f"((xor({x}) >> {n}) | ((xor({x}) << {32 - n}) & {mask}))"
+    state = [*blake3.IV, *blake3.IV[:4], 0, 0, size, blake3.CHUNK_START + blake3.CHUNK_END + blake3.ROOT]
+    tables = ["s AS (SELECT event_id, event_id::VARCHAR AS t FROM events)"]
+    tables.append("h0 AS (SELECT event_id, " + ", ".join([f"{word(k)} AS m{k}" for k in range(16)] + [f"{x}::BIGINT AS v{k}" for k, x in enumerate(state)]) + " FROM s)")
+    order, n = list(range(16)), 0
+    for _ in range(blake3.ROUNDS):
+        for half, places in enumerate(blake3.STEPS):
+            for other, (one, two) in enumerate(((16, 12), (8, 7))):
+                now = []
+                for k, (a, b, c, d) in enumerate(places):
+                    m = order[8 * half + 2 * k + other]
+                    now += [f"(v{a} + v{b} + m{m}) & {mask} AS a{k}", f"{turned(f'v{d}, a{k}', one)} AS d{k}", f"(v{c} + d{k}) & {mask} AS c{k}", f"{turned(f'v{b}, c{k}', two)} AS b{k}"]
+                named = {v: f"{x}{k} AS v{v}" for k, own in enumerate(places) for v, x in zip(own, "abcd", strict=True)}
+                tables.append(f"g{n} AS (SELECT *, {', '.join(now)} FROM h{n})")
+                tables.append(f"h{n + 1} AS (SELECT event_id, {', '.join(f'm{k}' for k in range(16))}, {', '.join(named[v] for v in range(16))} FROM g{n})")
+                n += 1
+        order = [order[k] for k in blake3.ORDER]
+    tables.append("w AS (SELECT event_id, " + ", ".join(f"xor(v{k}, v{k + 8}) AS w{k}" for k in range(4)) + f" FROM h{n})")
+    # Words are written with the least byte first.
+    tables.append("x AS (SELECT *, " + ", ".join(f"printf('%02x%02x%02x%02x', w{k} & 255, (w{k} >> 8) & 255, (w{k} >> 16) & 255, w{k} >> 24) AS x{k}" for k in range(4)) + " FROM w)")
+    return f"""WITH {", ".join(tables)}
+SELECT event_id, concat_ws('-', x0, x1[1:4], '4' || x1[6:8], substr('89ab', ('0x' || x2[1:1])::INT % 4 + 1, 1) || x2[2:4], x2[5:8] || x3) AS uuid,
+  round((w1 * 2097152 + (w0 >> 11)) / 9007199254740992, 9) AS rand, ((w1::HUGEINT * 4294967296 + w0) % 16)::BIGINT - 3 AS randint FROM x"""
+
+
+SEEDED = _seeded_sql()
 
 
 def priced_calls(spark: SparkSession, d: str) -> DataFrame:

@@ -49,7 +49,9 @@ def starts_with(text: Column, value: str) -> Column:
 def java_pattern(pattern: str) -> str | None:
     """The pattern as java.util.regex reads it, with Unicode classes; null if it can't be judged: look-around, back references,
     atomic groups, or no pattern at all."""
-    if re.search(r"(?<!\\)(?:\\\\)*(\(\?(=|!|<=|<!|>)|\\[1-9]|\\k<)", pattern):
+    # Escapes but references and whole character classes say nothing about look-around.
+    bare = re.sub(r"\\[^1-9k]|\[\^?\]?(?:\\.|[^\]\\])*\]", "", pattern, flags=re.DOTALL)
+    if re.search(r"\(\?(=|!|<=|<!|>)|\\[1-9]|\\k<", bare):
         return None
     own = "(?U)" + re.sub(r"(?<!\\)((?:\\\\)*)\(\?P<", r"\1(?<", pattern)
     session = SparkSession.getActiveSession()

@@ -121,12 +121,14 @@ def entry_detail(entries: DataFrame, entry_key) -> DataFrame:
 
 
 def entry_runs(cases: DataFrame, runs: DataFrame, cache_key: str, size: int = 50, after: tuple | None = None) -> DataFrame:
-    """Cases that an entry answered, by their runs, newest first; size + 1 rows. after: the last row's created_at and run_id, so
-    cases of one run don't go over two pages."""
+    """Cases that an entry answered, by their runs, newest first; size + 1 rows. after: the last row's created_at, run_id and case_key, so that
+    a run's cases can go over several pages."""
     own = cases.where(F.col("cache_key") == cache_key).select("run_id", "case_key", "name", "status", F.coalesce("cached", F.lit(False)).alias("cached"))
     met = own.join(runs.select("run_id", "project", "suite", "created_at"), "run_id")
     if after is not None:
-        met = met.where((F.col("created_at") < after[0]) | ((F.col("created_at") == after[0]) & (F.col("run_id") < after[1])))
+        at, run_id, case_key = after
+        later = (F.col("run_id") < run_id) | ((F.col("run_id") == run_id) & (F.col("case_key") > case_key))
+        met = met.where((F.col("created_at") < at) | ((F.col("created_at") == at) & later))
     return met.orderBy(F.desc("created_at"), F.desc("run_id"), "case_key").limit(size + 1)
 
 

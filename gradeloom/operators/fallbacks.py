@@ -24,10 +24,15 @@ def chain_of(primary: Column, links: Column, only: Column, skip: Column, built:
     return F.filter(F.array_distinct(links), kept)
 
 
-def settled(attempts: DataFrame, *cell: str, reasons: tuple[str, ...] = HAND_OVER_REASONS) -> DataFrame:
+def settled(attempts: DataFrame, *cell: str, reasons: tuple[str, ...] = HAND_OVER_REASONS, walks: Column | bool = True, aborted_at: Column | None = None) -> DataFrame:
     """The attempt that answers each cell, of attempts (cell, link: 0 is the primary, provider_id, empty_reason, error_class): the
     first that doesn't hand over, if it is the primary or has no error; else the primary, and then nothing counts as passed
-    over. passed_over: the providers that handed over before."""
+    over. passed_over: the providers that handed over before. walks: whether a cell's chain is walked at all; where it isn't (fallbacks are
+    off, the cache is read only, or the cell has a latency assertion), the primary's attempt stands alone. aborted_at: the link
+    before which the run was aborted, if it was; that one and later ones are never called."""
+    own = F.lit(walks) if isinstance(walks, bool) else F.coalesce(walks, F.lit(True))
+    called = own if aborted_at is None else own & F.coalesce(F.col("link") < aborted_at, F.lit(True))
+    attempts = attempts.where((F.col("link") == 0) | called)
     marked = attempts.withColumn("_over", hands_over(F.col("empty_reason"), F.col("error_class"), reasons))
     by = [F.col(c) for c in cell]
     stop = marked.groupBy(*by).agg(
