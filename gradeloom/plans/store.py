@@ -38,6 +38,11 @@ def materialised(spark: SparkSession, sf_dir: str, name: str, build: Callable[[]
     return spark.read.parquet(_WRITTEN[key])
 
 
+def folder_of(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Where materialised() or written() has put something."""
+    return _WRITTEN[(spark.sparkContext.applicationId, sf_dir, name)]
+
+
 def written(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], object]) -> str:
     """The folder that write(path) fills for sf_dir, once for a session."""
     key = (spark.sparkContext.applicationId, sf_dir, name)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeloom.operators import cache, search, text_index, trigrams
 from gradeloom.operators import runs as ru
-from gradeloom.operators import search, text_index
 from gradeloom.plans import store
 from gradeloom.plans import views as v
 from gradeloom.queries import WITH
@@ -109,7 +109,46 @@ SELECT label, project, count(*) AS n FROM t, q
 WHERE CASE label WHEN 't5/of' THEN name LIKE '%t5 of%' WHEN 'out/3 even' THEN o LIKE '%out 3%' AND tag_text LIKE '%even%' WHEN 'rend' THEN e LIKE 'rend%'
   ELSE o LIKE 'out%' AND (regexp_matches(name, '(^| )t1') OR t LIKE 't1%' OR tag_text LIKE 't1%') END GROUP BY 1, 2"""
 
+TYPED = ("OUT 3", "t1_ of", "case t7%f", "nowhere", "t", "%")
+
+
+def cases_with_text(spark: SparkSession, d: str) -> DataFrame:
+    """How many cases of each run hold what was typed in their output or name; files without its trigrams aren't read."""
+    v.cases(spark, d)
+    table, columns = store.folder_of(spark, d, "cases"), ("output_text", "name")
+    path = store.written(spark, d, "cases-trigrams", lambda path: trigrams.build(spark, table, path, columns))
+    index, out = trigrams.TrigramIndex(spark, table, path, columns), None
+    for typed in TYPED:
+        own = trigrams.rows_with(index, ru.case_filter(text=typed), trigrams.literals(typed))
+        own = own.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(typed).alias("typed"), "run_id", "n")
+        out = own if out is None else out.union(own)
+    return out
+
+
+CASES_WITH_TEXT = f"""{WITH}, q AS (SELECT unnest({list(TYPED)}) AS typed)
+SELECT typed, run_id, count(*) AS n FROM q, cases WHERE lower(output_text) LIKE '%' || lower(typed) || '%' OR lower(name) LIKE '%' || lower(typed) || '%' GROUP BY 1, 2"""
+
+
+def entries_with_text(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of the local tier whose request or output holds a text in any case."""
+    v.cache_entries(spark, d)
+    table, columns = store.written(spark, d, "entries", v.cache_entries(spark, d).write.parquet), ("request_summary", "output_preview")
+    path = store.written(spark, d, "entries-trigrams", lambda path: trigrams.build(spark, table, path, columns))
+    index, out = trigrams.TrigramIndex(spark, table, path, columns), None
+    for typed in ("Answer 42", "U7", "u1 a"):
+        # A hit can go over both texts, which are shown with a blank between them.
+        parts = [] if " " in typed else [typed.lower()]
+        own = trigrams.rows_with(index, cache.entry_filter(text=typed, by_words=False), parts).select(F.lit(typed).alias("typed"), "entry_key")
+        out = own if out is None else out.union(own)
+    return out
+
+
+ENTRIES_WITH_TEXT = f"""WITH c AS ({v.CACHE}), q AS (SELECT unnest(['Answer 42', 'U7', 'u1 a']) AS typed)
+SELECT typed, entry_key FROM q, c WHERE contains(lower(request_summary || ' ' || output_preview), lower(typed))"""
+
 _Q = {
+    "cases_with_text": (cases_with_text, CASES_WITH_TEXT),
+    "entries_with_text": (entries_with_text, ENTRIES_WITH_TEXT),
     "document_search": (document_search, DOCUMENT_SEARCH),
     "found_runs": (found_runs, FOUND_RUNS),
     "found_cases": (found_cases, FOUND_CASES),

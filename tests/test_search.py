@@ -7,7 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.operators import search, text_index
+from gradeloom.operators import runs, search, text_index, trigrams
 from gradeloom.plans import store
 
 WORDS = ["ab", "abc", "b", "ba", "bab", "Cb", "É", "éa", "42", "421", "東京"]
@@ -119,3 +119,24 @@ def test_hits_join_runs_and_cases(spark):
     assert [(r.run_id, r.case_key, r.status, r.project, r.cached) for r in hits] in ([("r2", "a", "fail", "p2", None)], [("r2", "b", "error", "p2", False)])
     for junk in ("AND", '"((', "a OR NOT (", "--", "*", "  "):
         assert search.search_cases(of_cases, cases, runs, junk).count() == 0
+
+
+def test_trigrams_skip_files(spark):
+    table, columns = folder(spark), ("output_text", "name")
+    words = ["alpha", "Bravo", "čarli", "delta", "echo_x", "fox%trot", None, "ab"]
+    data = [(i, f"{words[i % 8]} {i}" if words[i % 8] else None, words[(i + 3) % 8]) for i in range(400)]
+    df = spark.createDataFrame(data, "i int, output_text string, name string")
+    df.repartitionByRange(20, "i").write.parquet(table)
+    index = trigrams.build(spark, table, folder(spark), columns)
+    rows = spark.read.parquet(table)
+    for typed in ("BRAVO 1", "ČAR", "echo_x", "alpha 8%", "l_ha", "ab", "zzz", "", "delta 35", "%", "a%o_x"):
+        condition, parts = runs.case_filter(text=typed), trigrams.literals(typed)
+        got = trigrams.rows_with(index, condition, parts)
+        assert sorted(r.i for r in got.collect()) == sorted(r.i for r in rows.where(condition).collect()), typed
+    assert len(trigrams.files_for(index, ["delta 355"])) < 5 and trigrams.files_for(index, ["zzz"]) == [] and len(trigrams.files_for(index, ["ab"])) == 20
+    # Files that came later are read until they are indexed.
+    df.where("i = 355").write.mode("append").parquet(table)
+    found = lambda: trigrams.rows_with(index, runs.case_filter(text="bravo 1"), ["bravo 1"])
+    before = len(trigrams.files_for(index, ["bravo 1"]))
+    assert trigrams.extend(index) >= 1 and trigrams.extend(index) == 0 and len(trigrams.files_for(index, ["bravo 1"])) < before
+    assert found().count() == rows.where(runs.case_filter(text="bravo 1")).count()
