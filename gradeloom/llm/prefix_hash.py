@@ -4,13 +4,14 @@ A text's prefix array holds, for each position, the polynomial hash of everythin
 2^31 - 1 and for two bases. Two spans are equal if their hashes, taken from the arrays by one subtraction and one
 multiplication, are; the longest common extension of two positions is found by binary search over spans.
 
-A fingerprint is the text's length, its last pair of prefix hashes and a sample of its first prefix array: the hashes at the
-multiples of a step, counted from the beginning and from the end (the step is the least power of two of which the length has at
-most CELLS). Equal texts have equal fingerprints. Fingerprints alone tell whether spans between sampled positions are equal,
-so their likeness needs no text: from the beginning, and again from the end, it jumps by the longest common extension
-(binary search over the sampled positions), steps over the cell that differs and goes on. The likeness is the share of
-the longer text that equal cells cover (at most what the shorter one has); 1 for equal texts (two empty ones too), 0 if
-only one is empty.
+A fingerprint cuts the text into spans by its content and holds the spans' hashes (one subtraction in the prefix array, and a multiplication that
+takes the place away) with their sizes, besides the length and the whole text's pair of hashes. Every place is a cut of level 0; a
+cut whose four code points have a lesser hash than its neighbours' of the same level is one of the next level. So cuts come back behind an edit
+at any offset, and a text takes the first level at which it has at most about SPANS spans: single code points in short texts. Equal texts have equal fingerprints. Likeness needs no
+text: both fingerprints are brought to the coarser one's level (cuts tell theirs, and hashes of neighbouring spans add up), and their spans are
+matched in order, by longest common extensions (binary search over prefix hashes of the spans) from one place where they are equal again to the
+next. It is the share of the longer text that matched spans cover: 1 for equal texts (two empty ones too), 0 if only one is empty. Texts whose
+levels lie more than ABOVE apart (one is over nine times longer) meet at cuts that are too fine for it, and count as less alike than they are.
 
 Null texts count as empty. Rows follow each other by ascending doc_id (null ids first), repeated rows by text; the one
 after the last is the first. With a single row, it follows itself. An empty table gives no rows; other columns are ignored.
@@ -18,6 +19,8 @@ after the last is the first. With a single row, it follows itself. An empty tabl
 
 from __future__ import annotations
 
+import base64
+import bisect
 import hashlib
 
 import numpy as np
@@ -42,21 +45,30 @@ class Powers:
     """Powers of the bases, as far as they have been asked for."""
 
     def __init__(self):
-        self.rows = [np.ones(1, dtype=np.uint64) for _ in BASES]
+        self.rows, self.back = [np.ones(1, dtype=np.uint64) for _ in BASES], np.ones(1, dtype=np.uint64)
 
     def __call__(self, n: int) -> list[np.ndarray]:
         while len(self.rows[0]) <= n:
             for k, base in enumerate(BASES):
-                own = self.rows[k]
-                self.rows[k] = np.concatenate([own, _mod(own * np.uint64(pow(base, len(own), int(P))))])
+                self.rows[k] = self._doubled(self.rows[k], base)
         return self.rows
 
+    def inverse(self, n: int) -> np.ndarray:
+        """Powers of the first base's inverse."""
+        while len(self.back) <= n:
+            self.back = self._doubled(self.back, pow(BASES[0], -1, int(P)))
+        return self.back
+
+    @staticmethod
+    def _doubled(own: np.ndarray, base: int) -> np.ndarray:
+        return np.concatenate([own, _mod(own * np.uint64(pow(base, len(own), int(P))))])
+
 
 class Prefixes:
     """Prefix hashes of one text: at(i) is the sum over j < i of (code point j + 1) * base^j."""
 
     def __init__(self, codes: np.ndarray, powers: Powers, arrays: list[np.ndarray] | None = None):
-        self.n, self.powers = len(codes), powers
+        self.n, self.codes, self.powers = len(codes), codes, powers
         if arrays is None:
             wide, arrays = codes.astype(np.uint64) + np.uint64(1), []
             for row in powers(self.n):
@@ -70,7 +82,7 @@ class Prefixes:
         """The prefixes of this text's first keep code points followed by the other's first n, from both arrays."""
         rows = self.powers(keep)
         arrays = [np.concatenate([a[: keep + 1], _mod(a[keep] + _mod(o[1 : n + 1] * r[keep]))]) for a, o, r in zip(self.arrays, other.arrays, rows, strict=True)]
-        return Prefixes(np.empty(keep + n, dtype=np.uint32), self.powers, arrays)
+        return Prefixes(np.concatenate([self.codes[:keep], other.codes[:n]]), self.powers, arrays)
 
     def equal(self, i: int, other: Prefixes, j: int, n: int) -> bool:
         """Whether the spans of n code points from i here and from j there are equal."""
@@ -94,64 +106,131 @@ class Prefixes:
             low, high = (mid, high) if self.equal(i - mid, other, j - mid, mid) else (low, mid - 1)
         return low
 
-    def fingerprint(self) -> str:
-        step = step_of(self.n)
-        places = np.concatenate([np.arange(0, self.n + 1, step), np.arange(self.n, -1, -step)])
-        return f"{self.n:x}." + "".join(f"{int(a[self.n]):08x}" for a in self.arrays) + "." + self.arrays[0][places].astype(">u4").tobytes().hex()
-
-
-#: Whole steps of a fingerprint's grid, at most.
-CELLS = 32
-
-
-def step_of(n: int) -> int:
-    """The least power of two of which n holds at most CELLS."""
-    step = 1
-    while n // step > CELLS:
-        step *= 2
-    return step
+    def spans(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the spans from begin to end, each as if it stood at the beginning of a text."""
+        own = self.arrays[0]
+        return _mod(_mod(own[end] + (P - own[begin])) * self.powers.inverse(self.n)[begin])
 
-
-def _sampled(fingerprint: str) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Length, step, and the prefix hashes at multiples of the step from the beginning and from the end."""
+    def fingerprint(self) -> str:
+        places, levels = cuts(self.codes, level_of(self.n))
+        begin = np.concatenate([[0], places])
+        end = np.concatenate([places, [self.n]])
+        sample = np.empty(len(begin) if self.n else 0, ENTRY)
+        if self.n:
+            sample["hash"], sample["size"], sample["level"] = self.spans(begin, end), end - begin, 255
+            sample["level"][1:] = levels
+        return f"{self.n:x}." + "".join(f"{int(a[self.n]):08x}" for a in self.arrays) + "." + base64.b64encode(sample.tobytes()).decode()
+
+
+#: Spans of a fingerprint, at most about so many; levels above its own that a fingerprint tells of its cuts; the longest span.
+SPANS, ABOVE, LONGEST = 1024, 2, (1 << 16) - 1
+#: Odd multipliers of the four code points around a place, and of what they make.
+HASH = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9], np.uint64)
+ENTRY = np.dtype([("hash", ">u4"), ("size", ">u2"), ("level", "u1")])
+
+
+def level_of(n: int) -> int:
+    """The least level of which n holds at most SPANS spans: spans of a level are three times as long as those below it."""
+    level = 0
+    while n > SPANS * 3**level:
+        level += 1
+    return level
+
+
+def cuts(codes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places where spans begin, and the level of each (up to ABOVE over the given one). Every place is a cut of level 0, with a hash of the four
+    code points around it; cuts whose hash is less than that of their neighbours of the same level are cuts of the next (of equal
+    neighbours the left one counts as less)."""
+    n = len(codes)
+    wide = np.zeros(n + 3, np.uint64)
+    wide[2:-1] = codes
+    h = wide[:n] * HASH[0]
+    for k in (1, 2, 3):
+        h += wide[k : k + n] * HASH[k]
+    h ^= h >> np.uint64(29)
+    h *= HASH[4]
+    levels, own = np.zeros(n, np.uint8), np.arange(1, n)
+    for k in range(1, level + ABOVE + 1):
+        v = h[own]
+        less = np.ones(len(own), bool)
+        less[1:] &= v[1:] < v[:-1]
+        less[:-1] &= v[:-1] <= v[1:]
+        own = own[less]
+        levels[own] = k
+    places = np.flatnonzero(levels[1:] >= level) + 1
+    begun = np.concatenate([[0], places, [n]])
+    longest = min(LONGEST, 16 * 3**level)
+    if len(begun) and (np.diff(begun) > longest).any():  # such spans are cut by length, from where they begin
+        more = np.concatenate([np.arange(x + longest, y, longest) for x, y in zip(begun[:-1], begun[1:], strict=True)])
+        levels[more] = 254
+        places = np.union1d(places, more)
+    return places, levels[places]
+
+
+def opened(fingerprint: str) -> tuple[int, np.ndarray]:
+    """Length and spans of a fingerprint."""
     length, _, sample = fingerprint.split(".")
-    n, found = int(length, 16), np.frombuffer(bytes.fromhex(sample), ">u4").astype(np.uint64)
-    return n, step_of(n), found[: len(found) // 2], found[len(found) // 2 :]
-
-
-def equal_cells(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Stretches (first, behind the last) of equal cells of two grids. a and b hold comparable prefix hashes, so the spans
-    from cell i up to j are equal if a - b is the same at both."""
-    m = min(len(a), len(b))
-    d, out, at = _mod(a[:m] + (P - b[:m])).tolist(), [], 0
-    while at < m - 1:
-        low, high = at, m - 1
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if d[mid] == d[at] else (low, mid - 1)
-        if low > at:
-            out.append((at, low))
-        at = low + 1
+    return int(length, 16), np.frombuffer(base64.b64decode(sample), ENTRY)
+
+
+def at_level(spans: np.ndarray, level: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and sizes of the spans between cuts of a level; the hash of joined spans follows from theirs."""
+    first = np.flatnonzero(spans["level"] >= level)
+    sizes = spans["size"].astype(np.int64)
+    if len(first) == len(spans):
+        return spans["hash"].astype(np.uint64), sizes
+    total = np.cumsum(sizes)
+    before = total - sizes
+    of = np.searchsorted(first, np.arange(len(spans)), side="right") - 1
+    shifted = _mod(spans["hash"].astype(np.uint64) * powers(int(total[-1]))[0][before - before[first[of]]])
+    return _mod(np.add.reduceat(shifted, first)), np.add.reduceat(sizes, first)
+
+
+def matched(mine: np.ndarray, other: np.ndarray, powers: Powers) -> list[tuple[int, int, int]]:
+    """Stretches (place here, place there, length) of equal spans, in the order of both: a longest common extension by binary search
+    over the prefix hashes of the two sequences, then on to the nearest two places that are equal again."""
+    here, there, prefixes = mine.tolist(), other.tolist(), []
+    places: dict[int, list[int]] = {}
+    for k, x in enumerate(there):
+        places.setdefault(x, []).append(k)
+    out, i, j = [], 0, 0
+    while i < len(here) and j < len(there):
+        if here[i] == there[j]:
+            n = 1
+            if here[i + 1 : i + 3] == there[j + 1 : j + 3]:  # worth a search
+                prefixes = prefixes or [Prefixes(x.astype(np.uint32), powers) for x in (mine, other)]
+                n = prefixes[0].extension(i, prefixes[1], j)
+            out.append((i, j, n))
+            i, j = i + n, j + n
+            continue
+        best = None
+        for k in range(i, len(here)):
+            if best is not None and k - i >= best[0]:
+                break
+            own = places.get(here[k])
+            at = bisect.bisect_left(own, j) if own else 0
+            if own and at < len(own) and (best is None or k - i + own[at] - j < best[0]):
+                best = (k - i + own[at] - j, k, own[at])
+        if best is None:
+            break
+        _, i, j = best
     return out
 
 
-def likeness(fingerprint: str, other: str) -> float:
-    """The share of the longer text that cells cover which both texts have, from the two fingerprints alone."""
+def likeness(fingerprint: str, other: str, powers: Powers | None = None) -> float:
+    """The share of the longer text that equal spans cover, from the two fingerprints alone."""
     if fingerprint == other:
         return 1.0
-    (n, own, ahead, back), (m, its, other_ahead, other_back) = _sampled(fingerprint), _sampled(other)
+    powers = powers or Powers()
+    (n, own), (m, its) = opened(fingerprint), opened(other)
     if not n or not m:
         return 0.0
-    step, longer = max(own, its), max(n, m)
-    # A hash from the end of one text stands at another power of the base than the other's; this makes them alike.
-    lift, other_lift = (np.uint64(pow(BASES[0], k, int(P))) for k in (m, n))
-    found = [(i * step, j * step) for i, j in equal_cells(ahead[:: step // own], other_ahead[:: step // its])]
-    found += [(longer - j * step, longer - i * step) for i, j in equal_cells(_mod(back[:: step // own] * lift), _mod(other_back[:: step // its] * other_lift))]
-    covered = upto = 0
-    for begin, end in sorted(found):
-        covered += max(0, end - max(begin, upto))
-        upto = max(upto, end)
-    return min(covered, n, m) / longer
+    level = max(level_of(n), level_of(m))
+    (a, sizes), (b, other_sizes) = at_level(own, level, powers), at_level(its, level, powers)
+    # The size is part of what must be equal.
+    key = lambda h, size: _mod(h + _mod(size.astype(np.uint64) * np.uint64(0x2545F491)))
+    covered = sum(int(sizes[i : i + k].sum()) for i, _, k in matched(key(a, sizes), key(b, other_sizes), powers))
+    return min(covered, n, m) / max(n, m)
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -166,13 +245,13 @@ def _pairs(batches):
     powers, held, part, done = Powers(), None, None, False
 
     def judged(row, after):
-        (doc_id, text, own), (_, next_text, next_own) = row, after
+        (doc_id, text, own, mine), (_, next_text, next_own, nexts) = row, after
         n = own.n
         m = min(n // 4, next_own.n) if n // 4 else 0
         edited = own.replaced_from(n - n // 4, next_own, m)
         sha = hashlib.sha256((text[: n - n // 4] + next_text[:m]).encode("utf-8", "surrogatepass")).hexdigest()
-        mine, its, nexts = own.fingerprint(), edited.fingerprint(), next_own.fingerprint()
-        return doc_id, n, sha, mine, its, likeness(mine, its), likeness(mine, nexts)
+        its = edited.fingerprint()
+        return doc_id, n, sha, mine, its, likeness(mine, its, powers), likeness(mine, nexts, powers)
 
     for batch in batches:
         out = []
@@ -181,7 +260,8 @@ def _pairs(batches):
                 continue
             if p != part:
                 part, held, done = p, None, False
-            row = (doc_id, text, Prefixes(codes_of(text), powers))
+            own = Prefixes(codes_of(text), powers)
+            row = (doc_id, text, own, own.fingerprint())
             if held is not None:
                 out.append(judged(held, row))
             held, done = row, copy

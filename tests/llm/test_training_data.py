@@ -1,5 +1,6 @@
 """Training-data operators against brute force, round trips and edge cases."""
 
+import base64
 import collections
 import hashlib
 import zlib
@@ -283,38 +284,87 @@ def test_prefix_hashes(spark, docs, empty):
     assert prefix_hash.fingerprints(empty).count() == 0
 
 
+def _level(n):
+    return next(k for k in range(40) if n <= 1024 * 3**k)
+
+
+def _levels(text, level):
+    """The level of each place of a text, place by place."""
+    codes, n, own, out = [0, 0, *map(ord, text), 0], len(text), range(1, len(text)), [0] * len(text)
+    h = [sum(codes[i + k] * int(prefix_hash.HASH[k]) for k in range(4)) % 2**64 for i in range(n)]
+    h = [(x ^ (x >> 29)) * int(prefix_hash.HASH[4]) % 2**64 for x in h]
+    for k in range(1, level + 3):
+        own = [p for q, p in enumerate(own) if (q == 0 or h[p] < h[own[q - 1]]) and (q == len(own) - 1 or h[p] <= h[own[q + 1]])]
+        for p in own:
+            out[p] = k
+    begun = [0, *[p for p in range(1, n) if out[p] >= level], n]
+    for x, y in zip(begun, begun[1:]):
+        for p in range(x + 16 * 3**level, y, 16 * 3**level):
+            out[p] = 254
+    return out
+
+
+def _spans(text, level):
+    at = [0, *[p for p, k in enumerate(_levels(text, _level(len(text)))) if p and k >= level], len(text)]
+    return [text[x:y] for x, y in zip(at, at[1:])]
+
+
 def _print(text):
     """The fingerprint by its definition, hash by hash."""
-    p, n = 2**31 - 1, len(text)
-    at = lambda base, i: sum((ord(c) + 1) * pow(base, j, p) for j, c in enumerate(text[:i])) % p
-    step = next(s for k in range(40) if n // (s := 2**k) <= 32)
-    own = [f"{at(prefix_hash.BASES[0], i):08x}" for i in [*range(0, n + 1, step), *range(n, -1, -step)]]
-    return f"{n:x}." + "".join(f"{at(b, n):08x}" for b in prefix_hash.BASES) + "." + "".join(own)
+    p, n, level = 2**31 - 1, len(text), _level(len(text))
+    of = lambda base, t: sum((ord(c) + 1) * pow(base, j, p) for j, c in enumerate(t)) % p
+    levels, at, out = _levels(text, level), 0, b""
+    for span in _spans(text, level) if text else []:
+        out += of(prefix_hash.BASES[0], span).to_bytes(4, "big") + len(span).to_bytes(2, "big") + bytes([levels[at] if at else 255])
+        at += len(span)
+    return f"{n:x}." + "".join(f"{of(b, text):08x}" for b in prefix_hash.BASES) + "." + base64.b64encode(out).decode()
 
 
 def _alike(a, b):
-    """The likeness by comparing the cells' texts."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    step = max(next(s for k in range(40) if len(t) // (s := 2**k) <= 32) for t in (a, b))
-    longer, covered = max(len(a), len(b)), set()
-    for k in range(0, min(len(a), len(b)) - step + 1, step):
-        if a[k : k + step] == b[k : k + step]:
-            covered.update(range(k, k + step))
-        if a[len(a) - k - step : len(a) - k] == b[len(b) - k - step : len(b) - k]:
-            covered.update(range(longer - k - step, longer - k))
-    return min(len(covered), len(a), len(b)) / longer
+    """The likeness from the spans' texts, compared one by one."""
+    if a == b or not a or not b:
+        return float(a == b)
+    level = max(_level(len(a)), _level(len(b)))
+    x, y, i, j, covered = _spans(a, level), _spans(b, level), 0, 0, 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            covered, i, j = covered + len(x[i]), i + 1, j + 1
+            continue
+        nearest = [(k - i + y.index(x[k], j) - j, k) for k in range(i, len(x)) if x[k] in y[j:]]
+        if not nearest:
+            break
+        far, k = min(nearest)
+        i, j = k, j + far - (k - i)
+    return covered / max(len(a), len(b))
 
 
 def test_likeness_of_fingerprints():
     rng, powers = np.random.default_rng(4), prefix_hash.Powers()
     of = lambda t: prefix_hash.Prefixes(prefix_hash.codes_of(t), powers).fingerprint()
     text = "".join(rng.choice(list("abcd é🙂"), 8_800))
-    for other in (text, "X" + text[1:-1] + "Y", text[:3000] + "IN" + text[3000:], text[:5000], text[::-1], "", text[:31], text[4400:] + text[:4400]):
+    for other in (text, "X" + text[1:-1] + "Y", text[:3000] + "IN" + text[3000:], text[:5000], text[::-1], "", text[:31], text[4400:] + text[:4400], text[:900]):
         assert abs(prefix_hash.likeness(of(text), of(other)) - _alike(text, other)) < 1e-9
-    assert prefix_hash.likeness(of(text), of("X" + text[1:-1] + "Y")) > 0.9
+    for other in (text[:1200], "zz" + text[2:1500]):
+        assert abs(prefix_hash.likeness(of(text[:1500]), of(other)) - _alike(text[:1500], other)) < 1e-9
+
+
+def test_likeness_survives_edits():
+    rng, powers = np.random.default_rng(6), prefix_hash.Powers()
+    of = lambda t: prefix_hash.Prefixes(prefix_hash.codes_of(t), powers).fingerprint()
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(3000)]
+    made = lambda n: " ".join(rng.choice(words, n))[:n]
+    text, short = made(8_800), made(200)
+    edited = lambda t, every: "".join("#" if i % every == every - 1 else c for i, c in enumerate(t))
+    like = lambda a, b: prefix_hash.likeness(of(a), of(b))
+    assert like(text, edited(text, 500)) > 0.9 and like(short, edited(short, 20)) > 0.9
+    assert like(text, text[:3000] + "Q" + text[3000:6000] + "Z" + text[6000:]) > 0.9
+    for n in (700, 3_000, 30_000, 300_000):
+        own, more = made(n), made(n)
+        # A deleted, an inserted and a replaced passage at any offset: what is left of the longer text, but for a few spans.
+        assert abs(like(own, own[: n // 3] + own[n // 3 + n // 10 :]) - 0.9) < 0.06
+        assert abs(like(own, own[: n // 2] + more[: n // 4] + own[n // 2 :]) - 0.8) < 0.06
+        assert abs(like(own, own[: n // 5] + more[: n // 5] + own[2 * (n // 5) :]) - 0.8) < 0.08
+    assert like(text, made(8_800)) < 0.05 and like("x" * 5000, "x" * 5001) > 0.9 and like("x" * 200_000, "x" * 200_000 + "y") > 0.9
 
 
 def test_extensions():
