@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import assertions as a
 from gradeloom.functions import scalars as sc
-from gradeloom.operators import diffs
+from gradeloom.operators import diffs, rates
 from gradeloom.operators import suites as su
 from gradeloom.plans import views as v
 from gradeloom.queries import NEWEST, NOW, WITH
@@ -63,6 +63,33 @@ p AS (SELECT p_partkey, tokens, CASE WHEN p_brand = 'Brand#11' THEN 2500000 WHEN
 SELECT *, (tokens * rate + 999999) // 1000000 AS cost_microusd FROM p"""
 
 
+def rated_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Costs of lines by a table of as many families as there are parts, of which some hold until a day only."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    text = F.concat_ws("-", "p_brand", "p_type", "p_partkey")
+    family = part.select(F.substring(text, F.lit(1), 3 + F.col("p_partkey") % 31).alias("name"), F.lit(True).alias("family"), "p_partkey")
+    exact = part.where("p_partkey % 9 = 0").select(text.alias("name"), F.lit(False).alias("family"), "p_partkey")
+    day = F.when(F.col("p_partkey") % 2 == 0, F.to_date(F.lit("1996-01-01")))
+    made = family.union(exact).groupBy("name", "family").agg(F.max("p_partkey").alias("p_partkey"))
+    table = made.select("name", "family", F.lit(None).cast("long").alias("valid_from"), F.unix_date(day).cast("long").alias("valid_to"), (F.col("p_partkey") * 1000 + 7).alias("input"))
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    dated = F.when(F.col("l_linenumber") % 2 == 0, F.concat(text, F.lit("-20240131"))).otherwise(F.concat(F.lit("hub."), text, F.lit("@v1")))
+    calls = lines.select("l_partkey", dated.alias("model"), F.unix_date(F.to_date("l_shipdate")).cast("long").alias("day"), F.col("l_quantity").cast("long").alias("tokens"))
+    priced_calls = rates.rated(calls, table, "model", F.col("day"), ("input",), ("hub.",))
+    cost = sc.component_cost(F.col("tokens"), F.col("input"))
+    return priced_calls.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("calls"), F.count("input").alias("priced"), F.sum(cost).alias("cost_microusd"))
+
+
+RATED_USAGE = """WITH p AS (SELECT p_partkey, concat_ws('-', p_brand, p_type, p_partkey) AS t FROM part),
+made AS (SELECT name, family, max(k) AS k FROM (SELECT substr(t, 1, 3 + p_partkey % 31) AS name, true AS family, p_partkey AS k FROM p UNION ALL SELECT t, false, p_partkey FROM p WHERE p_partkey % 9 = 0) GROUP BY ALL),
+rates AS (SELECT name, family, CASE WHEN k % 2 = 0 THEN DATE '1996-01-01' END AS until, k * 1000 + 7 AS input FROM made),
+models AS (SELECT p_partkey, even, t || CASE WHEN even THEN '-20240131' ELSE '' END AS model, t FROM p, (VALUES (true), (false)) e(even)),
+found AS (SELECT m.p_partkey, m.even, r.until, r.input, CASE WHEN NOT family THEN 1000 ELSE length(r.name) END AS close FROM models m JOIN rates r ON CASE WHEN family THEN starts_with(m.model, r.name) ELSE m.t = r.name END),
+calls AS (SELECT row_number() OVER () AS i, l_partkey, l_linenumber % 2 = 0 AS even, l_shipdate::DATE AS day, l_quantity::BIGINT AS tokens FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part)),
+rated AS (SELECT i, any_value(c.l_partkey) AS l_partkey, any_value(tokens) AS tokens, max_by(f.input, close) AS input FROM calls c LEFT JOIN found f ON f.p_partkey = c.l_partkey AND f.even = c.even AND (until IS NULL OR until > day) GROUP BY i)
+SELECT l_partkey, count(*) AS calls, count(input) AS priced, sum((tokens * input + 999999) // 1000000)::BIGINT AS cost_microusd FROM rated GROUP BY 1"""
+
+
 def attribution(spark: SparkSession, d: str) -> DataFrame:
     runs, cases = v.runs(spark, d), v.cases(spark, d)
     base, head = (cases.join(F.broadcast(x.select("run_id")), "run_id", "left_semi") for x in diffs.newest_pairs(runs))
@@ -197,6 +224,7 @@ _Q = {
     "suite_cells": (suite_cells, SUITE_CELLS),
     "nation_sweep": (sweep, SWEEP),
     "priced_usage": (priced, PRICED),
+    "rated_usage": (rated_usage, RATED_USAGE),
     "change_attribution": (attribution, ATTRIBUTION),
     "suite_severity": (severity, SEVERITY),
     "matrix_columns": (matrix_columns, MATRIX_COLUMNS),
