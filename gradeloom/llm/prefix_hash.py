@@ -124,6 +124,8 @@ class Prefixes:
 
 #: Spans of a fingerprint, at most about so many; levels above its own that a fingerprint tells of its cuts; the longest span.
 SPANS, ABOVE, LONGEST = 1024, 2, (1 << 16) - 1
+#: Equal spans, one after the other, by which two texts go on together after a difference.
+AGAIN = 4
 #: Odd multipliers of the four code points around a place, and of what they make.
 HASH = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9], np.uint64)
 ENTRY = np.dtype([("hash", ">u4"), ("size", ">u2"), ("level", "u1")])
@@ -187,13 +189,21 @@ def at_level(spans: np.ndarray, level: int, powers: Powers) -> tuple[np.ndarray,
 
 
 def matched(mine: np.ndarray, other: np.ndarray, powers: Powers) -> list[tuple[int, int, int]]:
-    """Stretches (place here, place there, length) of equal spans, in the order of both: a longest common extension by binary search
-    over the prefix hashes of the two sequences, then on to the nearest two places that are equal again."""
+    """Stretches (place here, place there, length) of equal spans, in the order of both (but for the first): a longest common extension by binary search
+    over the prefix hashes of the two sequences, then on to the nearest two places from which AGAIN spans are equal; single ones (of a code point,
+    in short texts) would be chance. Spans that both end with are taken first."""
+    most = min(len(mine), len(other))
+    differ = np.flatnonzero(mine[len(mine) - most :] != other[len(other) - most :])
+    tail = most - 1 - int(differ[-1]) if len(differ) else most
+    out = [(len(mine) - tail, len(other) - tail, tail)] if tail else []
+    mine, other = mine[: len(mine) - tail], other[: len(other) - tail]
     here, there, prefixes = mine.tolist(), other.tolist(), []
-    places: dict[int, list[int]] = {}
-    for k, x in enumerate(there):
+    again = max(1, min(AGAIN, len(here), len(there)))
+    grams, its = (list(zip(*(x[k:] for k in range(again)), strict=False)) for x in (here, there))
+    places: dict[tuple, list[int]] = {}
+    for k, x in enumerate(its):
         places.setdefault(x, []).append(k)
-    out, i, j = [], 0, 0
+    i = j = 0
     while i < len(here) and j < len(there):
         if here[i] == there[j]:
             n = 1
@@ -204,10 +214,10 @@ def matched(mine: np.ndarray, other: np.ndarray, powers: Powers) -> list[tuple[i
             i, j = i + n, j + n
             continue
         best = None
-        for k in range(i, len(here)):
+        for k in range(i, len(grams)):
             if best is not None and k - i >= best[0]:
                 break
-            own = places.get(here[k])
+            own = places.get(grams[k])
             at = bisect.bisect_left(own, j) if own else 0
             if own and at < len(own) and (best is None or k - i + own[at] - j < best[0]):
                 best = (k - i + own[at] - j, k, own[at])

@@ -326,11 +326,16 @@ def _alike(a, b):
         return float(a == b)
     level = max(_level(len(a)), _level(len(b)))
     x, y, i, j, covered = _spans(a, level), _spans(b, level), 0, 0, 0
+    while x and y and x[-1] == y[-1]:
+        covered += len(x.pop())
+        y.pop()
+    n = min(4, len(x), len(y))
+    grams, its = ([tuple(z[k : k + n]) for k in range(len(z) - n + 1)] for z in (x, y))
     while i < len(x) and j < len(y):
         if x[i] == y[j]:
             covered, i, j = covered + len(x[i]), i + 1, j + 1
             continue
-        nearest = [(k - i + y.index(x[k], j) - j, k) for k in range(i, len(x)) if x[k] in y[j:]]
+        nearest = [(k - i + its.index(grams[k], j) - j, k) for k in range(i, len(grams)) if grams[k] in its[j:]]
         if not nearest:
             break
         far, k = min(nearest)
