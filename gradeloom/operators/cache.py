@@ -175,6 +175,11 @@ def reindexed(entries: DataFrame, bodies: DataFrame, now: int, size: int | None
     open_ = entries.where("indexed_at is null")
     open_ = open_ if size is None else open_.orderBy("created_at", "entry_key").limit(size)
     fresh = indexed(bodies.join(open_.select("entry_key"), "entry_key", "left_semi"), now)
+    return overlaid(entries, fresh)
+
+
+def overlaid(entries: DataFrame, fresh: DataFrame) -> DataFrame:
+    """entries with the columns that fresh (entry_key and some of them) has for an entry."""
     names = [c for c in fresh.columns if c != "entry_key" and c in entries.columns]
     new = fresh.select("entry_key", F.struct(*names).alias("_new"))
     both = entries.join(new, "entry_key", "left")

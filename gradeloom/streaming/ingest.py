@@ -6,22 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gradeloom.sources.ingest import judged_uploads
+from gradeloom.streaming.ledger import Ledger
 
 
 def ingest_runs(spark: SparkSession, source: str, schema: str, table_path: str, checkpoint: str) -> StreamingQuery:
-    """Reads new JSON documents in `source` and appends those whose run_id isn't stored. A batch that runs again finds its
-    runs stored, so documents arrive once; others of a stored run_id are left out."""
+    """Reads new JSON documents in `source` and stores those whose run_id is new, each once, whatever a lost batch left (see Ledger); others of a
+    stored run_id are left out. The stream keeps its checkpoint with the table: batches are told apart by their numbers."""
     stream = spark.readStream.schema(schema).json(source)
 
-    def put(batch: DataFrame, _: int) -> None:
-        session = batch.sparkSession
-        hashed = batch.withColumn("content_hash", F.sha2(F.to_json(F.struct(*batch.columns)), 256)).dropDuplicates(["run_id", "content_hash"])
-        path = session._jvm.org.apache.hadoop.fs.Path(table_path)
-        files = path.getFileSystem(session._jsc.hadoopConfiguration())
-        there = files.exists(path) and any(f.getPath().getName().startswith("part-") for f in files.listStatus(path))
-        stored = session.read.schema(hashed.schema).parquet(table_path) if there else hashed.limit(0)
-        created = judged_uploads(stored, hashed).where("outcome = 'created'").select("run_id", "content_hash")
-        hashed.join(created, ["run_id", "content_hash"], "left_semi").write.mode("append").parquet(table_path)
+    def put(batch: DataFrame, number: int) -> None:
+        hashed = batch.withColumn("content_hash", F.sha2(F.to_json(F.struct(*batch.columns)), 256))
+        Ledger(batch.sparkSession, table_path).put(hashed, number)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
