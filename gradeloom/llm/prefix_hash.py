@@ -36,9 +36,14 @@ BASES = (911_382_323, 972_663_749)
 
 def _mod(x: np.ndarray) -> np.ndarray:
     """x modulo 2^31 - 1, for x below 2^62."""
-    x = (x & P) + (x >> np.uint64(31))
-    x = (x & P) + (x >> np.uint64(31))
-    return np.where(x >= P, x - P, x)
+    out = x & P
+    high = x >> np.uint64(31)
+    out += high
+    np.right_shift(out, np.uint64(31), out=high)
+    out &= P
+    out += high
+    np.subtract(out, P, out=out, where=out >= P)
+    return out
 
 
 class Powers:
@@ -188,6 +193,16 @@ def at_level(spans: np.ndarray, level: int, powers: Powers) -> tuple[np.ndarray,
     return _mod(np.add.reduceat(shifted, first)), np.add.reduceat(sizes, first)
 
 
+def _runs_of(keys: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each `size` keys, one after the other."""
+    n = max(0, len(keys) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        out = (out + keys[k : k + n]) * HASH[k]
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def matched(mine: np.ndarray, other: np.ndarray, powers: Powers) -> list[tuple[int, int, int]]:
     """Stretches (place here, place there, length) of equal spans, in the order of both (but for the first): a longest common extension by binary search
     over the prefix hashes of the two sequences, then on to the nearest two places from which AGAIN spans are equal; single ones (of a code point,
@@ -197,31 +212,33 @@ def matched(mine: np.ndarray, other: np.ndarray, powers: Powers) -> list[tuple[i
     tail = most - 1 - int(differ[-1]) if len(differ) else most
     out = [(len(mine) - tail, len(other) - tail, tail)] if tail else []
     mine, other = mine[: len(mine) - tail], other[: len(other) - tail]
-    here, there, prefixes = mine.tolist(), other.tolist(), []
-    again = max(1, min(AGAIN, len(here), len(there)))
-    grams, its = (list(zip(*(x[k:] for k in range(again)), strict=False)) for x in (here, there))
-    places: dict[tuple, list[int]] = {}
-    for k, x in enumerate(its):
-        places.setdefault(x, []).append(k)
-    i = j = 0
-    while i < len(here) and j < len(there):
-        if here[i] == there[j]:
+    again, prefixes = max(1, min(AGAIN, len(mine), len(other))), []
+    ours, its = (_runs_of(x, again) for x in (mine, other))
+    # Where each run of ours begins among theirs, which are put in order once; most texts have few in common.
+    order = np.argsort(its, kind="stable")
+    ordered = its[order]
+    low, high = np.searchsorted(ordered, ours, side="left"), np.searchsorted(ordered, ours, side="right")
+    shared_runs = np.flatnonzero(high > low)
+    at, low, high, order = shared_runs.tolist(), low[shared_runs].tolist(), high[shared_runs].tolist(), order.tolist()
+    i = j = first = 0
+    while i < len(mine) and j < len(other):
+        if mine[i] == other[j]:
             n = 1
-            if here[i + 1 : i + 3] == there[j + 1 : j + 3]:  # worth a search
+            if i + 1 < len(mine) and j + 1 < len(other) and mine[i + 1] == other[j + 1]:  # worth a search
                 prefixes = prefixes or [Prefixes(x.astype(np.uint32), powers) for x in (mine, other)]
                 n = prefixes[0].extension(i, prefixes[1], j)
             out.append((i, j, n))
             i, j = i + n, j + n
             continue
         best = None
-        for k in range(i, len(grams)):
-            if best is not None and k - i >= best[0]:
+        first = bisect.bisect_left(at, i, first)
+        for q in range(first, len(at)):
+            if best is not None and at[q] - i >= best[0]:
                 break
-            own = places.get(grams[k])
-            at = bisect.bisect_left(own, j) if own else 0
-            if own and at < len(own) and (best is None or k - i + own[at] - j < best[0]):
-                best = (k - i + own[at] - j, k, own[at])
-        if best is None:
+            k = bisect.bisect_left(order, j, low[q], high[q])
+            if k < high[q] and (best is None or at[q] - i + order[k] - j < best[0]):
+                best = (at[q] - i + order[k] - j, at[q], order[k])
+        if best is None or not best[0]:
             break
         _, i, j = best
     return out
