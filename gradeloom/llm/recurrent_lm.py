@@ -2,7 +2,9 @@
 
 Words are counted over all training documents (every word, every document). The n_head most frequent ones (as many as
 head_words() gives, which grows with the corpus) are head words, dealt by falling count into classes of equal sums of
-root counts, so that frequent words lie in small classes; every other word belongs to one of n_tail tail classes by its last
+root counts, so that frequent words lie in small classes; head words are among the most_sent words that are broadcast, so with the default of
+200,000 they stop growing from 625 million training tokens on (raise most_sent with the memory of driver and executors: a head word takes some 150
+bytes there), and the share of tokens beyond them, 1 - sum(word_counts) / total of a Vocabulary, is what the tails score. Every other word belongs to one of n_tail tail classes by its last
 two bytes. The network predicts the next token's class, P(class | state), then the word: by a softmax over the class's words, or
 in a tail class by the smoothed count (c + 0.1) / (N_class + 0.1 * (V_class + 1)), where a word that training never saw has
 c = 0; within a tail class the state decides nothing. So each document gets the log10 probability of its complete text and
@@ -10,7 +12,8 @@ end; its state runs through all its windows, however long it is.
 
 Training is truncated backpropagation through windows of `steps` tokens with the state carried over. The weights are fitted
 on all training documents at every size: in each round, replicas train on disjoint documents, and their weights are averaged.
-Replicas follow the stored parts of the corpus, so their number grows with it.
+Replicas follow the stored parts of the corpus, so their number grows with it; their weights are averaged in a tree. Words of equal counts are ordered by
+their hash. The order of training follows the stored parts: scores of reruns agree where these are the same, else but for what another order does.
 
 Texts are encoded once; training and scoring read the ids. Counts of words outside the most_sent most frequent are not
 broadcast; they meet their documents in a join on the word's 64-bit hash. A null or empty text is its end alone. Repeated rows
@@ -391,7 +394,7 @@ def count_words(training: DataFrame, n_tail: int) -> DataFrame:
 
 def vocabulary(counts: DataFrame, *, n_head: int | None = None, n_classes: int | None = None, n_tail: int = 32, most_sent: int = 200_000) -> Vocabulary:
     total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(most_sent).toArrow()  # at most most_sent rows
+    top = counts.orderBy(F.desc("n"), "word").limit(most_sent).toArrow()  # at most most_sent rows; the head words are among them
     hashes, tails, n = top["word"].to_numpy().view(np.uint64), top["tail"].to_numpy(), top["n"].to_numpy()
     n_head = head_words(int(total or 0)) if n_head is None else n_head
     # The end of a text is always a head word.
@@ -450,11 +453,22 @@ SLICES = "slice int, first long, tokens long, weights binary"
 
 
 def _mean(table: pa.Table) -> pa.Table:
-    """The token-weighted mean of one slice of the replicas' weights."""
+    """The token-weighted mean of one slice of some replicas' weights, as a row like theirs."""
     rows = sorted(table.to_pylist(), key=lambda x: (x["first"], x["tokens"]))
     total = sum(x["tokens"] for x in rows)
     mean = sum(np.float32(x["tokens"] / total) * np.frombuffer(x["weights"], np.float32) for x in rows)
-    return pa.table({"slice": pa.array([rows[0]["slice"]], pa.int32()), "weights": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+    columns = (rows[0]["slice"], rows[0]["first"], total, mean.astype(np.float32).tobytes())
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    return pa.table([pa.array([x], kind) for x, kind in zip(columns, kinds, strict=True)], names=["slice", "first", "tokens", "weights"])
+
+
+def _met(parts: DataFrame, replicas: int, fan_in: int = 32) -> DataFrame:
+    """The mean of each slice over all replicas, about fan_in of them to a task, then the means of these."""
+    while replicas > fan_in:
+        replicas = -(-replicas // fan_in)
+        group = F.pmod(F.xxhash64("first"), F.lit(replicas))
+        parts = parts.groupBy("slice", group.alias("group")).applyInArrow(_mean, SLICES)
+    return parts.groupBy("slice").applyInArrow(_mean, SLICES)
 
 
 def _chunks(batches, columns: tuple[str, ...], most_tokens: int, long: int = 4_096):
@@ -507,7 +521,7 @@ def train(encoded: DataFrame, v: Vocabulary, *, hidden: int, replica_tokens: int
         sent = spark.sparkContext.broadcast((v, weights))
         own = encoded.where(F.col("round") == k).select("row_no", "ids").coalesce(replicas)
         # The replicas' weights meet in Spark; one set of weights reaches the driver.
-        got = own.mapInArrow(_trained(sent, rate), SLICES).groupBy("slice").applyInArrow(_mean, "slice int, weights binary").collect()
+        got = _met(own.mapInArrow(_trained(sent, rate), SLICES), replicas).collect()
         if got:
             weights = weights.like(b"".join(bytes(r["weights"]) for r in sorted(got, key=lambda r: r["slice"])))
         sent.unpersist()

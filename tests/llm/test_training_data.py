@@ -578,3 +578,15 @@ def test_vocabulary_grows_with_the_corpus(spark):
     v = recurrent_lm.vocabulary(counts, n_tail=4)
     assert v.n_head == 6000 and v.n_classes == 46 and max(np.diff(v.starts)) - min(np.diff(v.starts)) <= 1
     assert recurrent_lm.head_words(100_000_000) == 80_000 and recurrent_lm.head_words(0) == 2_048
+
+
+def test_weights_meet_in_a_tree(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, r, int(t), rng.normal(size=5).astype(np.float32)) for r, t in enumerate(rng.integers(1, 100, 70)) for k in range(2)]
+    parts = spark.createDataFrame([(k, r, t, bytearray(w.tobytes())) for k, r, t, w in rows], recurrent_lm.SLICES).repartition(6)
+    for fan_in in (3, 32, 1000):
+        got = {r["slice"]: r for r in recurrent_lm._met(parts, 70, fan_in).collect()}
+        for k in (0, 1):
+            own = [(t, w) for j, _, t, w in rows if j == k]
+            want = sum(t * w.astype(float) for t, w in own) / sum(t for t, _ in own)
+            assert np.allclose(np.frombuffer(bytes(got[k]["weights"]), np.float32), want, atol=1e-6) and got[k]["tokens"] == sum(t for t, _ in own)
