@@ -72,11 +72,11 @@ class Powers:
 class Prefixes:
     """Prefix hashes of one text: at(i) is the sum over j < i of (code point j + 1) * base^j."""
 
-    def __init__(self, codes: np.ndarray, powers: Powers, arrays: list[np.ndarray] | None = None):
+    def __init__(self, codes: np.ndarray, powers: Powers, arrays: list[np.ndarray] | None = None, bases: int = len(BASES)):
         self.n, self.codes, self.powers = len(codes), codes, powers
         if arrays is None:
             wide, arrays = codes.astype(np.uint64) + np.uint64(1), []
-            for row in powers(self.n):
+            for row in powers(self.n)[:bases]:
                 terms = np.zeros(self.n + 1, dtype=np.uint64)
                 terms[1:] = _mod(wide * row[: self.n])
                 # Sums of up to 2^33 terms below 2^31 fit.
@@ -93,7 +93,7 @@ class Prefixes:
         """Whether the spans of n code points from i here and from j there are equal."""
         rows = self.powers(max(i, j))
         p = int(P)
-        return all(((int(a[i + n]) - int(a[i])) * int(r[j]) - (int(o[j + n]) - int(o[j])) * int(r[i])) % p == 0 for a, o, r in zip(self.arrays, other.arrays, rows, strict=True))
+        return all(((int(a[i + n]) - int(a[i])) * int(r[j]) - (int(o[j + n]) - int(o[j])) * int(r[i])) % p == 0 for a, o, r in zip(self.arrays, other.arrays, rows, strict=False))
 
     def extension(self, i: int, other: Prefixes, j: int) -> int:
         """Length of the longest common extension from i here and j there."""
@@ -225,7 +225,7 @@ def matched(mine: np.ndarray, other: np.ndarray, powers: Powers) -> list[tuple[i
         if mine[i] == other[j]:
             n = 1
             if i + 1 < len(mine) and j + 1 < len(other) and mine[i + 1] == other[j + 1]:  # worth a search
-                prefixes = prefixes or [Prefixes(x.astype(np.uint32), powers) for x in (mine, other)]
+                prefixes = prefixes or [Prefixes(x.astype(np.uint32), powers, bases=1) for x in (mine, other)]  # of hashes, so one base
                 n = prefixes[0].extension(i, prefixes[1], j)
             out.append((i, j, n))
             i, j = i + n, j + n
