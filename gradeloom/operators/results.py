@@ -135,17 +135,33 @@ def pass_at_k(cases: DataFrame, k: int = 1) -> DataFrame:
     return groups.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_groups"), F.when(repeated, F.avg(st.pass_at_k(F.col("n"), F.col("c"), k))).alias("pass_at_k"))
 
 
-def composite(cases: DataFrame, runs: DataFrame, branch: str = "main", lookback: int = 20) -> DataFrame:
-    """Each case's newest result among the branch's newest runs of its suite."""
+def composite(cases: DataFrame, runs: DataFrame, branch: str = "main", lookback: int = 20, exclude: str | None = None) -> DataFrame:
+    """Each case's newest result among the branch's newest runs of its suite; exclude: a run that is left out before they are counted, as the one
+    that is compared with its own branch."""
+    runs = runs if exclude is None else runs.where(F.col("run_id") != exclude)
     newest = Window.partitionBy("project", "suite").orderBy(F.desc("created_at"), F.desc("run_id"))
     near = runs.where(F.col("branch") == branch).withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= lookback).select("run_id", "rank")
     first = Window.partitionBy("project", "suite", "case_key").orderBy("rank", "idx")
     return cases.join(near, "run_id").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def composite_summary(merged: DataFrame, runs: DataFrame, branch: str = "main", lookback: int = 20) -> DataFrame:
+def composite_run(merged: DataFrame, runs: DataFrame, branch: str = "main", lookback: int = 20, exclude: str | None = None) -> DataFrame:
+    """A run for each suite of composite(): all of summarise() over the merged cases, with the id, time and digests of the run that stands for it, no commit,
+    the contributing runs and whether older runs may hold more."""
+    from gradeloom.operators import summaries
+
+    told = composite_summary(merged, runs, branch, lookback, exclude).drop("case_count", "pass_count")
+    kept = [c for c in ("created_at", "actor", "config_digest", "prompts_digest", "providers_digest", "tests_digest", "asserts_digest", "grader_digest") if c in runs.columns]
+    newest = runs.select(F.col("run_id").alias("skeleton"), *kept)
+    out = summaries.summarise(merged, "project", "suite").join(told, ["project", "suite"]).join(newest, "skeleton")
+    named = F.concat(F.lit(f"composite-{branch}-"), F.col("skeleton"))
+    return out.withColumns({"run_id": named, "branch": F.lit(branch), "git_commit": F.lit(None).cast("string")})
+
+
+def composite_summary(merged: DataFrame, runs: DataFrame, branch: str = "main", lookback: int = 20, exclude: str | None = None) -> DataFrame:
     """For each suite of composite(): its case and pass counts anew, the runs that contributed, newest first, the run whose
     configuration stands for it, and whether older runs of the branch may hold more (the last one looked at contributed)."""
+    runs = runs if exclude is None else runs.where(F.col("run_id") != exclude)
     one = merged.groupBy("project", "suite").agg(
         F.count(F.lit(1)).alias("case_count"),
         F.count_if(F.col("status") == "pass").alias("pass_count"),

@@ -175,7 +175,7 @@ def suggestions(cases: DataFrame, selectors: list[str], most: int = 5) -> DataFr
         return F.coalesce(F.when(F.lit(bool(s)), best), F.lit(0))
 
     own = F.greatest(F.lit(0), F.lit(0), *[score(F.col(c), s) for c in ("case_key", "test_id", "name") for s in selectors])
-    closest = Window.partitionBy("run_id").orderBy(F.desc("score"), "idx")
+    closest = Window.partitionBy("run_id").orderBy(F.desc("score"), "idx", "case_key")
     return cases.select("run_id", "case_key", "idx", own.alias("score")).withColumn("nth", F.row_number().over(closest)).where(F.col("nth") <= most)
 
 
