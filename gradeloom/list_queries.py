@@ -25,13 +25,19 @@ def _labelled(rows: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def _by_condition(rows: DataFrame, asked: dict) -> DataFrame:
+    """rows with the label of each condition that they meet, by one scan."""
+    fits = F.array(*[F.when(c, F.lit(label)) for label, c in asked.items()])
+    return rows.withColumn("label", F.explode(F.array_compact(fits)))
+
+
 def run_filters(spark: SparkSession, d: str) -> DataFrame:
     runs = v.runs(spark, d)
     asked = {
         "suite": ru.run_filter(project="2-HIGH", suite="s1"), "branch": ru.run_filter(branch="feature"), "window": ru.run_filter(since=SLOT * 7985, until=SLOT * 7990), "date": ru.run_filter(since="2460-01-01T00:00:00Z"),
         "ci": ru.run_filter(origin="ci", project="5-LOW"), "local": ru.run_filter(origin="local"), "actor": ru.run_filter(actor="tove"), "pass": ru.run_filter(status="pass"), "fail": ru.run_filter(status="fail", suite="s0"), "error": ru.run_filter(status="error"),
     }
-    return _labelled({label: runs.where(c).select("run_id") for label, c in asked.items()})
+    return _by_condition(runs, asked).select("label", "run_id")
 
 
 RUN_FILTERS = f"""{WITH}, l AS (SELECT unnest(['suite', 'branch', 'window', 'date', 'ci', 'local', 'actor', 'pass', 'fail', 'error']) AS label)
@@ -57,8 +63,7 @@ def case_filters(spark: SparkSession, d: str) -> DataFrame:
         "status": ru.case_filter(status="xfail"), "cell": ru.case_filter(provider="p1", prompt="F", test="t4"), "stop": ru.case_filter(stop_reason="refusal"), "text": ru.case_filter(text="OUT 3"), "name": ru.case_filter(text="t1_ of"),
         "unknown": ru.case_filter(error_class="unknown"), "class": ru.case_filter(error_class="grader_failed"), "empty": ru.case_filter(empty_reason="refusal"), "none": ru.case_filter(empty_reason=""), "cached": ru.case_filter(cached=True), "fresh": ru.case_filter(cached=False),
     }
-    of = {label: cases.where(c) for label, c in asked.items()} | {"tag": ru.with_tag(cases, "even")}
-    return _labelled({label: x.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")) for label, x in of.items()})
+    return _by_condition(cases, asked | {"tag": F.array_contains("tags", "even")}).groupBy("label", "run_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 CASE_FILTERS = f"""{WITH}, l AS (SELECT unnest(['status', 'cell', 'stop', 'text', 'name', 'unknown', 'class', 'empty', 'cached', 'fresh', 'tag']) AS label)
