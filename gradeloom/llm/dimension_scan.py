@@ -10,7 +10,7 @@ distance stays within r = |q|^2 + |x|^2 - 2t. After each column block, with d of
 and the candidate is abandoned. Those that pass all blocks are scored in double precision on the original vectors. A query's nearest lists are
 scanned first, by themselves; their k-th best goes with the query to its other lists, so that most candidates there are given up after the first block.
 
-Lists are fitted on at most `sample` distinct vectors (64 MB at most), taken by hash. How many lists a query probes is measured: the neighbours of up to
+Lists are fitted on about `sample` distinct vectors (32 MB at most), taken by hash. How many lists a query probes is measured: the neighbours of about
 256 queries are found exactly, among all vectors, and as many lists are probed as hold the share `reach` of them, more where those hold fewer than
 k + 1 rows. All vectors are indexed; equal vectors are one entry with their k + 1 smallest ids (no
 other of them can be among k + 1 nearest), equal queries are searched once. Queries and blocks of a list meet in groups of one block and about
@@ -61,14 +61,14 @@ def means(x: np.ndarray, n: int, seed: int, rounds: int = 12) -> np.ndarray:
         counts = np.bincount(own, minlength=n)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
-        centres = sums / np.maximum(counts, 1)[:, None]
+        centres = sums / np.maximum(counts, 1).astype(x.dtype)[:, None]
         empty = np.flatnonzero(counts == 0)
         centres[empty] = x[np.argsort(-far, kind="stable")[: len(empty)]]
     return centres
 
 
 def nearest_centre(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    own, far, half = np.empty(len(x), np.int64), np.empty(len(x)), (centres**2).sum(1) / 2
+    own, far, half = np.empty(len(x), np.int64), np.empty(len(x), x.dtype), (centres**2).sum(1) / 2
     for k in range(0, len(x), 8192):
         short = half - x[k : k + 8192] @ centres.T
         own[k : k + 8192] = short.argmin(1)
@@ -86,7 +86,7 @@ class Lists:
 
     def __init__(self, sample: np.ndarray, n: int, seed: int):
         self.turn = rotation(sample.shape[1], seed)
-        self.centres = means(sample @ self.turn, n, seed)
+        self.centres = means(sample @ self.turn.astype(np.float32), n, seed).astype(np.float64)
         self.rows = np.zeros(n, np.int64)
 
     def of(self, v: np.ndarray) -> np.ndarray:
@@ -208,8 +208,7 @@ def nearest(rows: DataFrame, *, k: int = 20, every: int = 20, vec_id: str = "vec
     asked = keep.stored(part.where(F.pmod("vec_id", F.lit(every)) == 0).join(entries.select("node", "v"), "v").select("vec_id", "node"), "asked")
     queries = keep.stored(entries.select("node", "v").join(asked.select("node").distinct(), "node", "left_semi"), "queries")
     n = entries.count()
-    drawn = entries.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(max(1, min(sample, (64 << 20) // (8 * d)))).select("v").toPandas()["v"]  # 64 MB at most
-    fitted = np.array(drawn.tolist(), np.float64)
+    fitted = drawn_by_hash(entries, d, n, max(1, min(sample, (32 << 20) // (4 * d))))  # about 32 MB at most
     lists = Lists(fitted, max(1, min(int(n**0.5), len(fitted) // 16)), seed)
     sent = spark.sparkContext.broadcast(lists)
 
@@ -257,9 +256,22 @@ def nearest(rows: DataFrame, *, k: int = 20, every: int = 20, vec_id: str = "vec
     return out
 
 
+def drawn_by_hash(vectors: DataFrame, d: int, total: int, most: int) -> np.ndarray:
+    """About `most` of `total` distinct vectors, those of the least hashes, in the order of these, in single precision. No sort, no task that holds more than others."""
+    h = F.xxhash64("v")
+    own = vectors.select(F.col("v").cast("array<float>").alias("v"), h.alias("h"))
+    if total > most:
+        own = own.where(h < F.lit(int(most / total * (1 << 64)) - (1 << 63)))
+    got = own.toArrow()
+    if not got.num_rows:
+        return np.array([vectors.first()["v"]], np.float32) if total else np.empty((0, d), np.float32)
+    x = np.asarray(got["v"].combine_chunks().flatten(), np.float32).reshape(-1, d)
+    return x[np.argsort(np.asarray(got["h"].combine_chunks()), kind="stable")]
+
+
 def measured_probes(blocks: DataFrame, queries: DataFrame, lists: Lists, d: int, k: int, reach: float, most: int = 256) -> int:
     """How many lists hold the share `reach` of the exact neighbours of up to `most` queries, taken by hash."""
-    q = np.array(queries.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(most).toPandas()["v"].tolist(), np.float64)
+    q = drawn_by_hash(queries, d, queries.count(), most).astype(np.float64)
     if not len(q):
         return 1
     sent = blocks.sparkSession.sparkContext.broadcast(q)
@@ -278,7 +290,7 @@ def measured_probes(blocks: DataFrame, queries: DataFrame, lists: Lists, d: int,
     found = blocks.select("list", "n", "vectors").mapInArrow(exact, "query bigint, list bigint, score double")
     found = found.withColumn("place", place).where(F.col("place") <= k + 1).select("query", "list").toPandas()  # most * (k + 1) rows
     rank = np.argsort(lists.order(q), axis=1)[found["query"].to_numpy(), found["list"].to_numpy()]
-    return int(np.sort(rank)[min(len(rank) - 1, int(np.ceil(reach * len(rank))))]) + 1
+    return int(np.sort(rank)[min(len(rank) - 1, int(np.ceil(reach * len(rank))))]) + 1 if len(rank) else 1
 
 
 def _scanned(blocks: DataFrame, queries: DataFrame, pairs: DataFrame, sent, d: int, k: int, eps: float) -> DataFrame:
