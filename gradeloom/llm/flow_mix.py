@@ -101,7 +101,8 @@ RESULTS = ("mix_size", "mix_copies", "mix_source_size", "mix_target")
 def mix(docs: DataFrame, *, sources: Column | None = None, weights: dict | None = None, seed: int = 17, most_repeats: int = 3, most_patterns: int = 100_000, bucket_rows: int = 20_000) -> DataFrame:
     """docs with mix_size, mix_copies (how often the mix takes the document) and, if each has one source, mix_source_size
     and mix_target. sources: an array of each document's sources; the column source if not given. The seeded order is cut
-    into buckets of about bucket_rows documents (at least 4,096 buckets), so that one task orders one bucket at most."""
+    into buckets of about bucket_rows documents (at least 4,096 buckets), so that one task orders one bucket at most. More than most_patterns membership patterns (their sums are what reaches
+    the driver) raise a ValueError before anything is mixed."""
     spark = docs.sparkSession
     pattern = F.array_sort(F.array_distinct(F.coalesce(sources, F.array(F.lit(None).cast("string"))))) if sources is not None else F.array(F.col("source"))
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))

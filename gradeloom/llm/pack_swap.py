@@ -8,7 +8,8 @@ one, by exchanging one for one, or two for one; every piece and every pair of pi
 squared fills; when a sequence is empty it is gone. It ends when no underfull sequence has a step left or the lower bound
 (total length over capacity, rounded up) is met.
 
-A null or empty text is one end id. Repeated rows are packed each for itself. An empty table gives no rows. Other
+Pieces of equal length are placed by ascending doc_id, row and piece. Rows equal in id and text may change places with each other, as they
+have the same pieces; which of them lies where is then a matter of the order of the input. A null or empty text is one end id. Repeated rows are packed each for itself. An empty table gives no rows. Other
 columns are ignored.
 """
 

@@ -376,10 +376,12 @@ def _finished(window: int, keep_text: bool):
 
 def remove_repeats(docs: DataFrame, *, window: int = 35, gram: int = 8, batches: int = 2, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with keep_text, kept (the words that stay, joined by blanks; the text as it was
-    if all stay) and the columns named in carry.
+    if all stay) and the columns named in carry. A name that the result has itself (doc_id, n_words, n_removed, kept_sha256, kept) can't be carried.
 
     docs are indexed in `batches` batches. Rows are told apart by two 64-bit hashes of id and text: rows with the same id and
     text have the same words to lose."""
+    if clash := {"doc_id", "n_words", "n_removed", "kept_sha256", "kept"} & {c.lower() for c in carry}:
+        raise ValueError(f"{sorted(clash)} are columns of the result")
     spark = docs.sparkSession
     key = ["row_no", "text_key"]
     carried = F.struct(*carry) if carry else F.lit(None).cast("int")
