@@ -223,7 +223,7 @@ def backfilled_runs(spark: SparkSession, d: str) -> DataFrame:
 
 def ci_summaries(spark: SparkSession, d: str) -> DataFrame:
     regressed = pair(spark, d).groupBy("project", "suite").agg(F.count_if(F.col("delta") == "newly_failing").alias("regressed"))
-    own = v.cases(spark, d).join(F.broadcast(r.latest_runs(v.runs(spark, d), 2).select("run_id")), "run_id", "left_semi")
+    own = v.cases(spark, d).join(r.latest_runs(v.runs(spark, d), 2).select("run_id"), "run_id", "left_semi")
     return summaries.ci_summary(summaries.summarise(own, "project", "suite"), regressed, "project", "suite")
 
 
@@ -258,7 +258,7 @@ CHANGED_PARTS = f"{WITH}, n AS (SELECT *, {NEWEST} AS nth FROM runs) SELECT b.pr
 
 def _one_suite(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     runs = v.runs(spark, d).where("project = '2-HIGH' AND suite = 's1'")
-    return tuple(v.cases(spark, d).join(F.broadcast(x.select("run_id")), "run_id", "left_semi") for x in diffs.newest_pairs(runs))
+    return tuple(v.cases(spark, d).join(x.select("run_id"), "run_id", "left_semi") for x in diffs.newest_pairs(runs))
 
 
 def document_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -289,7 +289,7 @@ def assert_flips(spark: SparkSession, d: str) -> DataFrame:
     own = F.array(one("contains", F.col("status") == "pass"), one("latency", F.col("latency_ms") <= 250))
     with_cost = F.concat(own, F.array(one("cost", F.col("cost_microusd") <= 3_000_000_000)))
     told = cases.withColumn("asserts", F.when(F.col("idx") % 3 == 0, own).otherwise(with_cost)).select("run_id", "project", "suite", "case_key", "asserts")
-    base, head = (told.join(F.broadcast(x.select("run_id")), "run_id", "left_semi").drop("run_id") for x in diffs.newest_pairs(runs))
+    base, head = (told.join(x.select("run_id"), "run_id", "left_semi").drop("run_id") for x in diffs.newest_pairs(runs))
     both = base.withColumnRenamed("asserts", "b").join(head.withColumnRenamed("asserts", "h"), ["project", "suite", "case_key"])
     flips = both.select("project", "suite", F.explode(diffs.assert_flips(F.col("b"), F.col("h"))).alias("f"))
     return flips.groupBy("project", "suite", "f.kind", "f.base_passed").agg(F.count(F.lit(1)).alias("n"))

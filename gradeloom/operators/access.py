@@ -16,7 +16,7 @@ def rank(level: Column) -> Column:
 def covering(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """Each set (project, suite) with each rule that covers it: of its project, for its suite or for all suites."""
     r = rules.withColumnsRenamed({"project": "_p", "suite": "_s"})
-    return sets.join(F.broadcast(r), (F.col("project") == F.col("_p")) & (F.col("_s").isNull() | (F.col("suite") == F.col("_s")))).drop("_p", "_s")
+    return sets.join(r, (F.col("project") == F.col("_p")) & (F.col("_s").isNull() | (F.col("suite") == F.col("_s")))).drop("_p", "_s")
 
 
 def covering_grant(sets: DataFrame, grants: DataFrame) -> DataFrame:
@@ -28,9 +28,9 @@ def restricted(sets: DataFrame, restrictions: DataFrame) -> DataFrame:
     """sets with `exactly` (a restriction of just this set) and `covered` (that, or one of the whole project)."""
     own = restrictions.select("project", "suite").distinct()
     exact = own.select(F.col("project").alias("_p"), F.col("suite").alias("_s"), F.lit(True).alias("exactly"))
-    out = sets.join(F.broadcast(exact), (F.col("project") == F.col("_p")) & F.col("suite").eqNullSafe(F.col("_s")), "left").drop("_p", "_s")
+    out = sets.join(exact, (F.col("project") == F.col("_p")) & F.col("suite").eqNullSafe(F.col("_s")), "left").drop("_p", "_s")
     whole = own.where("suite is null").select("project", F.lit(True).alias("_whole"))
-    out = out.join(F.broadcast(whole), "project", "left")
+    out = out.join(whole, "project", "left")
     no = F.lit(False)
     return out.withColumn("covered", F.coalesce("exactly", "_whole", no)).withColumn("exactly", F.coalesce("exactly", no)).drop("_whole")
 

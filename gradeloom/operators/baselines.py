@@ -46,7 +46,7 @@ def earlier_runs(heads: DataFrame, runs: DataFrame, branch: str | None = None, m
     first: head_id, run_id, nth. Null projects and suites are alike."""
     own = runs if branch is None else runs.where(F.col("branch") == branch)
     h = heads.select(F.col("run_id").alias("head_id"), F.col("project").alias("_p"), F.col("suite").alias("_s"))
-    met = own.join(F.broadcast(h), F.col("project").eqNullSafe(F.col("_p")) & F.col("suite").eqNullSafe(F.col("_s"))).where("run_id <> head_id")
+    met = own.join(h, F.col("project").eqNullSafe(F.col("_p")) & F.col("suite").eqNullSafe(F.col("_s"))).where("run_id <> head_id")
     newest = Window.partitionBy("head_id").orderBy(F.desc("created_at"), F.desc("run_id"))
     return met.withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= most).select("head_id", "run_id", "nth")
 
@@ -73,7 +73,7 @@ def resolve(heads: DataFrame, runs: DataFrame, reference: str, pins: DataFrame |
         if pins is None:
             raise ValueError("server:baseline needs the pins")
         own = pins.select("project", "suite", F.col("run_id").alias("pinned"), F.col("branch").alias("on"))
-        both = h.join(F.broadcast(own), ["project", "suite"], "left")
+        both = h.join(own, ["project", "suite"], "left")
         made = runs.select(F.col("run_id").alias("pinned"), F.lit(True).alias("_there"))
         both = both.join(made, "pinned", "left")
         kind = F.when(F.col("on").isNotNull(), "branch").when(F.col("_there").isNotNull(), "run").otherwise("absent")

@@ -27,7 +27,7 @@ def last_pairs(cases: DataFrame, runs: DataFrame, base: int = 3, head: int = 2)
     read once."""
     newest = Window.partitionBy("project", "suite").orderBy(F.desc("created_at"), F.desc("run_id"))
     ranked = of_suites(runs).select("run_id", F.row_number().over(newest).alias("nth")).where(F.col("nth").isin(base, head))
-    own = cases.join(F.broadcast(ranked), "run_id")  # two runs a suite
+    own = cases.join(ranked, "run_id")
     return compare(own.where(F.col("nth") == base), own.where(F.col("nth") == head))
 
 
@@ -181,7 +181,7 @@ def expired_runs(runs: DataFrame, now: int, window_ms: int, pins: DataFrame | No
     marked = runs.withColumn("kept", F.rank().over(newest) == 1).where(F.col("created_at") < now - window_ms)
     if pins is not None:
         held = pins.where("run_id is not null").select("run_id", F.lit(True).alias("_held")).distinct()
-        marked = marked.join(F.broadcast(held), "run_id", "left").withColumn("kept", F.col("kept") | F.coalesce("_held", F.lit(False)))
+        marked = marked.join(held, "run_id", "left").withColumn("kept", F.col("kept") | F.coalesce("_held", F.lit(False)))
     return marked.select("run_id", "kept")
 
 

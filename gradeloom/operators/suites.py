@@ -111,7 +111,7 @@ def suite_list(runs: DataFrame, pins: DataFrame, points: int = 20) -> DataFrame:
     series = F.transform(F.array_sort(F.collect_list(F.struct("nth", "run_id", rate.alias("rate")))), lambda x: F.struct(x["run_id"].alias("run_id"), x["rate"].alias("pass_rate")))
     out = near.groupBy("project", "suite").agg(F.count(F.lit(1)).alias("run_count"), F.max("created_at").alias("last_run_at"), series.alias("series"))
     pinned = pins.select("project", "suite", F.col("run_id").alias("baseline_run_id"), F.col("branch").alias("baseline_branch"))
-    return out.join(F.broadcast(pinned), ["project", "suite"], "left")
+    return out.join(pinned, ["project", "suite"], "left")
 
 
 def chart_series(listed: DataFrame) -> DataFrame:

@@ -249,7 +249,7 @@ SELECT *, ci_runs >= 2 AND coalesce({NOW} - newest > greatest(3 * median_gap, 86
 
 def gate_exit_codes(spark, d):
     compared = pair(spark, d).withColumn("group", F.concat_ws("/", "project", "suite"))
-    cases = v.cases(spark, d).join(F.broadcast(r.latest_runs(v.runs(spark, d), 2).select("run_id")), "run_id", "left_semi")
+    cases = v.cases(spark, d).join(r.latest_runs(v.runs(spark, d), 2).select("run_id"), "run_id", "left_semi")
     return r.gate(compared, cases.withColumn("group", F.concat_ws("/", "project", "suite")), by="group")
 
 

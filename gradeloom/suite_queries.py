@@ -35,6 +35,29 @@ SELECT run_id, case_key, round(score, 6) AS graded_score, CASE WHEN output_text
   WHEN score >= 0.6 THEN 'pass' ELSE 'fail' END AS graded_status FROM m"""
 
 
+def more_grades(spark: SparkSession, d: str) -> DataFrame:
+    """Beginnings, token budgets, recorded verdicts, whether later assertions can matter, what couldn't be judged, and the gate."""
+    c = F.col
+    starts = a.starts_with(c("output_text"), "out 1")
+    tokens = a.at_most(a.total_tokens({"input": c("input_tokens"), "output": c("output_tokens"), "cache_read": c("cache_read_tokens")}, billable=True), 150)
+    judged = a.rubric(c("status") == "pass", c("score"), 0.95)
+    broken = F.array(
+        F.struct(F.lit("contains").alias("kind"), F.when(c("status") == "error", "error").otherwise("pass").alias("status"), c("error_class").alias("reason")),
+        F.struct(F.lit("cost").alias("kind"), F.when((c("status") == "error") & (c("idx") % 2 == 0), "error").otherwise("pass").alias("status"), F.lit("").alias("reason")),
+    )
+    return v.cases(spark, d).select(
+        "run_id", "case_key", starts["passed"].alias("starts"), tokens["passed"].alias("in_budget"), judged["passed"].alias("judged"), judged["unevaluable"].alias("unjudged"), a.can_change([(starts, 3.0)], 3.0, 0.5).alias("open"),
+        a.error_message(broken).alias("message"), sc.gate_failing(c("status")).alias("fails"),
+    )
+
+
+MORE_GRADES = f"""{WITH} SELECT run_id, case_key, coalesce(starts_with(output_text, 'out 1'), false) AS starts,
+  CASE WHEN input_tokens IS NULL AND output_tokens IS NULL THEN true ELSE coalesce(input_tokens, 0) + coalesce(output_tokens, 0) + coalesce(cache_read_tokens, 0) <= 150 END AS in_budget,
+  coalesce(score >= 0.95, false) AS judged, score IS NULL AS unjudged, NOT coalesce(starts_with(output_text, 'out 1'), false) AS open,
+  CASE WHEN status = 'error' THEN 'contains assertion errored' || CASE WHEN error_class <> '' THEN ': ' || error_class ELSE '' END || CASE WHEN idx % 2 = 0 THEN ' (and 1 more errored)' ELSE '' END END AS message,
+  status IN ('fail', 'error', 'xpass') AS fails FROM cases"""
+
+
 def suite_cells(spark: SparkSession, d: str) -> DataFrame:
     part = spark.read.parquet(f"{d}/part.parquet")
     tests = part.select(F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("test_id"), F.array("p_brand", "p_type").alias("tags"),
@@ -92,7 +115,7 @@ SELECT l_partkey, count(*) AS calls, count(input) AS priced, sum((tokens * input
 
 def attribution(spark: SparkSession, d: str) -> DataFrame:
     runs, cases = v.runs(spark, d), v.cases(spark, d)
-    base, head = (cases.join(F.broadcast(x.select("run_id")), "run_id", "left_semi") for x in diffs.newest_pairs(runs))
+    base, head = (cases.join(x.select("run_id"), "run_id", "left_semi") for x in diffs.newest_pairs(runs))
     named = lambda df: df.withColumns({"asserts_digest": F.col("assert_digest"), "grader_digest": F.when(F.col("idx") % 7 != 0, F.floor(F.col("idx") % 1000 / 900).cast("string"))})
     return diffs.attribution(named(base), named(head), "project", "suite", "case_key")
 
@@ -221,6 +244,7 @@ STATUS_RANKS = f"""{WITH} SELECT status, CASE status WHEN 'fail' THEN 5 WHEN 'xp
 
 _Q = {
     "graded_cases": (graded, GRADED),
+    "more_grades": (more_grades, MORE_GRADES),
     "suite_cells": (suite_cells, SUITE_CELLS),
     "nation_sweep": (sweep, SWEEP),
     "priced_usage": (priced, PRICED),
