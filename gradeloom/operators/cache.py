@@ -150,23 +150,27 @@ def inferred_kind(kind: Column, verdict: Column, request: Column, output: Column
 def indexed(bodies: DataFrame, now: int) -> DataFrame:
     """What lists show of entries, derived from their bodies (entry_key, body as JSON) in one pass: kind, model, tokens, cost,
     where the request went, the beginning of the output, the empty reason, and whether the body could be read."""
-    of = lambda path: F.get_json_object("body", path)
-    ok = F.try_parse_json("body").isNotNull()
-    usd = of("$.cost_usd").cast("double")
-    model = F.coalesce(of("$.request.body.model"), of("$.model"))
-    kind = inferred_kind(of("$.kind"), of("$.verdict"), of("$.request"), of("$.output"), of("$.attempts"), of("$.provider_latency_ms"))
-    return bodies.select(
+    # Each body is parsed once; get_json_object would parse it for each field.
+    read = bodies.select("entry_key", F.try_parse_json("body").alias("_v"))
+    of = lambda path, kind="string": F.try_variant_get("_v", path, kind)
+    told = read.select(
+        "entry_key", F.col("_v").isNotNull().alias("index_ok"), of("$.cost_usd", "double").alias("usd"), F.coalesce(of("$.request.body.model"), of("$.model")).alias("model"), of("$.kind").alias("kind"), of("$.verdict").alias("verdict"),
+        of("$.request").alias("request"), of("$.output").alias("output"), of("$.attempts").alias("attempts"), of("$.provider_latency_ms").alias("latency"), of("$.usage.input_tokens", "long").alias("input_tokens"),
+        of("$.usage.output_tokens", "long").alias("output_tokens"), of("$.empty_reason").alias("reason"),
+    )
+    c = F.col
+    return told.select(
         "entry_key",
-        ok.alias("index_ok"),
+        "index_ok",
         F.lit(now).cast("long").alias("indexed_at"),
-        kind.alias("kind"),
-        model.alias("model"),
-        F.round(usd * 1_000_000).cast("long").alias("cost_microusd"),
-        of("$.usage.input_tokens").cast("long").alias("input_tokens"),
-        of("$.usage.output_tokens").cast("long").alias("output_tokens"),
-        scalars.request_summary(of("$.request")).alias("request_summary"),
-        F.substring(of("$.output"), 1, 300).alias("output_preview"),
-        F.coalesce(scalars.clamped_reason(of("$.empty_reason")), F.lit("")).alias("empty_reason"),
+        inferred_kind(c("kind"), c("verdict"), c("request"), c("output"), c("attempts"), c("latency")).alias("kind"),
+        "model",
+        F.round(c("usd") * 1_000_000).cast("long").alias("cost_microusd"),
+        "input_tokens",
+        "output_tokens",
+        scalars.request_summary(c("request")).alias("request_summary"),
+        F.substring("output", 1, 300).alias("output_preview"),
+        F.coalesce(scalars.clamped_reason(c("reason")), F.lit("")).alias("empty_reason"),
     )
 
 
