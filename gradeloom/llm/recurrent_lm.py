@@ -5,12 +5,14 @@ head_words() gives, which grows with the corpus) are head words, dealt by fallin
 root counts, so that frequent words lie in small classes; head words are among the most_sent words that are broadcast, so with the default of
 200,000 they stop growing from 625 million training tokens on (raise most_sent with the memory of driver and executors: a head word takes some 150
 bytes there), and the share of tokens beyond them, 1 - sum(word_counts) / total of a Vocabulary, is what the tails score. Every other word belongs to one of n_tail tail classes by its last
-two bytes. The network predicts the next token's class, P(class | state), then the word: by a softmax over the class's words, or
+two bytes. Classes lie in groups, about as many as a group has classes. The network predicts the next token's group, P(group | state), its class
+in there, P(class | group, state), then the word: by a softmax over the class's words, or
 in a tail class by the smoothed count (c + 0.1) / (N_class + 0.1 * (V_class + 1)), where a word that training never saw has
 c = 0; within a tail class the state decides nothing. So each document gets the log10 probability of its complete text and
 end; its state runs through all its windows, however long it is.
 
-Training is truncated backpropagation through windows of `steps` tokens with the state carried over. The weights are fitted
+Training is truncated backpropagation through windows of `steps` tokens with the state carried over; a window in which few documents are left
+counts by its tokens. The weights are fitted
 on all training documents at every size: in each round, replicas train on disjoint documents, and their weights are averaged.
 Replicas follow the stored parts of the corpus, so their number grows with it; their weights are averaged in a tree. Words of equal counts are ordered by
 their hash. The order of training follows the stored parts: scores of reruns agree where these are the same, else but for what another order does.
@@ -24,11 +26,11 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,8 @@ from gradeloom.llm import shared
 
 END = b" end"  # no word holds a blank
 #: Rows of scores that are made at a time, so that they stay in a core's cache.
-BLOCK = 1_024
+BLOCK = 256
+BUFFER = 1 << 20
 
 
 @dataclass
@@ -59,6 +62,12 @@ class Vocabulary:
         self.n_head, self.n_classes = int(self.starts[-1]), len(self.starts) - 1
         #: Class of each id: head words by place, then tail classes.
         self.class_of = np.concatenate([np.repeat(np.arange(self.n_classes), np.diff(self.starts)), self.n_classes + np.arange(self.n_tail)])
+        #: Classes, tail classes last, lie in about as many groups as a group has classes.
+        n = self.n_classes + self.n_tail
+        groups = np.linspace(0, n, max(1, round(math.sqrt(n))) + 1).astype(np.int64)
+        self.group_of = np.repeat(np.arange(len(groups) - 1), np.diff(groups))
+        #: For each softmax of a level (groups, classes of a group, words of a class) its first row of weights, and the end.
+        self.levels = {"wg": np.array([0, len(groups) - 1]), "wc": groups, "ww": np.asarray(self.starts)}
 
     @property
     def class_counts(self) -> np.ndarray:
@@ -82,16 +91,41 @@ def tail_class(word: bytes, n_tail: int) -> int:
     return (word[-1] * 31 + word[-2 if len(word) > 1 else -1]) % n_tail
 
 
-class Lookup(dict):
-    """word -> its row in ids, base and tail: that of a sent word, or behind those one for each tail class (base and
-    tail nan: its count isn't known here). At most `most` words are held."""
-
-    def __init__(self, v: Vocabulary, most: int = 300_000):
-        super().__init__()
-        import xxhash
-
-        self.most, self.digest, self.n_tail = most, xxhash.xxh3_64_intdigest, v.n_tail
-        self.sent, self.n_sent = dict(zip(v.hashes.tolist(), range(len(v.hashes)), strict=True)), len(v.hashes)
+def _split(batch: pa.RecordBatch, most_bytes: int = 8 << 20):
+    """Parts of a batch with texts of about most_bytes (a longer text alone): the part, its different words, lower-cased, and for
+    each token of its texts, one after the other, which of these it is; and how many tokens each text has."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    k = 0
+    while k < batch.num_rows:
+        end = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + most_bytes, side="right")))
+        part = batch.slice(k, end - k)
+        # Splits at exactly the white space that WORD leaves out, with an empty word before the first or behind the last one.
+        found = pc.ascii_split_whitespace(pc.ascii_lower(part.column("text")))
+        flat, sizes = found.flatten(), pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
+        there = pc.greater(pc.binary_length(flat), 0)
+        if not pc.all(there).as_py():
+            kept = np.r_[0, np.cumsum(there.to_numpy(zero_copy_only=False), dtype=np.int64)]
+            flat, at = flat.filter(there), np.cumsum(sizes)
+            sizes = kept[at] - kept[at - sizes]
+        coded = flat.dictionary_encode()
+        yield part, coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), sizes
+        k = end
+    # Workers live from stage to stage; what Arrow holds of earlier batches goes back to the system.
+    pa.default_memory_pool().release_unused()
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+class Lookup:
+    """Words' rows in ids, base and tail: that of a sent word, or behind those one for each tail class (base and tail nan: its
+    count isn't known here)."""
+
+    def __init__(self, v: Vocabulary):
+        self.sent, self.n_sent, self.n_tail = v.hashes, len(v.hashes), v.n_tail
         classes = np.arange(v.n_tail)
         log_c, unknown = np.log10(v.counts + 0.1), np.full(v.n_tail, np.nan)
         self.ids = np.concatenate([np.where(v.head >= 0, v.head, v.n_head + v.tails), v.n_head + classes]).astype(np.int32)
@@ -99,20 +133,18 @@ class Lookup(dict):
         within = log_c - np.log10(v.tail_total + 0.1 * (v.tail_distinct + 1))[v.tails]
         self.tail = np.concatenate([np.where(v.head >= 0, 0.0, within), unknown])
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        at = self.sent.get(self.digest(word))
-        at = self[word] = self.n_sent + tail_class(word, self.n_tail) if at is None else at
+    def rows(self, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.sent, hashes)
+        there = at < self.n_sent
+        there[there] = self.sent[at[there]] == hashes[there]
+        for i in np.flatnonzero(~there).tolist():
+            at[i] = self.n_sent + tail_class(words[i], self.n_tail)
         return at
 
-    def rows(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))
-
 
 class Weights:
-    """Input projections x (one row per head word and tail class, and one for the start), recurrent u, class outputs wc and word
-    outputs ww. The last column of wc and ww is the bias."""
+    """Input projections x (one row per head word and tail class, and one for the start), recurrent u, outputs wg of groups, wc of
+    classes and ww of words. The last column of outputs is the bias."""
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.arrays = arrays
@@ -123,10 +155,12 @@ class Weights:
         counts = v.word_counts + 0.1
         within = np.log(counts / np.add.reduceat(counts, v.starts[:-1])[v.class_of[: v.n_head]])
         p = (v.class_counts + 0.5) / (v.class_counts + 0.5).sum()
+        of_group = np.add.reduceat(p, v.levels["wc"][:-1])
         a = {
             "x": rng.normal(size=(v.n_head + v.n_tail + 1, 3 * hidden)) * 0.1,
             "u": rng.normal(size=(hidden, 3 * hidden)) * (0.5 / np.sqrt(hidden)),
-            "wc": np.c_[rng.normal(size=(len(p), hidden)) * 0.02, np.log(p)],
+            "wg": np.c_[rng.normal(size=(len(of_group), hidden)) * 0.02, np.log(of_group)],
+            "wc": np.c_[rng.normal(size=(len(p), hidden)) * 0.02, np.log(p / of_group[v.group_of])],
             "ww": np.c_[rng.normal(size=(v.n_head, hidden)) * 0.02, within],
         }
         return Weights({k: x.astype(np.float32) for k, x in a.items()})
@@ -183,148 +217,211 @@ class Lanes:
             t += size
 
 
-def _states(w: dict, h: np.ndarray, inputs: np.ndarray, keep: np.ndarray):
-    """States after each step with a last column of ones, and what the way back needs."""
+def _tanh(y: np.ndarray) -> None:
+    """tanh(y / 2) in place: 1 - 2 / (1 + exp(y)), as numpy's exp takes half of its tanh's time."""
+    np.exp(y, out=y)
+    y += np.float32(1)
+    np.divide(np.float32(-2), y, out=y)
+    y += np.float32(1)
+
+
+def _states(w: dict, h: np.ndarray, inputs: np.ndarray, keep: np.ndarray, saved: bool = True):
+    """States after each step with a last column of ones, and (if saved) what the way back needs."""
     steps, lanes = inputs.shape
     hidden = h.shape[1]
-    u = w["u"]
+    # Sigmoids of y are 1 / (1 + exp(-y)), and tanh of y is _tanh of 2 y.
+    sign = np.repeat(np.array([-1, -1, 2], np.float32), hidden)
+    u = w["u"] * sign
     g = w["x"].take(inputs.reshape(-1), axis=0).reshape(steps, lanes, 3 * hidden)
+    g *= sign
     out = np.ones((steps, lanes, hidden + 1), np.float32)
-    before, gates, hn, new = (np.empty((steps, lanes, k * hidden), np.float32) for k in (1, 2, 1, 1))
-    half = np.float32(0.5)
-    for t in range(steps):
-        hp, zr, n = before[t], gates[t], new[t]
-        np.multiply(h, keep[t][:, None], out=hp)
-        hu = hp @ u
-        # The sigmoid of y is half of tanh(y / 2), and half.
-        np.add(g[t, :, : 2 * hidden], hu[:, : 2 * hidden], out=zr)
-        zr *= half
-        np.tanh(zr, out=zr)
-        zr *= half
-        zr += half
-        hn[t] = hu[:, 2 * hidden :]
-        np.multiply(zr[:, hidden:], hn[t], out=n)
-        n += g[t, :, 2 * hidden :]
-        np.tanh(n, out=n)
-        h = hp - n
-        h *= zr[:, :hidden]
-        h += n
-        out[t, :, :hidden] = h
-    return h, out, (before, gates, hn, new)
-
-
-def _in_classes(ids: np.ndarray, v: Vocabulary):
-    """The order of ids by class, and for each class of several head words: its begin and end in that order, its first word and
-    the one behind its last."""
-    cls = v.class_of[ids]
-    order = np.argsort(cls.astype(np.int16) if len(v.class_of) and v.class_of[-1] < 32_000 else cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(v.n_classes + 1))
-    some = np.flatnonzero((np.diff(cuts) > 0) & (np.diff(v.starts) > 1))
-    return order, [(int(cuts[c]), int(cuts[c + 1]), int(v.starts[c]), int(v.starts[c + 1])) for c in some]
-
-
-def _exp(s: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """exp of all scores s @ w.T, each row up to a common factor."""
-    y = s @ w.T
-    if len(y) and np.abs(w).sum(axis=1).max() > 60:  # states lie between -1 and 1, so smaller ones can't overflow
+    before, gates, hn, new = (np.empty((steps if saved else 1, lanes, k * hidden), np.float32) for k in (1, 2, 1, 1))
+    hu = np.empty((lanes, 3 * hidden), np.float32)
+    one = np.float32(1)
+    with np.errstate(over="ignore"):
+        for t in range(steps):
+            k = t if saved else 0
+            hp, zr, n = before[k], gates[k], new[k]
+            np.multiply(h, keep[t][:, None], out=hp)
+            np.matmul(hp, u, out=hu)
+            np.add(g[t, :, : 2 * hidden], hu[:, : 2 * hidden], out=zr)
+            np.exp(zr, out=zr)
+            zr += one
+            np.divide(one, zr, out=zr)
+            hn[k] = hu[:, 2 * hidden :]
+            np.multiply(zr[:, hidden:], hn[k], out=n)
+            n += g[t, :, 2 * hidden :]
+            _tanh(n)
+            h = hp - n
+            h *= zr[:, :hidden]
+            h += n
+            out[t, :, :hidden] = h
+    return h, out, (before, gates, hn, new) if saved else None
+
+
+class Outputs:
+    """Tokens in the order of their classes, and the softmaxes that they go through: over the groups, over the classes of their
+    group and, for head words, over the words of their class."""
+
+    def __init__(self, ids: np.ndarray, v: Vocabulary):
+        cls = v.class_of[ids]
+        self.order = np.argsort(cls.astype(np.int16) if len(v.class_of) and v.class_of[-1] < 32_000 else cls, kind="stable")
+        cls, ids = cls[self.order], ids[self.order]
+        group, m = v.group_of[cls], int(np.searchsorted(cls, v.n_classes))
+        #: By level, a token's place among the scores of its block.
+        self.places = []
+        #: Level, its softmax, the block's tokens, the rows of weights, whether it is the softmax's first block.
+        self.blocks = []
+        for k, (starts, node, row) in enumerate(zip(v.levels.values(), (np.zeros_like(cls), group, cls[:m]), (group, cls, ids[:m]), strict=True)):
+            cuts, sizes = np.searchsorted(node, np.arange(len(starts))), np.diff(starts)
+            self.places.append((np.arange(len(node)) - cuts[node]) % BLOCK * sizes[node] + row - starts[node])
+            for c in np.flatnonzero((np.diff(cuts) > 0) & (sizes > 1)).tolist():
+                first, end, rows = int(cuts[c]), int(cuts[c + 1]), slice(int(starts[c]), int(starts[c + 1]))
+                self.blocks += [(k, c, slice(a, min(a + BLOCK, end)), rows, a == first) for a in range(first, end, BLOCK)]
+
+
+def large_scores(w: dict, v: Vocabulary) -> list[list[bool]]:
+    """By level, for each softmax, whether exp of its scores might overflow. States lie between -1 and 1."""
+    return [(np.maximum.reduceat(np.abs(w[k]) @ np.ones(w[k].shape[1], np.float32), starts[:-1]) > 60).tolist() for k, starts in v.levels.items()]
+
+
+def _ones(v: Vocabulary) -> np.ndarray:
+    return np.ones(max(int(np.diff(starts).max()) for starts in v.levels.values()), np.float32)
+
+
+def _exp(s: np.ndarray, w: np.ndarray, large: bool, buffer: np.ndarray) -> np.ndarray:
+    """exp of all scores s @ w.T, each row up to a common factor, in the buffer if that is large enough."""
+    size = len(s) * len(w)
+    y = np.matmul(s, w.T, out=buffer[:size].reshape(len(s), len(w)) if size <= len(buffer) else None)
+    if large:
         y -= y.max(axis=1, keepdims=True)
     return np.exp(y, out=y)
 
 
-def log_probabilities(w: dict, v: Vocabulary, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Natural log of P(class) and, for head words, of P(word | class). states have a last column of ones."""
+def log_probabilities(w: dict, v: Vocabulary, states: np.ndarray, ids: np.ndarray, large: list | None = None) -> np.ndarray:
+    """Natural log of P(group) and P(class | group) and, for head words, of P(word | class). states have a last column of ones."""
+    o, ones, buffer = Outputs(ids, v), _ones(v), np.empty(BUFFER, np.float32)
+    s, large, ws = states.take(o.order, axis=0), large or large_scores(w, v), [w[k] for k in v.levels]
+    # Sums of exponentials, and the own one among them; where there are none, both are 1.
+    sums, own = np.ones((2, len(ws), len(ids)), np.float32)
+    for k, c, at, rows, _ in o.blocks:
+        y = _exp(s[at], ws[k][rows], large[k][c], buffer)
+        np.matmul(y, ones[: y.shape[1]], out=sums[k, at])
+        y.reshape(-1).take(o.places[k][at], out=own[k, at], mode="clip")
     out = np.empty(len(ids), np.float32)
-    for k in range(0, len(ids), BLOCK):
-        y, own = _exp(states[k : k + BLOCK], w["wc"]), v.class_of[ids[k : k + BLOCK]]
-        out[k : k + BLOCK] = np.log(y[np.arange(len(own)), own] / (y @ np.ones(y.shape[1], np.float32)))
-    order, classes = _in_classes(ids, v)
-    sorted_states, sorted_ids = states[order], ids[order]
-    for a, z, first, end in classes:
-        q = _exp(sorted_states[a:z], w["ww"][first:end])
-        out[order[a:z]] += np.log(q[np.arange(z - a), sorted_ids[a:z] - first] / (q @ np.ones(end - first, np.float32)))
+    out[o.order] = np.log(own / sums).sum(axis=0)
     return out
 
 
 def score_ids(weights: Weights, v: Vocabulary, docs: list[np.ndarray], lanes: int = 512, steps: int = 32) -> np.ndarray:
     """Log10 probability of each document's ids; within-tail terms come on top."""
     w, hidden = weights.arrays, len(weights.arrays["u"])
-    dealt = Lanes(docs, lanes, v.n_head + v.n_tail)
+    dealt, large = Lanes(docs, lanes, v.n_head + v.n_tail), large_scores(w, v)
     each = np.zeros(int(dealt.begun[-1]), np.float64)
     h = np.zeros((dealt.targets.shape[1], hidden), np.float32)
-    for own, active in dealt.windows(steps):
-        h, states, _ = _states(w, h[:active], dealt.inputs[own, :active], dealt.keep[own, :active])
+    for own, active in dealt.windows(steps, least=65_536):
+        h, states, _ = _states(w, h[:active], dealt.inputs[own, :active], dealt.keep[own, :active], saved=False)
         place = dealt.place[own, :active]
         there = place >= 0
-        each[place[there]] = log_probabilities(w, v, states[there], dealt.targets[own, :active][there])
+        each[place[there]] = log_probabilities(w, v, states[there], dealt.targets[own, :active][there], large)
     return np.add.reduceat(each, dealt.begun[:-1]) / np.log(10)
 
 
+def _sums_by(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids and the sums of their rows of x."""
+    keys = ids.astype(np.int64) << 32 | np.arange(len(ids))  # sorted as numbers, which takes a fifth of a stable argsort's time
+    keys.sort()
+    found, order = keys >> 32, keys & 0xFFFFFFFF
+    cuts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+    sizes = np.diff(np.r_[cuts, len(ids)])
+    out = x.take(order[cuts], axis=0)
+    many = np.flatnonzero(sizes > 1)  # most ids occur once, and reduceat is slow on short runs
+    if len(many):
+        there = np.repeat(sizes > 1, sizes)
+        out[many] = np.add.reduceat(x.take(order[there], axis=0), np.cumsum(sizes[many]) - sizes[many], axis=0)
+    return found[cuts], out
+
+
 class Trainer:
     """Adagrad over windows of backpropagation; a row of x, wc and ww has one rate."""
 
     def __init__(self, weights: Weights, v: Vocabulary, rate: float = 0.3):
         self.w, self.v, self.rate = {k: a.copy() for k, a in weights.arrays.items()}, v, np.float32(rate)
         self.seen = {k: np.full(len(a), 1e-7, np.float32) for k, a in self.w.items()}
-
-    def _step(self, name: str, rows, g: np.ndarray) -> None:
-        seen = self.seen[name]
-        seen[rows] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-        self.w[name][rows] -= g * (self.rate / np.sqrt(seen[rows]))[:, None]
-
-    def gradients(self, states: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
-        """Mean loss's gradients: of wc, of the states, and of slices of ww; and the tokens' losses. States are scaled in place of
-        the much wider rows of probabilities; all is in the order of the ids' classes but what is returned."""
-        w, v, scale = self.w, self.v, np.float32(1 / max(1, len(ids)))
-        order, classes = _in_classes(ids, v)
-        s, own = states[order], ids[order]
-        cls = v.class_of[own]
-        wc, gc = np.ascontiguousarray(w["wc"][:, :-1]), np.zeros_like(w["wc"])
-        loss, ds, gw = np.empty(len(own), np.float32), np.empty((len(own), wc.shape[1]), np.float32), []
-        for k in range(0, len(own), BLOCK):
-            at = slice(k, k + BLOCK)
-            y = _exp(s[at], w["wc"])
-            sums = y @ np.ones(y.shape[1], np.float32)
-            loss[at] = np.log(sums / y[np.arange(len(y)), cls[at]])
-            part = (scale / sums)[:, None]
-            gc += y.T @ (s[at] * part)
-            ds[at] = (y @ wc) * part
-        ds -= scale * wc[cls]
-        cuts = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
-        gc[cls[cuts]] -= scale * np.add.reduceat(s, cuts, axis=0)
-        for a, z, first, end in classes:
-            x, ww = s[a:z], w["ww"][first:end]
-            q = _exp(x, ww)
-            sums = q @ np.ones(end - first, np.float32)
-            at = own[a:z] - first
-            loss[a:z] += np.log(sums / q[np.arange(z - a), at])
-            part = (scale / sums)[:, None]
-            g = q.T @ (x * part)
-            np.subtract.at(g, at, scale * x)
-            gw.append((slice(first, end), g))
-            ds[a:z] += (q @ ww[:, :-1]) * part - scale * ww[at, :-1]
-        back = np.empty_like(ds)
-        back[order] = ds
-        return gc, back, gw, loss
+        self.g = {k: np.empty_like(self.w[k]) for k in v.levels}
+        self.buffer, self.ones, self.large, self.unchecked = np.empty(BUFFER, np.float32), _ones(v), [], 0
+        self.share = np.float32(1)
+
+    def _step(self, name: str, rows, g: np.ndarray, block: int = 1_024) -> None:
+        """rows: different rows, or slice(None). g is used up."""
+        w, seen, ones = self.w[name], self.seen[name], np.full(g.shape[1], self.share**2 / g.shape[1], np.float32)
+        for k in range(0, len(g), block):
+            at = slice(k, k + block) if isinstance(rows, slice) else rows[k : k + block]
+            part = g[k : k + block]
+            now = np.square(part) @ ones
+            now += seen[at]
+            seen[at] = now
+            part *= (self.rate * self.share / np.sqrt(now))[:, None]
+            w[at] -= part
+
+    def gradients(self, states: np.ndarray, ids: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+        """Mean loss's gradients: of the outputs (valid until the next call) and of the states; and the sum of losses. A block's
+        exponentials become its gradients where the own one loses the sum; not they but the narrower states are divided by sums."""
+        v, scale, ws, gs = self.v, np.float32(1 / max(1, len(ids))), [self.w[k] for k in self.v.levels], list(self.g.values())
+        if self.unchecked <= 0:
+            # A row's sum of sizes grows by at most rate * width in a step, and scores under 80 are safe.
+            self.large, self.unchecked = large_scores(self.w, v), int(20 / (float(self.rate) * ws[0].shape[1]))
+        self.unchecked -= 1
+        o, width = Outputs(ids, v), ws[0].shape[1] - 1
+        s = states.take(o.order, axis=0)
+        sums, own = np.ones((2, len(ws), len(ids)), np.float32)
+        ds = np.zeros((len(ws), len(ids), width), np.float32)
+        for g in gs:
+            g.fill(0)
+        for k, c, at, rows, first in o.blocks:
+            w, x, g = ws[k][rows], s[at], gs[k][rows]
+            y = _exp(x, w, self.large[k][c], self.buffer)
+            flat, places, total, mine = y.reshape(-1), o.places[k][at], sums[k, at], own[k, at]
+            np.matmul(y, self.ones[: len(w)], out=total)
+            flat.take(places, out=mine, mode="clip")
+            flat[places] = mine - total
+            np.matmul(y, w[:, :width], out=ds[k, at])
+            x = x * (scale / total)[:, None]
+            if first:
+                np.matmul(y.T, x, out=g)
+            else:
+                g += y.T @ x
+        ds *= (scale / sums)[:, :, None]
+        back = np.empty(ds.shape[1:], np.float32)
+        back[o.order] = ds.sum(axis=0)
+        return self.g, back, float(np.log(sums / own).sum())
 
     def back(self, dstates: np.ndarray, keep: np.ndarray, saved) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of u and of the gathered rows of x."""
         before, gates, hn, new = saved
         steps, lanes, hidden = before.shape
-        dx, back_u = np.empty((steps, lanes, 3 * hidden), np.float32), np.ascontiguousarray(self.w["u"].T)
-        du = np.empty_like(dx)
-        dh = np.zeros((lanes, hidden), np.float32)
+        z, r = gates[:, :, :hidden], gates[:, :, hidden:]
+        # The gradients of the columns of u are d[:, :, hidden:], those of x have that of the new state (first) for the last one.
+        d = np.empty((steps, lanes, 4 * hidden), np.float32)
+        to_n = 1 - z
+        to_z = (before - new) * z * to_n
+        to_n *= 1 - new * new
+        to_r = hn * np.float32(0.5) * r * (1 - r)
+        passed, back_u = z * keep[:, :, None], np.ascontiguousarray(self.w["u"].T)
+        dh, more = np.zeros((lanes, hidden), np.float32), np.empty((lanes, hidden), np.float32)
         for t in range(steps - 1, -1, -1):
-            z, r, n = gates[t, :, :hidden], gates[t, :, hidden:], new[t]
             dh += dstates[t]
-            dz = dh * (before[t] - n) * z * (1 - z)
-            dn = dh * (1 - z) * (1 - n * n)
-            dx[t, :, :hidden] = dz
-            dx[t, :, hidden : 2 * hidden] = dn * hn[t] * r * (1 - r)
-            dx[t, :, 2 * hidden :] = dn
-            du[t, :, : 2 * hidden] = dx[t, :, : 2 * hidden]
-            du[t, :, 2 * hidden :] = dn * r
-            dh = (dh * z + du[t] @ back_u) * keep[t][:, None]
-        return before.reshape(-1, hidden).T @ du.reshape(-1, 3 * hidden), dx
+            dn = d[t, :, :hidden]
+            np.multiply(dh, to_n[t], out=dn)
+            np.multiply(dh, to_z[t], out=d[t, :, hidden : 2 * hidden])
+            np.multiply(dn, to_r[t], out=d[t, :, 2 * hidden : 3 * hidden])
+            np.multiply(dn, r[t], out=d[t, :, 3 * hidden :])
+            np.matmul(d[t, :, hidden:], back_u, out=more)
+            more *= keep[t][:, None]
+            dh *= passed[t]
+            dh += more
+        d = d.reshape(-1, 4 * hidden)
+        return before.reshape(-1, hidden).T @ d[:, hidden:], d[:, : 3 * hidden]
 
     def fit(self, docs: list[np.ndarray], lanes: int | None = None, steps: int = 32) -> float:
         """One pass over docs; the mean loss of their tokens as they came by. Without a number of lanes there are up to 512, so many
@@ -337,19 +434,22 @@ class Trainer:
             inputs, keep = dealt.inputs[own, :active], dealt.keep[own, :active]
             h, states, saved = _states(w, h[:active], inputs, keep)
             there = dealt.place[own, :active] >= 0
-            gc, ds, gw, loss = self.gradients(states[there], dealt.targets[own, :active][there])
-            total += float(loss.sum())
-            dstates = np.zeros((*there.shape, hidden), np.float32)
-            dstates[there] = ds
+            # Gradients are means of a window's tokens; a window of fewer tokens counts for less.
+            self.share = np.float32(min(1, there.sum() / (lanes * steps)))
+            if there.all():
+                outputs, ds, loss = self.gradients(states.reshape(-1, hidden + 1), dealt.targets[own, :active].reshape(-1))
+                dstates = ds.reshape(*there.shape, hidden)
+            else:
+                outputs, ds, loss = self.gradients(states[there], dealt.targets[own, :active][there])
+                dstates = np.zeros((*there.shape, hidden), np.float32)
+                dstates[there] = ds
+            total += loss
             gu, dx = self.back(dstates, keep, saved)
-            flat = inputs.reshape(-1)
-            order = np.argsort(flat, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
-            self._step("x", flat[order][cuts], np.add.reduceat(dx.reshape(len(flat), -1)[order], cuts, axis=0))
-            self._step("u", slice(None), gu)
-            self._step("wc", slice(None), gc)
-            for rows, g in gw:
-                self._step("ww", rows, g)
+            # The new state comes first in dx, and last in x.
+            rows, gx = _sums_by(inputs.reshape(-1), dx)
+            self._step("x", rows, np.roll(gx, -hidden, axis=1))
+            for name, g in (("u", gu), *outputs.items()):
+                self._step(name, slice(None), g)
         return total / max(1, int(dealt.begun[-1]))
 
     def weights(self) -> Weights:
@@ -358,15 +458,13 @@ class Trainer:
 
 def _counts(n_tail: int, most: int = 400_000):
     def counts(batches):
-        import xxhash
-
-        found: Counter = Counter()
+        found: dict[bytes, int] = {}
 
         def out():
             words = list(found)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.array([xxhash.xxh3_64_intdigest(x) for x in words], dtype=np.uint64).view(np.int64)),
+                    pa.array(_hashes(words).view(np.int64)),
                     pa.array(np.array([-1 if x == END else tail_class(x, n_tail) for x in words], dtype=np.int32)),
                     pa.array(np.fromiter(found.values(), np.int64, len(found))),
                 ],
@@ -375,9 +473,10 @@ def _counts(n_tail: int, most: int = 400_000):
             found.clear()
 
         for batch in batches:
-            for (text,) in shared.rows_of(batch, "text"):
-                found.update(text.encode("utf-8", "surrogatepass").lower().split())
-                found[END] += 1
+            for part, words, which, _ in _split(batch):
+                for word, n in zip(words, np.bincount(which, minlength=len(words)).tolist(), strict=True):
+                    found[word] = found.get(word, 0) + n
+                found[END] = found.get(END, 0) + part.num_rows
                 if len(found) > most:
                     yield from out()
         if found:
@@ -416,27 +515,31 @@ ENCODED = "doc_id long, row_no long, round int, n_tokens long, n_known long, bas
 
 def _encoded(sent):
     """Each document's ids, the base score of its sent words, the within-tail terms of those, and the words that weren't sent."""
-    rest_kind = pa.list_(pa.struct([("word", pa.int64()), ("tail", pa.int32()), ("n", pa.int64())]))
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), rest_kind)
     names = ["doc_id", "row_no", "round", "n_tokens", "n_known", "base_score", "tail_score", "ids", "rest"]
 
     def encoded(batches):
         v = sent.value
         look = Lookup(v)
         for batch in batches:
-            out = []
-            for doc_id, row_no, k, text in shared.rows_of(batch, "doc_id", "row_no", "round", "text"):
-                found = [*text.encode("utf-8", "surrogatepass").lower().split(), END]
-                seen = look.rows(found)
-                unknown = seen >= look.n_sent
-                known, rest = seen[~unknown], []
-                if len(known) < len(seen):
-                    for x, n in Counter(found[i] for i in np.flatnonzero(unknown).tolist()).items():
-                        h = look.digest(x)
-                        rest.append({"word": h - (1 << 64) if h >> 63 else h, "tail": tail_class(x, v.n_tail), "n": n})
-                out.append((doc_id, row_no, k, len(seen), len(known), float(look.base[known].sum()), float(look.tail[known].sum()), look.ids[seen].tobytes(), rest))
-            columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            for part, words, which, sizes in _split(batch):
+                words.append(END)
+                hashes, n = _hashes(words), part.num_rows
+                row = look.rows(words, hashes)
+                ends = np.cumsum(sizes)
+                seen = np.insert(row[which], ends, row[-1])
+                ends += np.arange(1, n + 1)
+                first, known = np.r_[0, ends[:-1]], seen < look.n_sent
+                base, tail = (np.add.reduceat(np.where(known, x[seen], 0.0), first) for x in (look.base, look.tail))
+                offsets = pa.py_buffer(np.r_[0, ends * 4].astype(np.int32))
+                ids = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(look.ids[seen])])
+                # The words that weren't sent, once for each text, with their number there.
+                other = row[which] >= look.n_sent
+                met, times = np.unique(np.repeat(np.arange(n), sizes)[other] * len(row) + which[other], return_counts=True)
+                text, word = np.divmod(met, len(row))
+                fields = [pa.array(hashes[word].view(np.int64)), pa.array((row[word] - look.n_sent).astype(np.int32)), pa.array(times.astype(np.int64))]
+                rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32)), pa.StructArray.from_arrays(fields, ["word", "tail", "n"]))
+                made = [pa.array(ends - first), pa.array(np.add.reduceat(known.astype(np.int64), first)), pa.array(base), pa.array(tail), ids, rest]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in names[:3]), *made], names=names)
 
     return encoded
 
@@ -490,7 +593,7 @@ def _chunks(batches, columns: tuple[str, ...], most_tokens: int, long: int = 4_0
             yield rows
 
 
-def _trained(sent, rate: float, chunk_tokens: int = 1_000_000, slice_bytes: int = 1 << 20):
+def _trained(sent, rate: float, chunk_tokens: int = 2_000_000, slice_bytes: int = 1 << 20):
     """The slices of the weights of the replica that learns from this part. Its documents stream by in chunks of bounded size."""
 
     def trained(batches):
@@ -531,7 +634,7 @@ def train(encoded: DataFrame, v: Vocabulary, *, hidden: int, replica_tokens: int
 SCORED = "doc_id long, row_no long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scored(sent, chunk_tokens: int = 1_000_000):
+def _scored(sent, chunk_tokens: int = 2_000_000):
     names = ("doc_id", "row_no", "n_tokens", "n_known", "base_score", "tail_score")
 
     def scored(batches):

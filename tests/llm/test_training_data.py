@@ -6,6 +6,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers as P
 from pyspark.sql import functions as F
@@ -590,3 +591,35 @@ def test_weights_meet_in_a_tree(spark):
             own = [(t, w) for j, _, t, w in rows if j == k]
             want = sum(t * w.astype(float) for t, w in own) / sum(t for t, _ in own)
             assert np.allclose(np.frombuffer(bytes(got[k]["weights"]), np.float32), want, atol=1e-6) and got[k]["tokens"] == sum(t for t, _ in own)
+
+
+def test_a_token_meets_few_outputs(monkeypatch):
+    # Groups, classes of a group, words of a class: not all 78 classes.
+    n, e = np.full(6_000, 100.0), np.empty(0)
+    v = recurrent_lm.Vocabulary(e, e, e, e, recurrent_lm.class_starts(n), 32, 600_000, 6_000, np.ones(32), np.ones(32), n)
+    made = []
+    monkeypatch.setattr(recurrent_lm, "_exp", lambda s, w, *more, f=recurrent_lm._exp: made.append(len(s) * len(w)) or f(s, w, *more))
+    ids = np.random.default_rng(4).integers(0, 6_032, 3_000).astype(np.int32)
+    recurrent_lm.score_ids(recurrent_lm.Weights.start(v, 4), v, [ids])
+    assert sum(made) <= len(ids) * (2 * 10 + max(np.diff(v.starts)))
+
+
+def test_last_windows_do_not_outweigh_the_rest():
+    # One long document of other words goes on when all others have ended; its windows hold few tokens.
+    v, _ = _small_model(8)
+    rng = np.random.default_rng(6)
+    docs = [np.tile([0, 1, 4], 50)[k % 3 :].astype(np.int32) for k in range(60)]
+    trainer = recurrent_lm.Trainer(recurrent_lm.Weights.start(v, 8), v)
+    trainer.fit([*docs, rng.choice([2, 3, 5], 3_000).astype(np.int32)], lanes=20)
+    assert recurrent_lm.score_ids(trainer.weights(), v, docs).sum() / sum(map(len, docs)) > -0.6  # the words of docs alone, at random: -0.48
+
+
+@pytest.mark.parametrize("most_bytes", [1, 9, 1 << 20])
+def test_words_of_parts_of_a_batch(most_bytes):
+    texts = ["", " ", "A b\x0bc\x0cd\te\nf\rg  H ", "\x1c x\x1dy\x1e\x1f z\x85  q r 　É", "É\x00é", " a", "b b b"]
+    got = []
+    for part, words, which, sizes in recurrent_lm._split(pa.record_batch({"text": pa.array(texts)}), most_bytes):
+        ends = np.cumsum(sizes)
+        got += [[words[i] for i in which[z - n : z]] for z, n in zip(ends, sizes, strict=True)]
+        assert part.num_rows == len(sizes)
+    assert got == [t.encode().lower().split() for t in texts]
