@@ -347,9 +347,9 @@ def spliced(messages: Column, history: Column, marker: Column) -> Column:
 
 
 def case_key(provider: Column, prompt: Column, test: Column, repeat: Column) -> Column:
-    """16 hex digits of the sha256 of the cell's parts, with zero bytes between them and the repeat as 4 bytes, lowest first."""
+    """16 hex digits of the sha256 of the cell's parts, with zero bytes between them and the repeat as 4 bytes, lowest first; null without a provider or a test."""
     zero = F.unhex(F.lit("00"))
     swapped = F.lpad(F.lower(F.hex(repeat.cast("long"))), 8, "0")
     low_first = F.unhex(F.concat(*[F.substring(swapped, k, 2) for k in (7, 5, 3, 1)]))
-    text = lambda c: F.encode(F.coalesce(c, F.lit("")), "UTF-8")
-    return F.substring(F.sha2(F.concat(text(provider), zero, text(prompt), zero, text(test), zero, low_first), 256), 1, 16)
+    text = lambda c: F.encode(c, "UTF-8")
+    return F.substring(F.sha2(F.concat(text(provider), zero, text(F.coalesce(prompt, F.lit(""))), zero, text(test), zero, low_first), 256), 1, 16)

@@ -1,10 +1,13 @@
 """Digests, seeded values, numbers of canonical JSON, templates, schemas and patterns: published vectors and odd input."""
 
+import base64
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from gradeloom import cache_queries
 from gradeloom.functions import assertions, blake3, json_checks, templates
 from gradeloom.operators import cache
 
@@ -92,3 +95,26 @@ def test_pages_of_an_entry_split_runs(spark):
             break
         after = (rows[1].created_at, rows[1].run_id, rows[1].case_key)
     assert seen == [("r1", "c0"), ("r1", "c1"), ("r1", "c2"), ("r0", "c9")]
+
+
+@pytest.mark.parametrize("broken", ["true", "false"])
+def test_base64_is_one_line(spark, broken):
+    texts = ["", "a" * 57, "a" * 58, "é\r\n" * 200, None]
+    key = "spark.sql.chunkBase64String.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, broken)
+    try:
+        encoded = templates.FILTERS["b64encode"](F.col("t"))
+        got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", encoded.alias("b64"), templates.FILTERS["b64decode"](encoded).alias("back")).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert [(r.t, r.b64, r.back) for r in got] == [(t, t and base64.b64encode(t.encode()).decode(), t) for t in texts]
+
+
+def test_scalar_texts_of_long_and_missing_urls(spark, tmp_path):
+    urls = ["https://h.example/" + "x" * n for n in (39, 40, 100, 2000)] + ["", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = cache_queries.scalar_texts(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(db.execute(f"SELECT {', '.join(got.columns)} FROM ({cache_queries.SCALARS})").fetchall())
